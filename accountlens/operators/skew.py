@@ -1,0 +1,62 @@
+"""Helpers for accounts that hold a large share of all rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Rows from which a key counts as hot. At most total_rows / HOT_ROWS keys can be hot,
+#: which bounds every frame of hot keys: 3,300 of them in 33 billion posts.
+HOT_ROWS = 10_000_000
+
+#: Ways a hot key is split.
+SALTS = 512
+
+
+def salted_semi_join(
+    rows: DataFrame,
+    keys: DataFrame,
+    key: str,
+    n_rows: str,
+    spread: Column,
+    hot_rows: int = HOT_ROWS,
+    salts: int = SALTS,
+) -> DataFrame:
+    """Rows whose ``key`` occurs in ``keys``, with hot keys split ``salts`` ways.
+
+    ``keys`` has unique keys and, in ``n_rows``, how many rows each has. Hot keys are
+    few by construction, so they are broadcast to tag the rows; a tagged row joins on
+    (key, hash of ``spread``) and the hot key's entry is replicated once per salt. All
+    other rows join on (key, 0). One pass over ``rows``.
+    """
+    hot = keys.where(F.col(n_rows) > hot_rows).select(key, F.lit(True).alias("_hot"))
+    tagged = rows.join(F.broadcast(hot), key, "left").withColumn(
+        "_salt",
+        F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int"),
+    )
+    replicated = keys.select(
+        key,
+        F.explode(
+            F.when(F.col(n_rows) > hot_rows, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
+                F.array(F.lit(0))
+            )
+        ).alias("_salt"),
+    )
+    return tagged.join(replicated, [key, "_salt"], "left_semi").select(*rows.columns)
+
+
+def repeat_rows(df: DataFrame, n_copies: str, ordinal: str, chunk: int = 100_000) -> DataFrame:
+    """Each row ``n_copies`` times, numbered from 0 in ``ordinal``.
+
+    Large counts are first cut into chunks that are shuffled apart, so that no task has
+    to emit all copies of one row.
+    """
+    n = F.col(n_copies)
+    chunks = df.withColumn(
+        "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / F.lit(chunk))))
+    )
+    spread = chunks.repartition(*[F.col(c) for c in chunks.columns])
+    first = F.col("_chunk") * chunk
+    return spread.withColumn(
+        ordinal, F.explode(F.sequence(first, F.least(first + chunk, n) - 1))
+    ).drop("_chunk")
