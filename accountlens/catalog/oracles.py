@@ -50,15 +50,15 @@ post AS (
 ),
 profile AS (
   SELECT user_id,
-         CAST(value > 10 AS BIGINT) AS con_imagen_fondo,
+         CAST(value > 10 AS INTEGER) AS con_imagen_fondo,
          sec_cuenta,
          CASE WHEN k % 7 <> 0 THEN id % 1000 END AS n_favoritos,
-         CAST(coalesce(length(description) > 0, false) AS BIGINT) AS con_descripcion,
-         length(description) AS longitud_descripcion,
-         CAST(event_type = 'purchase' AS BIGINT) AS con_perfil_verificado,
-         CAST(k % 3 <> 0 AND k % 2 = 0 AS BIGINT) AS con_imagen_default,
+         CAST(coalesce(length(description) > 0, false) AS INTEGER) AS con_descripcion,
+         CAST(length(description) AS INTEGER) AS longitud_descripcion,
+         CAST(event_type = 'purchase' AS INTEGER) AS con_perfil_verificado,
+         CAST(k % 3 <> 0 AND k % 2 = 0 AS INTEGER) AS con_imagen_default,
          k % 7 AS n_listas,
-         CAST(value > 50 AS BIGINT) AS con_geo_activo,
+         CAST(value > 50 AS INTEGER) AS con_geo_activo,
          k AS seguidores,
          CAST(floor(value) AS BIGINT) AS amigos,
          id AS n_tweets,
@@ -71,7 +71,7 @@ profile_feature AS (
          con_geo_activo, n_tweets, nombre_usuario,
          round(CASE WHEN seguidores + amigos > 0 THEN seguidores * 1.0 / (seguidores + amigos) ELSE 0 END, 6) AS reputacion,
          round(CASE WHEN amigos > 0 THEN seguidores * 1.0 / amigos ELSE 0 END, 6) AS followers_ratio,
-         year(make_timestamp(sec_cuenta * 1000000)) AS ano_registro
+         CAST(year(make_timestamp(sec_cuenta * 1000000)) AS INTEGER) AS ano_registro
   FROM profile
 )"""
 

@@ -87,7 +87,7 @@ def train_judge(
         model = PipelineModel([assembler(), best_forest(cv)])
         scored = model.transform(test).select(LABEL, PREDICTION)
         matrix = _matrix(scored)
-    return JudgeTraining(model, _accuracy(matrix), matrix, list(cv.avgMetrics))
+    return JudgeTraining(model, _accuracy(matrix), matrix, [float(m) for m in cv.avgMetrics])
 
 
 def _matrix(scored: DataFrame) -> list[list[int]]:

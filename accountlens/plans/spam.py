@@ -66,7 +66,7 @@ def train_spam(
         )
         model = PipelineModel([*text_stages(), best_forest(cv)])
         held_out = accuracy(best_forest(cv).transform(test), "label", PREDICTION).first()[0]
-    return SpamTraining(model, held_out, list(cv.avgMetrics))
+    return SpamTraining(model, held_out, [float(m) for m in cv.avgMetrics])
 
 
 def spam_rate(view: DataFrame, model: PipelineModel, key: str = "user_id") -> DataFrame:
