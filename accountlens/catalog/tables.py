@@ -60,7 +60,12 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     links, hashtags and mentions are those in the text. The profile attributes change
     from event to event, so that the newest snapshot matters.
     """
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), F.col("text").alias("body"))
+    # Both sides grow with the data: never broadcast the texts.
+    texts = (
+        table(spark, sf_dir, "documents")
+        .select(F.col("doc_id").alias("event_id"), F.col("text").alias("body"))
+        .hint("merge")
+    )
     source = F.lit(None).cast("string")
     for kind, name in CLIENT_NAMES.items():
         source = F.when(F.col("event_type") == kind, F.lit(name)).otherwise(source)

@@ -73,6 +73,7 @@ def accuracy(scored: DataFrame, label: str, prediction: str) -> DataFrame:
     return scored.agg(F.avg((F.col(label) == F.col(prediction)).cast("int")).alias("accuracy"))
 
 
-def fill_zero(df: DataFrame) -> DataFrame:
-    """Null numbers to 0; other columns keep their nulls."""
-    return df.fillna(0)
+def fill_zero(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Null numbers to 0; other columns keep their nulls, and ``keys`` stay untouched
+    (so a frame partitioned by them is still known to be)."""
+    return df.fillna(0, [c for c in df.columns if c not in keys])

@@ -68,16 +68,21 @@ def reply_measure(reply_to: str = "in_reply_to_status_id") -> Columns:
     return {"reply_ratio": scalars.truthy_number(reply_to)}
 
 
+def _rows_where(condition: Column) -> Column:
+    # Not count_if: that projects one boolean per call below the aggregate, to be sorted along.
+    return F.count(F.when(condition, 1))
+
+
 def weekday_counts(day: str = "dia") -> Columns:
-    return {name: F.count_if(F.col(day) == i) for i, name in enumerate(WEEKDAYS)}
+    return {name: _rows_where(F.col(day) == i) for i, name in enumerate(WEEKDAYS)}
 
 
 def hour_counts(hour: str = "hora") -> Columns:
-    return {name: F.count_if(F.col(hour) == i) for i, name in enumerate(HOURS)}
+    return {name: _rows_where(F.col(hour) == i) for i, name in enumerate(HOURS)}
 
 
 def client_counts(bucket: str = "fuente", names: Sequence[str] = CLIENTS) -> Columns:
-    return {name: F.count_if(F.col(bucket) == name) for name in names}
+    return {name: _rows_where(F.col(bucket) == name) for name in names}
 
 
 def sums_of(measures: Iterable[str]) -> Columns:

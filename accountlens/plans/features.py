@@ -127,7 +127,7 @@ def features_from_measures(
         *profile_columns(),
         (F.current_timestamp() if as_of is None else as_of).alias("createdAt"),
     )
-    return fill_zero(stamped).select(*ACCOUNT_COLUMNS)
+    return fill_zero(stamped, keys).select(*ACCOUNT_COLUMNS)
 
 
 def account_features(

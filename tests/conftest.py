@@ -70,6 +70,7 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "8g",
+            "spark.sql.debug.maxToStringFields": "1000",
         },
     )
     session.sparkContext.setLogLevel("ERROR")
