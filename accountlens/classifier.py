@@ -73,10 +73,14 @@ class AccountClassifier:
             return False
         return True
 
-    def load(self, kind: int, path: str) -> bool:
+    def load(self, kind: int, path: str, training_sink: str | None = None) -> bool:
+        """Load a model; with ``training_sink`` the training set kept next to an account
+        classifier is added to that table."""
         if kind == SPAM_MODEL:
             self.spam_model = judge.load_model(path)
         elif kind == JUDGE_MODEL:
+            if training_sink:
+                judge.append_training_set(self.spark, f"{path}_trainingset", training_sink)
             self.judge_model = judge.load_model(path)
         else:
             return False

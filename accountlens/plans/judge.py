@@ -11,6 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from accountlens.operators.evaluation import (
     SPLIT_SEED,
@@ -32,11 +33,17 @@ from accountlens.schema import (
     FEATURE_COLUMNS,
     HUMAN,
     LABEL,
+    POST_SCHEMA,
     PREDICTION_COLUMNS,
 )
 from accountlens.session import stored
 from accountlens.sources.posts import posts_from_text, read_posts
-from accountlens.sources.tables import read_run, store_run, write_training_set
+from accountlens.sources.tables import (
+    read_run,
+    read_training_set,
+    store_run,
+    write_training_set,
+)
 
 PREDICTION = "Predicted_categoria"
 CLASSES = (HUMAN, BOT, CYBORG)
@@ -67,19 +74,23 @@ def train_judge(
     num_trees: int = NUM_TREES,
     max_depth: int = MAX_DEPTH,
     training_set_path: str | None = None,
+    training_sink: str | None = None,
     **forest_options,
 ) -> JudgeTraining:
     """Train from the posts of three account classes.
 
     The feature frame is stored once; splitting, folds and evaluation read the copy.
-    Accounts are split by a hash of their id, so none is in both halves. With
-    ``training_set_path`` the training half is also kept there (JSON).
+    Accounts are split by a hash of their id, so none is in both halves. The training
+    half can be kept as well: ``training_set_path`` replaces a JSON training set,
+    ``training_sink`` adds a run to a table of training rows.
     """
     features = account_features(labelled_posts(humans, bots, cyborgs), spam_model, labelled=True)
     with stored(features, "judge-training") as rows:
         test, training = split_train_test(rows, [ACCOUNT])
         if training_set_path:
             write_training_set(training, training_set_path)
+        if training_sink:
+            store_run(training, training_sink, uuid.uuid4().hex)
         vectors = assembler().transform(training).select("features", LABEL)
         cv = cross_validated_forest(
             vectors, LABEL, PREDICTION, "features", SPLIT_SEED, num_trees, max_depth, **forest_options
@@ -90,6 +101,18 @@ def train_judge(
     return JudgeTraining(model, _accuracy(matrix), matrix, [float(m) for m in cv.avgMetrics])
 
 
+def training_schema(spark: SparkSession) -> StructType:
+    """Schema of a stored training set."""
+    schema = StructType([*POST_SCHEMA.fields, StructField(LABEL, DoubleType())])
+    return account_features(spark.createDataFrame([], schema), labelled=True).schema
+
+
+def append_training_set(spark: SparkSession, training_set_path: str, training_sink: str) -> None:
+    """Add a stored JSON training set to a table of training rows."""
+    rows = read_training_set(spark, training_set_path, training_schema(spark))
+    store_run(rows, training_sink, uuid.uuid4().hex)
+
+
 def _matrix(scored: DataFrame) -> list[list[int]]:
     rows = confusion_matrix(scored, LABEL, PREDICTION, CLASSES).collect()
     by_class = {r[LABEL]: [int(r[f"pred_{int(c)}"]) for c in CLASSES] for r in rows}

@@ -58,7 +58,9 @@ def train_spam(
     texts = label_union(
         {SPAM: spam.select("id", "text"), NOT_SPAM: not_spam.select("id", "text")}, "label"
     ).where(F.col("text").isNotNull())
-    hashed = hashed_counts(texts).select("id", "rawFeatures", "label")
+    # Rows are split by post id; a text without one goes by its content.
+    split_key = F.coalesce("id", F.xxhash64("text")).alias("id")
+    hashed = hashed_counts(texts).select(split_key, "rawFeatures", "label")
     with stored(hashed, "spam-training") as rows:
         test, training = split_train_test(rows, ["id"])
         cv = cross_validated_forest(

@@ -35,9 +35,11 @@ def score_stream(
 
     def score_one(batch: DataFrame, batch_id: int) -> None:
         stage = new_path(batch.sparkSession, "stream-stage")
-        scored = score_posts(batch, judge_model, spam_model, stage_path=stage)
-        store_run(scored, sink, f"batch-{batch_id}", overwrite=True)
-        delete_path(batch.sparkSession, stage)
+        try:
+            scored = score_posts(batch, judge_model, spam_model, stage_path=stage)
+            store_run(scored, sink, f"batch-{batch_id}", overwrite=True)
+        finally:
+            delete_path(batch.sparkSession, stage)
 
     writer = reader.json(source).writeStream.foreachBatch(score_one).option(
         "checkpointLocation", checkpoint

@@ -135,6 +135,23 @@ def test_save_and_load(spark, data, trained, tmp_path):
         AccountClassifier(spark).score(data["bot"])
 
 
+def test_loading_can_append_the_training_set(spark, trained, tmp_path):
+    *_, matrix, path = trained
+    sink = str(tmp_path / "training-rows")
+    for _ in range(2):
+        assert AccountClassifier(spark).load(1, path, training_sink=sink)
+    rows = read_rows(spark, sink)
+    assert rows.count() == 2 * (3 * N - sum(map(sum, matrix)))
+    assert rows.dropna(subset=FEATURE_COLUMNS).count() == rows.count()
+
+
+def test_texts_without_an_id_are_split_too(spark):
+    bad, good = spam_texts(200)
+    frame = lambda rows: spark.createDataFrame([(None, r["text"]) for r in rows], "id long, text string")
+    result = spam.train_spam(frame(bad), frame(good), **SMALL)
+    assert result.accuracy > 0.9 and len(result.cv_accuracy) == 2
+
+
 def test_feature_importance(trained):
     rows = feature_importance(trained[0].judge_model).collect()
     assert [r.feature for r in rows] == FEATURE_COLUMNS
