@@ -49,7 +49,9 @@ def query(f: Query) -> Query:
 
 
 def rounded(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    return df.withColumns({n: F.round(F.col(n).cast("double"), PRECISION) for n in names})
+    return df.selectExpr(
+        *[f"round(double({c}), {PRECISION}) AS {c}" if c in names else c for c in df.columns]
+    )
 
 
 def joined(values: str, by: str = ",") -> Column:

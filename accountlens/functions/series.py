@@ -1,168 +1,110 @@
 """Entropy of a gap series as array expressions.
 
 A series is one bounded array per account (at most 109 gaps), so the whole computation
-stays inside the row: no explode, no shuffle, no Python worker.
+stays inside the row: no explode, no shuffle, no Python worker. The expressions are
+nested lambdas and therefore written as SQL text, which also reaches the JVM in one call.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and hand it to ``body``.
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, evaluated once.
 
-    Expressions captured by a lambda are re-evaluated per element; a one-element
-    ``transform`` turns them into a lambda variable instead.
+    An expression captured by a lambda is evaluated again for every element; a
+    ``transform`` over a one-element array turns it into a lambda variable instead.
     """
-    return F.transform(F.array(value), body).getItem(0)
-
-
-def _div(a: Column, b: Column) -> Column:
-    """Integral division."""
-    return F.call_function("div", a, b)
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def symbolize(series: Column) -> Column:
-    """Uniform right-closed quantisation of ``n`` integers to symbols ``0..n-1``.
-
-    Symbol = max(ceil((x - min) * n / (max - min)) - 1, 0), in integer arithmetic. A
-    constant series has no spread to divide by and maps to all zeros.
-    """
-    low, high = F.array_min(series), F.array_max(series)
-    spec = F.struct(low.alias("low"), (high - low).alias("span"), F.size(series).alias("n"))
-
-    def quantise(s: Column) -> Column:
-        def symbol(v: Column) -> Column:
-            ceiling = _div((v - s["low"]) * s["n"] + s["span"] - 1, s["span"])
-            return F.greatest(ceiling - 1, F.lit(0)).cast("int")
+def _symbols(series: str) -> str:
+    bounds = (
+        f"named_struct('low', array_min({series}), 'n', size({series}), "
+        f"'span', array_max({series}) - array_min({series}))"
+    )
+    # ceil(a / b) = (a + b - 1) div b
+    symbol = "greatest(((v - b.low) * b.n + b.span - 1) div b.span - 1, 0)"
+    return _let("b", bounds, f"transform({series}, v -> int(if(b.span > 0, {symbol}, 0)))")
 
-        return F.when(s["span"] > 0, F.transform(series, symbol)).otherwise(
-            F.transform(series, lambda _: F.lit(0))
-        )
 
-    return _bind(spec, quantise)
+def _windows(symbols: str, length: str) -> str:
+    return (
+        f"transform(sequence(1, size({symbols}) - {length} + 1), i -> slice({symbols}, i, {length}))"
+    )
 
 
-def _pack(symbols: Column) -> Column:
-    """Symbols as one byte each, so that a pattern is a slice of a binary value.
+def _entropy(items: str) -> str:
+    """struct(h, singles, total) of an array of patterns.
 
-    Symbols stay below 109 and are shifted by one, which keeps every byte ASCII.
+    Sorting puts equal patterns next to each other; run lengths are their counts c, of
+    sum N. H = -sum(c/N ln(c/N)) = ln N - sum(c ln c) / N, to which patterns seen once
+    add nothing.
     """
-    return F.array_join(F.transform(symbols, lambda s: F.char(s + 1)), "").cast("binary")
-
-
-def patterns(symbols: Column, length: Column | int) -> Column:
-    """All overlapping windows of ``length`` symbols, as an array of arrays."""
-    width = F.lit(length) if isinstance(length, int) else length
-    return F.transform(
-        F.sequence(F.lit(1), F.size(symbols) - width + 1),
-        lambda i: F.slice(symbols, i, width),
+    starts = "filter(sequence(1, size(run)), k -> k = 1 OR run[k - 1] <> run[greatest(k - 2, 0)])"
+    counts = (
+        "zip_with(starts, concat(slice(starts, 2, size(starts)), array(size(run) + 1)), (a, z) -> z - a)"
     )
-
-
-def _packed_patterns(packed: Column, length: Column) -> Column:
-    return F.transform(
-        F.sequence(F.lit(1), F.length(packed) - length + 1),
-        lambda i: F.substring(packed, i, length),
+    sums = (
+        "named_struct('n', size(run), 'singles', size(filter(counts, c -> c = 1)), "
+        "'w', aggregate(counts, 0D, (w, c) -> if(c > 1, w + c * ln(c), w)))"
+    )
+    result = "named_struct('h', ln(t.n) - t.w / t.n, 'singles', t.singles, 'total', t.n)"
+    return _let(
+        "run", f"sort_array({items})", _let("starts", starts, _let("counts", counts, _let("t", sums, result)))
     )
 
 
-def _multiplicities(items: Column) -> Column:
-    """How often each distinct element of ``items`` occurs (sort, then run lengths)."""
+def _corrected_conditional_entropy(symbols: str) -> str:
+    """min over L >= 2 of H(L) - H(L-1) + singles(L)/total(L) * H(1).
 
-    def from_sorted(run: Column) -> Column:
-        starts = F.filter(
-            F.sequence(F.lit(1), F.size(run)),
-            lambda i: (i == 1) | (run[i - 1] != run[F.greatest(i - 2, F.lit(0))]),
-        )
-        return _bind(
-            starts,
-            lambda s: F.zip_with(
-                s,
-                F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.size(run) + 1)),
-                lambda begin, end: end - begin,
-            ),
-        )
+    From the first L* at which every pattern is unique, the expression is
+    ln((n-L+1)/(n-L+2)) + H(1), smallest at L = n with H(1) - ln 2. So the fold only
+    looks at L = 2..L* and then stops working; ``best`` starts at that closed-form tail.
 
-    return _bind(F.sort_array(items), from_sorted)
+    Patterns are slices of a binary value with one byte per symbol: symbols stay below
+    109 and are shifted by one, so every byte is an ASCII one.
+    """
+    packed = f"cast(array_join(transform({symbols}, s -> char(s + 1)), '') AS binary)"
+    slices = "transform(sequence(1, length(packed) - l + 1), i -> substring(packed, i, l))"
+    step = _let(
+        "e",
+        _entropy(slices),
+        "named_struct('h', e.h, 'best', least(acc.best, e.h - acc.h + e.singles / e.total * single.h), "
+        "'done', e.singles = e.total)",
+    )
+    fold = (
+        "aggregate(sequence(2, length(packed) - 1), "
+        "named_struct('h', single.h, 'best', single.h - ln(2D), 'done', false), "
+        f"(acc, l) -> if(acc.done, acc, {step}), acc -> acc.best)"
+    )
+    return _let("packed", packed, _let("single", _entropy(symbols), fold))
 
 
-def block_entropy(items: Column) -> Column:
-    """Shannon entropy (nats) of an array of patterns.
+def symbolize(series: str) -> Column:
+    """Uniform right-closed quantisation of ``n`` integers to symbols ``0..n-1``.
 
-    Returns struct(h, singles, total): with counts c summing to N,
-    H = -sum(c/N ln(c/N)) = ln N - sum(c ln c) / N, and patterns seen once add nothing.
+    Symbol = max(ceil((x - min) * n / (max - min)) - 1, 0), in integer arithmetic. A
+    constant series has no spread to divide by and maps to all zeros.
     """
+    return F.expr(_symbols(series))
 
-    def from_counts(counts: Column) -> Column:
-        total = F.aggregate(counts, F.lit(0), lambda acc, c: acc + c)
-        weighted = F.aggregate(
-            counts, F.lit(0.0), lambda acc, c: F.when(c > 1, acc + c * F.log(c)).otherwise(acc)
-        )
-        singles = F.size(F.filter(counts, lambda c: c == 1))
-        return _bind(
-            F.struct(total.alias("n"), weighted.alias("w"), singles.alias("u")),
-            lambda s: F.struct(
-                (F.log(s["n"]) - s["w"] / s["n"]).alias("h"),
-                s["u"].alias("singles"),
-                s["n"].alias("total"),
-            ),
-        )
-
-    return _bind(_multiplicities(items), from_counts)
-
-
-def corrected_conditional_entropy(symbols: Column) -> Column:
-    """min over L >= 2 of H(L) - H(L-1) + singles(L)/total(L) * H(1).
-
-    From the first L* at which every pattern is unique, the expression is
-    ln((n-L+1)/(n-L+2)) + H(1), smallest at L = n with H(1) - ln 2. So the fold only
-    looks at L = 2..L* and then stops working; ``best`` starts at that closed-form tail.
-    """
 
-    def search(packed: Column, first: Column) -> Column:
-        start = F.struct(
-            first["h"].alias("h"),
-            (first["h"] - F.log(F.lit(2.0))).alias("best"),
-            F.lit(False).alias("done"),
-        )
-
-        def step(acc: Column, length: Column) -> Column:
-            return F.when(acc["done"], acc).otherwise(
-                _bind(
-                    block_entropy(_packed_patterns(packed, length)),
-                    lambda e: F.struct(
-                        e["h"].alias("h"),
-                        F.least(
-                            acc["best"], e["h"] - acc["h"] + e["singles"] / e["total"] * first["h"]
-                        ).alias("best"),
-                        (e["singles"] == e["total"]).alias("done"),
-                    ),
-                )
-            )
-
-        return F.aggregate(
-            F.sequence(F.lit(2), F.length(packed) - 1), start, step, lambda acc: acc["best"]
-        )
-
-    return _bind(
-        _pack(symbols),
-        lambda packed: _bind(block_entropy(symbols), lambda first: search(packed, first)),
-    )
+def patterns(symbols: str, length: str) -> Column:
+    """All overlapping windows of ``length`` symbols, as an array of arrays."""
+    return F.expr(_windows(symbols, length))
 
 
-def gap_entropy(series: Column) -> Column:
+def gap_entropy(series: str) -> Column:
     """Corrected conditional entropy of a gap series; 0.0 for a constant one.
 
     Series of fewer than three gaps have no entropy (NULL): the history rule never lets
     such an account through.
     """
-    scored = _bind(symbolize(series), corrected_conditional_entropy)
-    return F.when(
-        F.size(series) >= 3,
-        F.when(F.array_max(series) == F.array_min(series), F.lit(0.0)).otherwise(scored),
+    scored = _let("q", _symbols(series), _corrected_conditional_entropy("q"))
+    return F.expr(
+        f"CASE WHEN size({series}) < 3 THEN NULL "
+        f"WHEN array_max({series}) = array_min({series}) THEN 0D ELSE {scored} END"
     )

@@ -19,7 +19,7 @@ from accountlens.operators.gaps import gap_series
 def gap_symbols(gaps: DataFrame, keys: Sequence[str] = ("user_id",)) -> DataFrame:
     """Quantised gap series: (keys, symbols)."""
     bounded = gaps.select(*keys, gap_series().alias("_series"))
-    return bounded.select(*keys, series.symbolize(F.col("_series")).alias("symbols"))
+    return bounded.select(*keys, series.symbolize("_series").alias("symbols"))
 
 
 def pattern_counts(
@@ -30,7 +30,7 @@ def pattern_counts(
         *keys, "symbols", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("l")
     ).where(F.size("symbols") >= F.col("l"))
     return (
-        windows.select(*keys, "l", F.explode(series.patterns(F.col("symbols"), F.col("l"))).alias("pattern"))
+        windows.select(*keys, "l", F.explode(series.patterns("symbols", "l")).alias("pattern"))
         .groupBy(*keys, "l", "pattern")
         .agg(F.count(F.lit(1)).alias("occurrences"))
     )
@@ -62,4 +62,4 @@ def conditional_entropy(entropies: DataFrame, keys: Sequence[str] = ("user_id",)
 def corrected_entropy(gaps: DataFrame, keys: Sequence[str] = ("user_id",)) -> DataFrame:
     """The account's entropy feature: (keys, entropia)."""
     bounded = gaps.select(*keys, gap_series().alias("_series"))
-    return bounded.select(*keys, series.gap_entropy(F.col("_series")).alias("entropia"))
+    return bounded.select(*keys, series.gap_entropy("_series").alias("entropia"))

@@ -74,26 +74,17 @@ def latest_profile(posts: DataFrame, keys: Sequence[str] = (ACCOUNT,)) -> DataFr
     return rows.groupBy(*keys).agg(latest("perfil", "sec", "id").alias("perfil")).select(*keys, "perfil.*")
 
 
-def profile_columns() -> list[Column]:
-    """Account features of a flattened snapshot (see :data:`SNAPSHOT_FIELDS`)."""
+def profile_columns() -> dict[str, Column]:
+    """Account features computed from a flattened snapshot (see :data:`SNAPSHOT_FIELDS`);
+    its other fields are features as they are."""
     zero = F.lit(0)
     followers, friends = F.coalesce("seguidores", zero), F.coalesce("amigos", zero)
-    return [
-        F.col("con_imagen_fondo"),
-        F.timestamp_seconds("sec_cuenta").alias("cuenta_creada"),
-        F.col("n_favoritos"),
-        F.col("con_descripcion"),
-        F.col("longitud_descripcion"),
-        F.col("con_perfil_verificado"),
-        F.col("con_imagen_default"),
-        F.col("n_listas"),
-        F.col("con_geo_activo"),
-        scalars.reputation(followers, friends).alias("reputacion"),
-        F.col("n_tweets"),
-        scalars.followers_ratio(followers, friends).alias("followers_ratio"),
-        F.col("nombre_usuario"),
-        scalars.year_of("sec_cuenta").alias("ano_registro"),
-    ]
+    return {
+        "cuenta_creada": F.timestamp_seconds("sec_cuenta"),
+        "reputacion": scalars.reputation(followers, friends),
+        "followers_ratio": scalars.followers_ratio(followers, friends),
+        "ano_registro": scalars.year_of("sec_cuenta"),
+    }
 
 
 def profile_features(
@@ -104,9 +95,9 @@ def profile_features(
     The gap entropy is the one account feature that needs the whole timeline;
     :func:`accountlens.plans.features.account_features` joins it in.
     """
-    return latest_profile(posts).select(
-        ACCOUNT,
-        *profile_columns(),
-        F.lit(label).alias(LABEL),
-        (F.current_timestamp() if as_of is None else as_of).alias("createdAt"),
-    )
+    computed = {
+        **profile_columns(),
+        LABEL: F.lit(label),
+        "createdAt": F.current_timestamp() if as_of is None else as_of,
+    }
+    return latest_profile(posts).withColumns(computed).drop("sec_cuenta", "seguidores", "amigos")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accountlens.functions import scalars
@@ -26,6 +26,8 @@ from accountlens.schema import (
 TOTAL = "nroTweets"
 RATIOS = [*WEEKDAYS, *HOURS, *CLIENTS, *POST_FEATURES]
 
+_RATIOS_OF_SUMS = [f"{k} / {TOTAL} AS {k}" for k in RATIOS]
+
 #: Columns of the feature frame next to account, label and post count.
 _DESCRIPTIVE = ["longitud_descripcion", "cuenta_creada", "nombre_usuario"]
 ACCOUNT_COLUMNS = [ACCOUNT, LABEL, TOTAL, *FEATURE_COLUMNS, *_DESCRIPTIVE, "createdAt"]
@@ -76,7 +78,7 @@ def post_features(posts: DataFrame, spam_model: PipelineModel | None = None) ->
         .groupBy(ACCOUNT)
         .agg(F.count(F.lit(1)).alias(TOTAL), *[c.alias(k) for k, c in sums.items()])
     )
-    return grouped.select(ACCOUNT, TOTAL, *[(F.col(k) / F.col(TOTAL)).alias(k) for k in RATIOS])
+    return grouped.selectExpr(ACCOUNT, TOTAL, *_RATIOS_OF_SUMS)
 
 
 def features_from_measures(
@@ -101,33 +103,17 @@ def features_from_measures(
     entropy = corrected_entropy(first_gaps(measures, keys), keys)
     accounts = grouped.join(entropy, list(keys))
     if labelled:
-        whole = Window.partitionBy(ACCOUNT)
-        accounts = accounts.select(
-            *keys,
-            "perfil",
-            "entropia",
-            *[F.sum(c).over(whole).alias(c) for c in (TOTAL, *RATIOS)],
+        whole = f"OVER (PARTITION BY {ACCOUNT})"
+        accounts = accounts.selectExpr(
+            *keys, "perfil", "entropia", *[f"sum({c}) {whole} AS {c}" for c in (TOTAL, *RATIOS)]
         )
     else:
         accounts = accounts.withColumn(LABEL, F.lit(UNLABELLED))
-    flat = accounts.select(
-        ACCOUNT,
-        LABEL,
-        TOTAL,
-        "entropia",
-        *[(F.col(k) / F.col(TOTAL)).alias(k) for k in RATIOS],
-        "perfil.*",
-    )
-    stamped = flat.select(
-        ACCOUNT,
-        LABEL,
-        TOTAL,
-        "entropia",
-        *RATIOS,
-        *profile_columns(),
-        (F.current_timestamp() if as_of is None else as_of).alias("createdAt"),
+    flat = accounts.selectExpr(ACCOUNT, LABEL, TOTAL, "entropia", *_RATIOS_OF_SUMS, "perfil.*")
+    complete = flat.withColumns(
+        {**profile_columns(), "createdAt": F.current_timestamp() if as_of is None else as_of}
     )
-    return fill_zero(stamped, keys).select(*ACCOUNT_COLUMNS)
+    return fill_zero(complete, keys).selectExpr(*ACCOUNT_COLUMNS)
 
 
 def account_features(

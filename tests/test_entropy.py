@@ -5,7 +5,6 @@ from collections import Counter
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from accountlens.functions import series as S
 from accountlens.operators import entropy
@@ -33,7 +32,7 @@ def brute_cce(g):
 
 def cce(spark, all_series):
     rows = list(enumerate(all_series))
-    df = spark.createDataFrame(rows, "i long, g array<bigint>").select("i", S.gap_entropy(F.col("g")).alias("e"))
+    df = spark.createDataFrame(rows, "i long, g array<bigint>").select("i", S.gap_entropy("g").alias("e"))
     return [r.e for r in sorted(df.collect(), key=lambda r: r.i)]
 
 
@@ -77,7 +76,7 @@ def test_symbols_are_exact(spark):
     rng = random.Random(3)
     cases = [[rng.randrange(10**rng.randrange(1, 9)) for _ in range(rng.randrange(3, 110))] for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(cases)), "i long, g array<bigint>")
-    for r in df.select("g", S.symbolize(F.col("g")).alias("q")).collect():
+    for r in df.select("g", S.symbolize("g").alias("q")).collect():
         g = list(r.g)
         low, span, n = min(g), max(g) - min(g), len(g)
         exact = [max(-(-(v - low) * n // span) - 1, 0) if span else 0 for v in g]
