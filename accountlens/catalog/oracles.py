@@ -176,6 +176,14 @@ SELECT id, user_id, k, CAST(n_chars AS BIGINT) AS n_chars, CAST(n_hashtags AS BI
   (SELECT id, user_id, k, length(text) AS n_chars,
           len(regexp_extract_all(text, '#[A-Za-z0-9_]+')) AS n_hashtags FROM raw
    UNION ALL SELECT id, NULL, NULL, NULL, 0 FROM raw)""",
+    "timeline_scan": f"""
+WITH {_POSTS}
+SELECT id, user_id, event_type || user_id AS nombre_usuario, source,
+  CASE WHEN event_type <> 'error' THEN k END AS reply_to, length(text) AS n_chars,
+  CAST(len(regexp_extract_all(text, '@[A-Za-z0-9_]+')) AS BIGINT) AS n_mentions
+FROM raw""",
+    "labelled_text_scan": """
+SELECT doc_id AS id, length(text) AS n_chars, CAST(toxic AS DOUBLE) AS label FROM documents JOIN labels USING (doc_id)""",
     "table_roundtrip": f"""{_EVENT_CALENDAR}
 SELECT user_id, {", ".join(f'"{d}"' for d in WEEKDAYS)} FROM ({_shares("cal", "user_id", _BY_WEEKDAY)})""",
     "retention_filter": """

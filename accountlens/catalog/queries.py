@@ -25,7 +25,7 @@ from accountlens.schema import (
     WEEKDAYS,
 )
 from accountlens.session import new_path
-from accountlens.sources.posts import posts_from_lines
+from accountlens.sources.posts import posts_from_lines, read_posts, read_texts
 from accountlens.sources.tables import (
     read_rows,
     read_training_set,
@@ -75,6 +75,36 @@ def json_extract(spark, sf_dir):
     )
 
 
+@query
+def timeline_scan(spark, sf_dir):
+    """Posts written as JSON-lines files and read back through a glob."""
+    path = new_path(spark, "timelines")
+    posts(spark, sf_dir).write.json(path)
+    return read_posts(spark, f"{path}/*").select(
+        "id",
+        F.col("user.id").alias(ACCOUNT),
+        F.col("user.screen_name").alias("nombre_usuario"),
+        "source",
+        F.col("in_reply_to_status_id").alias("reply_to"),
+        F.length("text").cast("long").alias("n_chars"),
+        scalars.size_or_zero("entities.user_mentions").cast("long").alias("n_mentions"),
+    )
+
+
+@query
+def labelled_text_scan(spark, sf_dir):
+    """Two sets of JSON lines read for their text alone, and marked with their class."""
+    texts = labelled_texts(spark, sf_dir)
+    classes = {}
+    for label in (1, 0):
+        path = new_path(spark, f"texts-{label}")
+        texts.where(F.col("toxic") == label).select("id", "text", "source", "n_chars").write.json(path)
+        classes[float(label)] = read_texts(spark, path)
+    return evaluation.label_union(classes, "label").select(
+        "id", F.length("text").cast("long").alias("n_chars"), "label"
+    )
+
+
 @query
 def table_roundtrip(spark, sf_dir):
     """A feature table stored as a run and as a JSON training set, then read back."""
@@ -495,14 +525,20 @@ def model_roundtrip(spark, sf_dir):
 
 @query
 def score_stream(spark, sf_dir):
-    """Timelines arriving as files, a few per micro-batch, against one batch run."""
+    """Timelines arriving in two deliveries, scored as they come, against one batch run.
+
+    A delivery holds whole accounts, in files that split them freely: both deliveries are
+    single micro-batches.
+    """
     spam_detector, classifier = _models(spark, sf_dir)
     source, sink, checkpoint = (new_path(spark, n) for n in ("timelines", "scores", "stream"))
     everything = posts(spark, sf_dir)
-    everything.repartition(4, "user.id").write.json(source)
-    scoring.score_stream(
-        spark, source, sink, checkpoint, classifier, spam_detector, max_files_per_trigger=2
-    ).awaitTermination()
+    for delivery in (0, 1):
+        arrived = everything.where(F.pmod(F.xxhash64("user.id"), F.lit(2)) == delivery)
+        arrived.write.mode("append").json(source)
+        scoring.score_stream(
+            spark, source, sink, checkpoint, classifier, spam_detector
+        ).awaitTermination()
     streamed = read_rows(spark, sink).select(ACCOUNT, F.col("probabilidades").alias("streamed"))
     batch = judge.verdicts(judge.score_posts(everything, classifier, spam_detector))
     difference = F.aggregate(

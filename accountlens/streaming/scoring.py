@@ -22,12 +22,14 @@ def score_stream(
     max_files_per_trigger: int | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Score each timeline file that appears under ``source`` and store the result.
-
-    The account features need whole timelines. A micro-batch never splits a file, so
-    each file has to hold complete timelines; no state is kept between batches. Rows of
-    a batch are stored as run ``batch-<id>``, replacing an earlier attempt of the same
-    batch, which makes the sink exactly-once.
+    """Score the timelines that arrive as files under ``source`` and store the result.
+
+    The account features need whole timelines, and no state is kept between batches: a
+    micro-batch has to hold an account completely. By default a batch takes every file
+    that has arrived, so a delivery may split accounts over files as it likes. With
+    ``max_files_per_trigger`` each file must hold complete timelines; a file is never
+    split between batches. Rows of a batch are stored as run ``batch-<id>``, replacing
+    an earlier attempt of the same batch, which makes the sink exactly-once.
     """
     reader = spark.readStream.schema(POST_SCHEMA)
     if max_files_per_trigger:
