@@ -26,13 +26,18 @@ def salted_semi_join(
 
     ``keys`` has unique keys and, in ``n_rows``, how many rows each has. Hot keys are
     few by construction, so they are broadcast to tag the rows; a tagged row joins on
-    (key, hash of ``spread``) and the hot key's entry is replicated once per salt. All
-    other rows join on (key, 0). One pass over ``rows``.
+    (key, salt) and the hot key's entry is replicated once per salt. All other rows join
+    on (key, 0). One pass over ``rows``.
+
+    The salt is a hash of ``spread`` shifted by the input partition: equal rows scattered
+    over the input are split too, and a task that is run again salts as it did before.
     """
     hot = keys.where(F.col(n_rows) > hot_rows).select(key, F.lit(True).alias("_hot"))
     tagged = rows.join(F.broadcast(hot), key, "left").withColumn(
         "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int"),
+        F.when(F.col("_hot"), F.pmod(F.xxhash64(spread) + F.spark_partition_id(), F.lit(salts)))
+        .otherwise(F.lit(0))
+        .cast("int"),
     )
     replicated = keys.select(
         key,

@@ -79,13 +79,16 @@ def train_judge(
 ) -> JudgeTraining:
     """Train from the posts of three account classes.
 
-    The feature frame is stored once; splitting, folds and evaluation read the copy.
-    Accounts are split by a hash of their id, so none is in both halves. The training
+    Posts are read once, into narrow measures; the feature frame made from those is stored
+    as well, and splitting, folds and evaluation read that copy. Accounts are split by a hash of their id, so none is in both halves. The training
     half can be kept as well: ``training_set_path`` replaces a JSON training set,
     ``training_sink`` adds a run to a table of training rows.
     """
-    features = account_features(labelled_posts(humans, bots, cyborgs), spam_model, labelled=True)
-    with stored(features, "judge-training") as rows:
+    posts = labelled_posts(humans, bots, cyborgs)
+    with (
+        stored(post_measures(posts, spam_model, labelled=True), "judge-measures") as measures,
+        stored(features_from_measures(measures, labelled=True), "judge-training") as rows,
+    ):
         test, training = split_train_test(rows, [ACCOUNT])
         if training_set_path:
             write_training_set(training, training_set_path)
@@ -166,13 +169,12 @@ def score_batch(
     sink: str | None = None,
     stage_path: str | None = None,
 ) -> DataFrame:
-    """Score the timelines in some files; with ``sink`` append the result there.
+    """Score the timelines in some files; with ``sink`` store the result there as a run.
 
-    With a sink the returned frame reads the rows just stored, so nothing is computed
-    a second time.
+    With a sink the input is read once, through a stage that is dropped afterwards, and
+    the returned frame reads the stored rows: nothing is computed a second time.
     """
-    scored = score_posts(read_posts(spark, paths), judge_model, spam_model, stage_path=stage_path)
-    return _delivered(scored, sink)
+    return _scored(read_posts(spark, paths), judge_model, spam_model, sink, stage_path)
 
 
 def score_timeline(
@@ -183,15 +185,35 @@ def score_timeline(
     sink: str | None = None,
 ) -> DataFrame:
     """Score one timeline given as JSON lines in a string."""
-    return _delivered(score_posts(posts_from_text(spark, timeline), judge_model, spam_model), sink)
+    return _scored(posts_from_text(spark, timeline), judge_model, spam_model, sink)
 
 
-def _delivered(scored: DataFrame, sink: str | None) -> DataFrame:
+def store_scores(
+    posts: DataFrame,
+    judge_model: PipelineModel,
+    spam_model: PipelineModel | None,
+    sink: str,
+    run: str,
+    overwrite: bool = False,
+) -> None:
+    """Score posts in one pass over them and store the rows as a run."""
+    with stored(post_measures(posts, spam_model), "score-measures") as measures:
+        scored = score(judge_model, features_from_measures(measures))
+        store_run(scored, sink, run, overwrite=overwrite)
+
+
+def _scored(
+    posts: DataFrame,
+    judge_model: PipelineModel,
+    spam_model: PipelineModel | None,
+    sink: str | None,
+    stage_path: str | None = None,
+) -> DataFrame:
     if sink is None:
-        return scored
+        return score_posts(posts, judge_model, spam_model, stage_path=stage_path)
     run = uuid.uuid4().hex
-    store_run(scored, sink, run)
-    return read_run(scored.sparkSession, sink, run).select(*scored.columns)
+    store_scores(posts, judge_model, spam_model, sink, run)
+    return read_run(posts.sparkSession, sink, run).select(*PREDICTION_COLUMNS)
 
 
 def verdicts(scored: DataFrame) -> DataFrame:

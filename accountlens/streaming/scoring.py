@@ -6,10 +6,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from accountlens.plans.judge import score_posts
+from accountlens.plans.judge import store_scores
 from accountlens.schema import POST_SCHEMA
-from accountlens.session import delete_path, new_path
-from accountlens.sources.tables import store_run
 
 
 def score_stream(
@@ -36,12 +34,8 @@ def score_stream(
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
 
     def score_one(batch: DataFrame, batch_id: int) -> None:
-        stage = new_path(batch.sparkSession, "stream-stage")
-        try:
-            scored = score_posts(batch, judge_model, spam_model, stage_path=stage)
-            store_run(scored, sink, f"batch-{batch_id}", overwrite=True)
-        finally:
-            delete_path(batch.sparkSession, stage)
+        run = f"batch-{batch_id}"
+        store_scores(batch, judge_model, spam_model, sink, run, overwrite=True)
 
     writer = reader.json(source).writeStream.foreachBatch(score_one).option(
         "checkpointLocation", checkpoint

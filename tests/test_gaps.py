@@ -102,6 +102,12 @@ def test_min_history_with_and_without_hot_accounts(spark):
         assert Counter((r.user_id, r.id) for r in out.collect()) == expected
 
 
+def test_min_history_keeps_every_copy(spark):
+    rows = [(1, 100, 7)] * 300 + [(2, 100 + i, i) for i in range(5)] + [(3, 100, 1)] * 4
+    out = gaps.with_min_history(frame(spark, rows).repartition(8), hot_rows=50)
+    assert Counter(r.user_id for r in out.collect()) == {1: 300, 2: 5}
+
+
 def test_undated_posts_do_not_count_as_history(spark):
     rows = [(1, 100 + i, i) for i in range(4)] + [(1, None, 9)]
     assert gaps.with_min_history(frame(spark, rows)).count() == 0
