@@ -66,10 +66,12 @@ profile AS (
   FROM post QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY sec DESC, id DESC) = 1
 ),
 profile_feature AS (
-  SELECT user_id, con_imagen_fondo, strftime(make_timestamp(sec_cuenta * 1000000), '%Y-%m-%d %H:%M:%S') AS cuenta_creada,
+  SELECT user_id, con_imagen_fondo,
+         strftime(make_timestamp(sec_cuenta * 1000000), '%Y-%m-%d %H:%M:%S') AS cuenta_creada,
          n_favoritos, con_descripcion, longitud_descripcion, con_perfil_verificado, con_imagen_default, n_listas,
          con_geo_activo, n_tweets, nombre_usuario,
-         round(CASE WHEN seguidores + amigos > 0 THEN seguidores * 1.0 / (seguidores + amigos) ELSE 0 END, 6) AS reputacion,
+         round(CASE WHEN seguidores + amigos > 0 THEN seguidores * 1.0 / (seguidores + amigos)
+                    ELSE 0 END, 6) AS reputacion,
          round(CASE WHEN amigos > 0 THEN seguidores * 1.0 / amigos ELSE 0 END, 6) AS followers_ratio,
          CAST(year(make_timestamp(sec_cuenta * 1000000)) AS INTEGER) AS ano_registro
   FROM profile

@@ -528,7 +528,7 @@ def score_stream(spark, sf_dir):
     """Timelines arriving in two deliveries, scored as they come, against one batch run.
 
     A delivery holds whole accounts, in files that split them freely: both deliveries are
-    single micro-batches.
+    single micro-batches. The batch run reads the same files.
     """
     spam_detector, classifier = _models(spark, sf_dir)
     source, sink, checkpoint = (new_path(spark, n) for n in ("timelines", "scores", "stream"))
@@ -540,7 +540,7 @@ def score_stream(spark, sf_dir):
             spark, source, sink, checkpoint, classifier, spam_detector
         ).awaitTermination()
     streamed = read_rows(spark, sink).select(ACCOUNT, F.col("probabilidades").alias("streamed"))
-    batch = judge.verdicts(judge.score_posts(everything, classifier, spam_detector))
+    batch = judge.verdicts(judge.score_posts(read_posts(spark, source), classifier, spam_detector))
     difference = F.aggregate(
         F.zip_with("streamed", "probabilidades", lambda a, b: F.abs(a - b)),
         F.lit(0.0),

@@ -10,7 +10,6 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from accountlens.operators.evaluation import (
@@ -80,9 +79,10 @@ def train_judge(
     """Train from the posts of three account classes.
 
     Posts are read once, into narrow measures; the feature frame made from those is stored
-    as well, and splitting, folds and evaluation read that copy. Accounts are split by a hash of their id, so none is in both halves. The training
-    half can be kept as well: ``training_set_path`` replaces a JSON training set,
-    ``training_sink`` adds a run to a table of training rows.
+    as well, and splitting, folds and evaluation read that copy. Accounts are split by a
+    hash of their id, so none is in both halves. The training half can be kept as well:
+    ``training_set_path`` replaces a JSON training set, ``training_sink`` adds a run to a
+    table of training rows.
     """
     posts = labelled_posts(humans, bots, cyborgs)
     with (

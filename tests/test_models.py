@@ -27,6 +27,7 @@ from accountlens.sources.tables import read_rows
 
 SMALL = {"num_trees": 3, "max_depth": 2, "folds": 2}
 N = 40
+GOOD, BAD = "morning coffee friends walk book walk", "buy cheap now win money now"
 
 
 def spam_texts(n=60):
@@ -48,12 +49,12 @@ def class_posts(kind, base):
         account = base + i
         if kind == "human":
             gaps = [rng.randrange(600, 40_000) for _ in range(25)]
-            posts += timeline(account, gaps, "morning coffee friends walk book walk", "Twitter for Android", followers_count=50)
+            posts += timeline(account, gaps, GOOD, "Twitter for Android", followers_count=50)
         elif kind == "bot":
-            posts += timeline(account, [3600] * 30, "buy cheap now win money now", "autoposter", followers_count=1, friends_count=900)
+            posts += timeline(account, [3600] * 30, BAD, "autoposter", followers_count=1, friends_count=900)
         else:
             gaps = [1800 if rng.random() < 0.6 else rng.randrange(10_000) for _ in range(30)]
-            posts += timeline(account, gaps, ["buy cheap now win money now", "morning coffee friends walk book walk"], "Twitter Web Client", verified=True)
+            posts += timeline(account, gaps, [BAD, GOOD], "Twitter Web Client", verified=True)
     return posts
 
 
