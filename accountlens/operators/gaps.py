@@ -76,7 +76,11 @@ def _hot_gaps(dated: DataFrame, key: str, seconds: str, order: tuple[str, ...])
             F.lit(True).alias("_head"),
         )
     )
-    posts = repeat_rows(distinct.join(heads, columns, "left"), "_copies", "_nth")
+    # Order columns may be null (posts without an id), hence the null-safe comparison.
+    d, h = distinct.alias("d"), heads.alias("h")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"h.{c}")) for c in columns]
+    marked = d.join(h, same, "left").select("d.*", "h._gap", "h._head")
+    posts = repeat_rows(marked, "_copies", "_nth")
     is_first = F.col("_head").isNotNull() & (F.col("_nth") == 0)
     return posts.select(
         *columns, F.when(is_first, F.col("_gap")).otherwise(F.lit(0).cast("long")).alias("gap")

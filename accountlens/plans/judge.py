@@ -224,7 +224,7 @@ def verdicts(scored: DataFrame) -> DataFrame:
 def feature_importance(model: PipelineModel) -> DataFrame:
     """(feature, importance) of the forest, one row per vector slot (55)."""
     vector = model.stages[-1].featureImportances.toArray()
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.builder.getOrCreate()
     return spark.createDataFrame(
         [(name, float(v)) for name, v in zip(FEATURE_COLUMNS, vector, strict=True)],
         "feature string, importance double",

@@ -54,6 +54,16 @@ def test_post_gaps_keep_every_copy_of_a_post(spark):
         assert got == expected
 
 
+def test_post_gaps_without_post_ids(spark):
+    rows = [(u, sec, None) for u, sec, _ in sample(6, users=2, posts=30)]
+    expected = Counter(
+        (u, None, g) for (u, _, g) in brute_gaps([(u, s, i) for i, (u, s, _) in enumerate(rows)]).elements()
+    )
+    for hot_rows in (10**9, 0):
+        out = gaps.post_gaps(frame(spark, rows), hot_rows=hot_rows)
+        assert Counter((r.user_id, r.id, r.gap) for r in out.collect()) == expected
+
+
 def test_hot_accounts_are_not_gathered(spark):
     """The hot path has no window or join on the account alone over its posts."""
     plan = gaps.post_gaps(frame(spark, sample(3)), hot_rows=10)._jdf.queryExecution().toString()
