@@ -56,7 +56,7 @@ def epoch_seconds(ts: ColumnOrName) -> Column:
     return F.unix_timestamp(_col(ts))
 
 
-def _utc_date(seconds: ColumnOrName) -> Column:
+def utc_date(seconds: ColumnOrName) -> Column:
     return F.date_from_unix_date(
         F.floor(_col(seconds) / F.lit(SECONDS_PER_DAY)).cast("int")
     )
@@ -65,20 +65,20 @@ def _utc_date(seconds: ColumnOrName) -> Column:
 # Calendar parts are taken from epoch seconds, so they are the UTC ones whatever the
 # session time zone is.
 def year_of(seconds: ColumnOrName) -> Column:
-    return F.year(_utc_date(seconds))
+    return F.year(utc_date(seconds))
 
 
 def month_of(seconds: ColumnOrName) -> Column:
-    return F.month(_utc_date(seconds))
+    return F.month(utc_date(seconds))
 
 
 def weekday_of(seconds: ColumnOrName) -> Column:
     """0 = Monday .. 6 = Sunday."""
-    return F.weekday(_utc_date(seconds))
+    return F.weekday(utc_date(seconds))
 
 
 def weekday_name(seconds: ColumnOrName) -> Column:
-    return F.date_format(_utc_date(seconds), "EEEE")
+    return F.date_format(utc_date(seconds), "EEEE")
 
 
 def hour_of(seconds: ColumnOrName) -> Column:

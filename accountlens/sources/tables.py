@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from accountlens.functions import scalars
 from accountlens.session import delete_path
 
 STAMP = "createdAt"
@@ -14,6 +15,11 @@ DAY = "created_date"
 RUN = "run"
 
 
+def _day(stamp: Column) -> Column:
+    """UTC day, so that writers and readers in different session time zones agree."""
+    return scalars.utc_date(scalars.epoch_seconds(stamp))
+
+
 def write_training_set(df: DataFrame, path: str, fmt: str = "json") -> None:
     """Replace the stored training set."""
     df.write.format(fmt).mode("overwrite").save(path)
@@ -33,7 +39,7 @@ def store_run(
     (``overwrite``) replaces exactly its own rows.
     """
     (
-        df.withColumn(DAY, F.to_date(STAMP))
+        df.withColumn(DAY, _day(F.col(STAMP)))
         .write.format(fmt)
         .mode("overwrite" if overwrite else "errorifexists")
         .partitionBy(DAY)
@@ -68,15 +74,16 @@ def unexpired(
     """
     oldest = _as_of(as_of) - F.make_dt_interval(secs=F.lit(float(ttl_seconds)))
     live = df.where(F.col(stamp) > oldest)
-    return live.where(F.col(DAY) >= F.to_date(oldest)) if DAY in df.columns else live
+    return live.where(F.col(DAY) >= _day(oldest)) if DAY in df.columns else live
 
 
 def drop_expired(spark: SparkSession, path: str, ttl_seconds: int, as_of: datetime) -> list[str]:
     """Delete the day partitions that lie wholly before the horizon; returns their days.
 
-    Rows of the horizon's own day stay on disk and are hidden by :func:`unexpired`.
+    A naive ``as_of`` is local time, as elsewhere in Python. Rows of the horizon's own day
+    stay on disk and are hidden by :func:`unexpired`.
     """
-    horizon = (as_of - timedelta(seconds=ttl_seconds)).date().isoformat()
+    horizon = (as_of.astimezone(timezone.utc) - timedelta(seconds=ttl_seconds)).date().isoformat()
     pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{RUN}=*/{DAY}=*")
     fs = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
     dropped = set()

@@ -100,6 +100,24 @@ def test_retention(spark, tmp_path):
     assert drop_expired(spark, path, ttl, as_of) == []
 
 
+def test_retention_across_session_time_zones(spark, tmp_path):
+    path = str(tmp_path / "scores")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Pacific/Honolulu")
+        stamps = ["2024-01-30 15:00:00", "2024-01-30 13:59:00"]  # 01:00 and 23:59 in UTC
+        df = spark.createDataFrame([(s,) for s in stamps], "s string").select(
+            F.col("s").cast("timestamp").alias("createdAt")
+        )
+        store_run(df, path, "a")
+        spark.conf.set("spark.sql.session.timeZone", "Pacific/Auckland")
+        as_of = F.timestamp_seconds(F.lit(1_706_666_400))  # 2024-01-31 02:00 UTC
+        assert unexpired(read_rows(spark, path), 2 * 3600, as_of).count() == 1
+        assert unexpired(read_rows(spark, path), 3 * 3600, as_of).count() == 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_unexpired_without_partitions(spark):
     df = stamped(spark, [0, 1, 2])
     assert unexpired(df, 86_401, F.lit("2024-01-31 12:00:00").cast("timestamp")).count() == 2
