@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accountlens.llm import bpe, hamming, lattice, minhash, mixing
+from accountlens.llm import bpe, chunks, hamming, lattice, lines, minhash, mixing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +124,28 @@ with recursive v as (
 select vec_id, coalesce(n, 0) as n_links, component_id, component_id = vec_id as kept
 from v left join counts on a = vec_id join least on node = vec_id
 """
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.passages_by_document(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    text = lambda spans: F.concat_ws(
+        ",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    )
+    return found.select(
+        "doc_id",
+        *(count(kind).alias(f"n_{kind}") for kind in secrets.BASE),
+        F.sha2(text("base"), 256).alias("base_sha256"),
+        text("spans").alias("spans"),
+    )
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
