@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accountlens.llm import bpe, chunks, hamming, lattice, lines, minhash, mixing, secrets
+from accountlens.llm import (
+    bpe,
+    chunks,
+    hamming,
+    lattice,
+    licences,
+    lines,
+    minhash,
+    mixing,
+    secrets,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -149,3 +160,37 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(spark, sf_dir, "documents"))
+
+
+#: Label columns as categories of the chain, in its order.
+CATEGORIES = ("low_quality", "toxic")
+
+
+def toxicity_labels(labels: DataFrame) -> DataFrame:
+    return labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with the probabilities of a chain trained on them and ``labels``."""
+    return toxicity.score(docs, toxicity.train(docs, toxicity_labels(labels), list(CATEGORIES)))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity_scores(docs, table(spark, sf_dir, "labels"))
+    p = [F.round(f"toxicity.{c}", 6).alias(f"p_{c}") for c in CATEGORIES]
+    return scored.select("doc_id", *p, (F.col("toxicity.toxic") >= toxicity.THRESHOLD).alias("toxic"))
+
+
+@query
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = licences.scan(docs, licences.train(docs))
+    return found.select(
+        "doc_id",
+        "n_paragraphs",
+        F.size("found").cast("long").alias("n_licensed"),
+        F.array_sort(F.array_distinct("found.family")).alias("families"),
+        F.concat_ws(",", F.transform("found", lambda x: F.concat_ws(":", x["paragraph"], x["family"]))).alias("paragraphs"),
+    )
