@@ -9,10 +9,10 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-5, steps: int = 150) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 150) -> np.ndarray:
     """Weights, the intercept last; accelerated gradient steps of fixed number, so reruns agree.
 
-    With one class only the weights are 0 and the intercept says so.
+    Columns are scaled to equal size while fitting, so that rare features are learnt as fast. With one class only the weights are 0 and the intercept says so.
     """
     n, d = x.shape
     w = np.zeros(d + 1, np.float32)
@@ -20,7 +20,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-5, steps: int
     w[-1] = np.log(rate / (1 - rate))
     if n == 0 or y.min() == y.max():
         return w
-    x = np.concatenate([x, np.ones((n, 1), x.dtype)], axis=1)
+    scale = 1 / np.sqrt((x * x).mean(axis=0) + 1e-6)
+    x = np.concatenate([x * scale, np.ones((n, 1), x.dtype)], axis=1)
     # the largest eigenvalue bounds the curvature
     v = np.ones(d + 1, np.float32) / np.sqrt(d + 1)
     for _ in range(12):
@@ -33,6 +34,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-5, steps: int
         gradient = x.T @ (sigmoid(x @ ahead) - y).astype(np.float32) / n
         gradient[:-1] += penalty * ahead[:-1]
         before, w = w, (ahead - step * gradient).astype(np.float32)
+    w[:-1] *= scale
     return w
 
 
