@@ -4,8 +4,8 @@ A line is the set of its words (separated by space or TAB..CR, lower case). A li
 earlier one, by (doc_id, number), has a Jaccard similarity of ``THRESHOLD`` or more, be that one
 removed itself or not. Equal sets meet by their digest. Distinct sets are joined on the words of
 their prefixes: words are ordered by rarity in the corpus, so a prefix holds the rarest ones, and
-two similar sets must share a word of their prefixes. Length and position of the shared word rule out
-most candidates before the full sets are compared.
+two similar sets must share a word of their prefixes. Length and position of the shared word, and 64 parity
+bits of each set, rule out most candidates before the full sets are compared.
 
 Words are known by 56 bits of their hash, rarity by the number of words in the same of ``BUCKETS``
 buckets, on a scale of powers of two: any order that is the same for all lines gives the same
@@ -24,37 +24,44 @@ from accountlens.llm.common import checkpointed
 
 THRESHOLD = 0.8
 BUCKETS = 1 << 15
-_SEPARATOR = r"[\x20\x09-\x0D]+"
 _SALTS = 16
 
 
-def _bucket(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(BUCKETS))
+def _words(text: Column) -> Column:
+    """Words of a text, with empty ones between; a split at a plain character needs no regular expression."""
+    for other in "\t\n\x0b\f\r":
+        text = F.replace(text, F.lit(other), F.lit(" "))
+    return F.split(F.lower(text), " ")
 
 
 def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Rarity class (power of two of the count) of every bucket, over all words: a sketch of fixed size."""
     counts = (
-        docs.select(F.explode(F.split(F.lower(F.col(text_col)), _SEPARATOR)).alias("token"))
-        .groupBy(_bucket(F.col("token")).alias("bucket"))
+        docs.select(F.explode(_words(F.col(text_col))).alias("token"))
+        .groupBy(F.xxhash64("token").bitwiseAND(BUCKETS - 1).alias("bucket"))
         .agg(F.floor(F.log2(F.count("*"))).cast("int").alias("class"))
     )
-    classes = np.zeros(BUCKETS, np.int32)
+    classes = np.zeros(BUCKETS, np.int64)
     for row in counts.collect():  # one number per bucket, whatever the corpus
-        if row["bucket"] is not None:
-            classes[row["bucket"]] = row["class"]
+        classes[row["bucket"]] = row["class"]
     return classes
 
 
 def _ranked(line: Column, classes: Column) -> Column:
     """Distinct words of a line as numbers, rarest first."""
-    def rank(token: Column) -> Column:
-        h = F.xxhash64(token)
-        rare = F.get(classes, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long")
-        return F.shiftleft(rare, 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1))
+    hashes = F.transform(F.array_remove(_words(line), ""), lambda token: F.xxhash64(token))
 
-    tokens = F.array_remove(F.split(F.lower(line), _SEPARATOR), "")
-    return F.sort_array(F.array_distinct(F.transform(tokens, rank)))
+    def rank(h: Column) -> Column:
+        return F.get(classes, h.bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    return F.sort_array(F.transform(F.array_distinct(hashes), rank))
+
+
+def _parity(words: Column) -> Column:
+    """64 bits, each the parity of the words that fall on it: two sets differ in as many words at least."""
+    one = F.lit(1).cast("long")
+    bit = lambda w: F.call_function("shiftleft", one, w.bitwiseAND(63).cast("int"))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(bit(w)))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -66,57 +73,74 @@ def _least_shared(n: str, other: str, threshold: float) -> Column:
     return F.ceil((F.col(n) + F.col(other)) * (threshold / (1 + threshold)) - 1e-9)
 
 
+def _candidates(sets: DataFrame, earlier: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (at, at_1) that share a word of their prefixes and may be similar, the second earlier."""
+    least = _least_shared("n", "n_1", threshold)
+    differ = F.bit_count(F.col("parity").bitwiseXOR(F.col("parity_1")))
+    return checkpointed(
+        sets.join(earlier, "word")
+        .where("at_1 < at")
+        .where(least <= F.least("n", "n_1"))
+        .where(least <= 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n_1") - F.col("pos_1") - 1))
+        .where(differ <= F.col("n") + F.col("n_1") - 2 * least)
+        .select("at", "at_1")
+        .distinct()
+    )
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, classes: Column, threshold: float) -> DataFrame:
+    """(at): the later lines of the pairs whose whole sets are similar. Sets come from the texts anew."""
+    at = F.struct("doc_id", "line_no").alias("at")
+    needed = pairs.select("at").union(pairs.select("at_1")).distinct()
+    needed = needed.select(F.col("at.doc_id").alias("need_id"), F.col("at.line_no").alias("need_no"))
+    same_id = F.col("doc_id").eqNullSafe(F.col("need_id"))
+    full = checkpointed(
+        _lines(texts.join(needed.select("need_id").distinct(), same_id, "leftsemi"))
+        .join(needed, same_id & (F.col("line_no") == F.col("need_no")), "leftsemi")
+        .select(at, _ranked(F.col("line"), classes).alias("words"))
+        .dropDuplicates(["at"])
+    )
+    shared = F.size(F.array_intersect("words", "words_1"))
+    return (
+        pairs.join(full, "at")
+        .join(full.toDF("at_1", "words_1"), "at_1")
+        .select("at", shared.alias("k"), (F.size("words") + F.size("words_1")).alias("both"))
+        .where(F.col("k") >= (F.col("both") - F.col("k")) * threshold - 1e-9)
+        .select("at")
+        .distinct()
+    )
+
+
 def removed_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
     """(doc_id, line_no) of the lines to remove, numbered from 0, each once."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    classes = F.lit(rarity(texts))
+    classes = F.lit(rarity(texts) << 56)
     words = _lines(texts).withColumn("words", _ranked(F.col("line"), classes)).where(F.size("words") > 0)
     n = F.size("words")
     keys = ["key_a", "key_b"]
     lines = checkpointed(
         words.select(
             "doc_id", "line_no", F.xxhash64("words").alias("key_a"), F.hash("words", n).alias("key_b"), n.alias("n"),
+            _parity(F.col("words")).alias("parity"),
             F.slice("words", 1, (n - F.ceil(n * threshold - 1e-9) + 1).cast("int")).alias("prefix"),
         )
     )
     at = F.struct("doc_id", "line_no")
-    sets = checkpointed(
-        lines.groupBy(*keys).agg(F.min(at).alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    )
-    place = sets.select(*keys, "at", "n", F.posexplode("prefix").alias("pos", "word"))
-    other = place.select(*(F.col(c).alias(f"{c}_2") for c in (*keys, "at", "n", "pos")), "word")
-    least = _least_shared("n", "n_2", threshold)
-    pairs = checkpointed(
-        place.join(other, "word")
-        .where("at < at_2")
-        .where(least <= F.least("n", "n_2"))
-        .where(least <= 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n_2") - F.col("pos_2") - 1))
-        .select("at", "at_2")
-        .distinct()
-    )
-    # the full sets of the candidates, from their first occurrences
-    needed = pairs.select("at").union(pairs.select("at_2")).distinct()
-    needed = needed.select(F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"))
-    of = [F.col("doc_id").eqNullSafe(F.col("need_id")), F.col("line_no") == F.col("need_no")]
-    ids = needed.select(F.col("doc_id").alias("need_id")).distinct()
-    full = (
-        _lines(texts.join(ids, of[0], "leftsemi"))
-        .join(needed.toDF("need_id", "need_no"), of, "leftsemi")
-        .select(at.alias("at"), _ranked(F.col("line"), classes).alias("words"))
-        .dropDuplicates(["at"])
-    )
-    full = checkpointed(full)
-    shared = F.size(F.array_intersect("words", "words_2"))
-    similar = (
-        pairs.join(full, "at")
-        .join(full.toDF("at_2", "words_2"), "at_2")
-        .select("at_2", shared.alias("k"), (F.size("words") + F.size("words_2")).alias("both"))
-        .where(F.col("k") >= (F.col("both") - F.col("k")) * threshold - 1e-9)
-        .select(F.col("at_2").alias("at"), F.lit(True).alias("similar"))
-        .distinct()
-    )
+    first = [F.first(c).alias(c) for c in ("n", "parity", "prefix")]
+    sets = checkpointed(lines.groupBy(*keys).agg(F.min(at).alias("at"), *first))
+    place = sets.select("at", "n", "parity", F.posexplode("prefix").alias("pos", "word"))
+    # first with the earliest set of each word: in a group of near copies that decides nearly all
+    hub = F.min(F.struct("at", "n", "parity", "pos")).alias("hub")
+    hubs = checkpointed(place.groupBy("word").agg(hub, F.count("*").alias("sets")).where("sets > 1").drop("sets"))
+    hubs = hubs.select("word", *(F.col(f"hub.{c}").alias(f"{c}_1") for c in ("at", "n", "parity", "pos")))
+    found = checkpointed(_confirmed(_candidates(place, hubs, threshold), texts, classes, threshold))
+    # what is left, with every earlier set
+    left = sets.join(found, "at", "leftanti").select("at", "n", "parity", F.posexplode("prefix").alias("pos", "word"))
+    earlier = place.select("word", *(F.col(c).alias(f"{c}_1") for c in ("at", "n", "parity", "pos")))
+    similar = found.union(_confirmed(_candidates(left, earlier, threshold), texts, classes, threshold))
+    similar = similar.withColumn("similar", F.lit(True))
     # of each set: where it stands first, and whether that place goes too; salted, as one line may be most
     marked = checkpointed(sets.join(similar, "at", "left").select(*keys, "at", F.coalesce("similar", F.lit(False)).alias("similar")))
     salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
