@@ -7,7 +7,7 @@ their prefixes: words are ordered by rarity in the corpus, so a prefix holds the
 two similar sets must share a word of their prefixes. Length and position of the shared word, and 64 parity
 bits of each set, rule out most candidates before the full sets are compared.
 
-Words are known by 56 bits of their hash, rarity by the number of words in the same of ``BUCKETS``
+Words are known by 59 bits of their hash, rarity by the number of words in the same of half a million
 buckets, on a scale of powers of two: any order that is the same for all lines gives the same
 result. Lines without words (blank ones, null and empty texts) are never removed. A null doc_id comes
 before all others. Rows that repeat a doc_id count as one document: what stands at the same place twice
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from accountlens.llm.common import checkpointed
 
 THRESHOLD = 0.8
-BUCKETS = 1 << 15
+#: Numbers that hold the rarity of sixteen buckets of words each.
+PACKED = 1 << 15
 _SALTS = 16
 
 
@@ -35,24 +36,35 @@ def _words(text: Column) -> Column:
 
 
 def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Rarity class (power of two of the count) of every bucket, over all words: a sketch of fixed size."""
-    counts = (
-        docs.select(F.explode(_words(F.col(text_col))).alias("token"))
-        .groupBy(F.xxhash64("token").bitwiseAND(BUCKETS - 1).alias("bucket"))
-        .agg(F.floor(F.log2(F.count("*"))).cast("int").alias("class"))
+    """Rarity classes of all buckets over all words, sixteen to a number: a sketch of fixed size."""
+    counts = checkpointed(
+        docs.select(F.explode(_words(F.col(text_col))).alias("word"))
+        .groupBy(F.xxhash64("word").bitwiseAND(16 * PACKED - 1).alias("bucket"))
+        .agg(F.count("*").alias("n"))
     )
-    classes = np.zeros(BUCKETS, np.int64)
-    for row in counts.collect():  # one number per bucket, whatever the corpus
-        classes[row["bucket"]] = row["class"]
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    base = max(0, int(np.log2(max(1, total) / (16 * PACKED))) - 3)
+    rare = F.least(F.lit(15), F.greatest(F.lit(0), F.floor(F.log2("n")) - base)).cast("long")
+    place = (F.shiftright("bucket", PACKED.bit_length() - 1) * 4).cast("int")
+    packed = counts.groupBy(F.col("bucket").bitwiseAND(PACKED - 1).alias("at")).agg(
+        F.bit_or(F.call_function("shiftleft", rare, place)).alias("classes")
+    )
+    classes = np.zeros(PACKED, np.int64)
+    for row in packed.collect():  # at most PACKED numbers, whatever the corpus
+        if row["at"] is not None:
+            classes[row["at"]] = row["classes"]
     return classes
 
 
 def _ranked(line: Column, classes: Column) -> Column:
-    """Distinct words of a line as numbers, rarest first."""
-    hashes = F.transform(F.array_remove(_words(line), ""), lambda token: F.xxhash64(token))
+    """Distinct words of a line as numbers, rarest first: four bits of rarity, the rest of the hash."""
+    hashes = F.transform(F.array_remove(_words(line), ""), lambda word: F.xxhash64(word))
 
     def rank(h: Column) -> Column:
-        return F.get(classes, h.bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8))
+        packed = F.get(classes, h.bitwiseAND(PACKED - 1).cast("int"))
+        place = (F.shiftright(h, PACKED.bit_length() - 1).bitwiseAND(15) * 4).cast("int")
+        rare = F.call_function("shiftrightunsigned", packed, place).bitwiseAND(15)
+        return F.shiftleft(rare, 59).bitwiseOR(F.shiftrightunsigned(h, 5))
 
     return F.sort_array(F.transform(F.array_distinct(hashes), rank))
 
@@ -73,19 +85,32 @@ def _least_shared(n: str, other: str, threshold: float) -> Column:
     return F.ceil((F.col(n) + F.col(other)) * (threshold / (1 + threshold)) - 1e-9)
 
 
-def _candidates(sets: DataFrame, earlier: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (at, at_1) that share a word of their prefixes and may be similar, the second earlier."""
+def _prefix(n: Column, threshold: float) -> Column:
+    """Length of the prefix of a set of n words."""
+    return (n - F.ceil(n * threshold - 1e-9) + 1).cast("int")
+
+
+def _candidates(sets: DataFrame, earlier: DataFrame, threshold: float, all_words: bool) -> DataFrame:
+    """Pairs (at, at_1) that share words of their prefixes and may be similar, the second earlier.
+
+    ``all_words`` says that a pair meets on every such word: these, and what follows the shorter
+    rest, must then be as many as similar sets share.
+    """
     least = _least_shared("n", "n_1", threshold)
     differ = F.bit_count(F.col("parity").bitwiseXOR(F.col("parity_1")))
-    return checkpointed(
+    met = (
         sets.join(earlier, "word")
         .where("at_1 < at")
         .where(least <= F.least("n", "n_1"))
-        .where(least <= 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n_1") - F.col("pos_1") - 1))
         .where(differ <= F.col("n") + F.col("n_1") - 2 * least)
-        .select("at", "at_1")
-        .distinct()
+        .groupBy("at", "at_1", "n", "n_1")
+        .agg(F.count("*").alias("met"), F.min("pos").alias("pos"), F.min("pos_1").alias("pos_1"))
+        .where(least <= F.least(F.col("n") - F.col("pos"), F.col("n_1") - F.col("pos_1")))
     )
+    if all_words:
+        rest = F.greatest(*(F.col(n) - _prefix(F.col(n), threshold) for n in ("n", "n_1")))
+        met = met.where(least <= F.col("met") + rest)
+    return checkpointed(met.select("at", "at_1"))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, classes: Column, threshold: float) -> DataFrame:
@@ -116,7 +141,7 @@ def removed_lines(
 ) -> DataFrame:
     """(doc_id, line_no) of the lines to remove, numbered from 0, each once."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    classes = F.lit(rarity(texts) << 56)
+    classes = F.lit(rarity(texts))
     words = _lines(texts).withColumn("words", _ranked(F.col("line"), classes)).where(F.size("words") > 0)
     n = F.size("words")
     keys = ["key_a", "key_b"]
@@ -124,7 +149,7 @@ def removed_lines(
         words.select(
             "doc_id", "line_no", F.xxhash64("words").alias("key_a"), F.hash("words", n).alias("key_b"), n.alias("n"),
             _parity(F.col("words")).alias("parity"),
-            F.slice("words", 1, (n - F.ceil(n * threshold - 1e-9) + 1).cast("int")).alias("prefix"),
+            F.slice("words", 1, _prefix(n, threshold)).alias("prefix"),
         )
     )
     at = F.struct("doc_id", "line_no")
@@ -135,11 +160,11 @@ def removed_lines(
     hub = F.min(F.struct("at", "n", "parity", "pos")).alias("hub")
     hubs = checkpointed(place.groupBy("word").agg(hub, F.count("*").alias("sets")).where("sets > 1").drop("sets"))
     hubs = hubs.select("word", *(F.col(f"hub.{c}").alias(f"{c}_1") for c in ("at", "n", "parity", "pos")))
-    found = checkpointed(_confirmed(_candidates(place, hubs, threshold), texts, classes, threshold))
+    found = checkpointed(_confirmed(_candidates(place, hubs, threshold, False), texts, classes, threshold))
     # what is left, with every earlier set
     left = sets.join(found, "at", "leftanti").select("at", "n", "parity", F.posexplode("prefix").alias("pos", "word"))
     earlier = place.select("word", *(F.col(c).alias(f"{c}_1") for c in ("at", "n", "parity", "pos")))
-    similar = found.union(_confirmed(_candidates(left, earlier, threshold), texts, classes, threshold))
+    similar = found.union(_confirmed(_candidates(left, earlier, threshold, True), texts, classes, threshold))
     similar = similar.withColumn("similar", F.lit(True))
     # of each set: where it stands first, and whether that place goes too; salted, as one line may be most
     marked = checkpointed(sets.join(similar, "at", "left").select(*keys, "at", F.coalesce("similar", F.lit(False)).alias("similar")))
