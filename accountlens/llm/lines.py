@@ -113,15 +113,33 @@ def _candidates(sets: DataFrame, earlier: DataFrame, threshold: float, all_words
     return checkpointed(met.select("at", "at_1"))
 
 
+def _hashed(*columns: str) -> Column:
+    return F.xxhash64(*columns).bitwiseAND(64 * PACKED - 1)
+
+
+def _bits(needed: DataFrame) -> np.ndarray:
+    """Two million bits, set where a needed line falls: keeps most other lines out of a shuffle."""
+    h = _hashed("need_id", "need_no")
+    one = F.lit(1).cast("long")
+    set_ = F.bit_or(F.call_function("shiftleft", one, h.bitwiseAND(63).cast("int"))).alias("bits")
+    bits = np.zeros(PACKED, np.int64)
+    for row in needed.groupBy(F.shiftrightunsigned(h, 6).alias("at")).agg(set_).collect():
+        bits[row["at"]] = row["bits"]
+    return bits
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, classes: Column, threshold: float) -> DataFrame:
     """(at): the later lines of the pairs whose whole sets are similar. Sets come from the texts anew."""
     at = F.struct("doc_id", "line_no").alias("at")
-    needed = pairs.select("at").union(pairs.select("at_1")).distinct()
+    needed = checkpointed(pairs.select("at").union(pairs.select("at_1")).distinct())
     needed = needed.select(F.col("at.doc_id").alias("need_id"), F.col("at.line_no").alias("need_no"))
-    same_id = F.col("doc_id").eqNullSafe(F.col("need_id"))
+    same = F.col("doc_id").eqNullSafe(F.col("need_id")) & (F.col("line_no") == F.col("need_no"))
+    maybe = F.get(F.lit(_bits(needed)), F.shiftrightunsigned(_hashed("doc_id", "line_no"), 6).cast("int"))
+    bit = F.call_function("shiftrightunsigned", maybe, _hashed("doc_id", "line_no").bitwiseAND(63).cast("int"))
     full = checkpointed(
-        _lines(texts.join(needed.select("need_id").distinct(), same_id, "leftsemi"))
-        .join(needed, same_id & (F.col("line_no") == F.col("need_no")), "leftsemi")
+        _lines(texts)
+        .where(bit.bitwiseAND(1) == 1)
+        .join(needed, same, "leftsemi")
         .select(at, _ranked(F.col("line"), classes).alias("words"))
         .dropDuplicates(["at"])
     )
@@ -159,11 +177,13 @@ def removed_lines(
     # first with the earliest set of each word: in a group of near copies that decides nearly all
     hub = F.min(F.struct("at", "n", "parity", "pos")).alias("hub")
     hubs = checkpointed(place.groupBy("word").agg(hub, F.count("*").alias("sets")).where("sets > 1").drop("sets"))
-    hubs = hubs.select("word", *(F.col(f"hub.{c}").alias(f"{c}_1") for c in ("at", "n", "parity", "pos")))
-    found = checkpointed(_confirmed(_candidates(place, hubs, threshold, False), texts, classes, threshold))
+    shared = checkpointed(place.join(hubs.select("word"), "word", "leftsemi"))
+    by_word = [F.col(f"hub.{c}").alias(f"{c}_1") for c in ("at", "n", "parity", "pos")]
+    found = _candidates(shared, hubs.select("word", *by_word), threshold, False)
+    found = checkpointed(_confirmed(found, texts, classes, threshold))
     # what is left, with every earlier set
-    left = sets.join(found, "at", "leftanti").select("at", "n", "parity", F.posexplode("prefix").alias("pos", "word"))
-    earlier = place.select("word", *(F.col(c).alias(f"{c}_1") for c in ("at", "n", "parity", "pos")))
+    left = shared.join(found, "at", "leftanti")
+    earlier = shared.select("word", *(F.col(c).alias(f"{c}_1") for c in ("at", "n", "parity", "pos")))
     similar = found.union(_confirmed(_candidates(left, earlier, threshold, True), texts, classes, threshold))
     similar = similar.withColumn("similar", F.lit(True))
     # of each set: where it stands first, and whether that place goes too; salted, as one line may be most
