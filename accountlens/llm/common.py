@@ -7,12 +7,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from accountlens.session import shared_dir
+from accountlens.session import delete_path, new_path, shared_dir
 
 #: Words a task remembers the hash of; a full memory is emptied and filled anew.
 REMEMBERED_WORDS = 300_000
@@ -33,6 +33,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 
+class Scratch:
+    """Intermediate tables in the shared folder, deleted together on exit.
+
+    They take less room than checkpoints. What leaves the block must not read them: checkpoint it.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path, self.tables = spark, new_path(spark, "scratch"), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.tables += 1
+        path = f"{self.path}/{self.tables}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_) -> None:
+        delete_path(self.spark, self.path)
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], ddl: str) -> DataFrame:
     """Rows of ``df`` through ``make()(batch) -> columns``, one call of ``make`` per task."""
     schema = _parse_datatype_string(ddl)

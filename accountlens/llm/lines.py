@@ -7,7 +7,7 @@ their prefixes: words are ordered by rarity in the corpus, so a prefix holds the
 two similar sets must share a word of their prefixes. Length and position of the shared word, and 64 parity
 bits of each set, rule out most candidates before the full sets are compared.
 
-Words are known by 59 bits of their hash, rarity by the number of words in the same of half a million
+Words are known by 58 bits of their hash, rarity by the number of words in the same of ``BUCKETS``
 buckets, on a scale of powers of two: any order that is the same for all lines gives the same
 result. Lines without words (blank ones, null and empty texts) are never removed. A null doc_id comes
 before all others. Rows that repeat a doc_id count as one document: what stands at the same place twice
@@ -20,11 +20,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accountlens.llm.common import checkpointed
+from accountlens.llm.common import Scratch, checkpointed
 
 THRESHOLD = 0.8
-#: Numbers that hold the rarity of sixteen buckets of words each.
-PACKED = 1 << 15
+BUCKETS = 1 << 15
 _SALTS = 16
 
 
@@ -36,35 +35,25 @@ def _words(text: Column) -> Column:
 
 
 def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Rarity classes of all buckets over all words, sixteen to a number: a sketch of fixed size."""
-    counts = checkpointed(
+    """Rarity class (power of two of the count) of every bucket, over all words: a sketch of fixed size."""
+    counts = (
         docs.select(F.explode(_words(F.col(text_col))).alias("word"))
-        .groupBy(F.xxhash64("word").bitwiseAND(16 * PACKED - 1).alias("bucket"))
-        .agg(F.count("*").alias("n"))
+        .groupBy(F.xxhash64("word").bitwiseAND(BUCKETS - 1).alias("bucket"))
+        .agg(F.floor(F.log2(F.count("*"))).cast("int").alias("class"))
     )
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    base = max(0, int(np.log2(max(1, total) / (16 * PACKED))) - 3)
-    rare = F.least(F.lit(15), F.greatest(F.lit(0), F.floor(F.log2("n")) - base)).cast("long")
-    place = (F.shiftright("bucket", PACKED.bit_length() - 1) * 4).cast("int")
-    packed = counts.groupBy(F.col("bucket").bitwiseAND(PACKED - 1).alias("at")).agg(
-        F.bit_or(F.call_function("shiftleft", rare, place)).alias("classes")
-    )
-    classes = np.zeros(PACKED, np.int64)
-    for row in packed.collect():  # at most PACKED numbers, whatever the corpus
-        if row["at"] is not None:
-            classes[row["at"]] = row["classes"]
+    classes = np.zeros(BUCKETS, np.int64)
+    for row in counts.collect():  # one number per bucket, whatever the corpus
+        if row["bucket"] is not None:
+            classes[row["bucket"]] = row["class"]
     return classes
 
 
 def _ranked(line: Column, classes: Column) -> Column:
-    """Distinct words of a line as numbers, rarest first: four bits of rarity, the rest of the hash."""
+    """Distinct words of a line as numbers, rarest first: the bucket's rarity, then the hash."""
     hashes = F.transform(F.array_remove(_words(line), ""), lambda word: F.xxhash64(word))
 
     def rank(h: Column) -> Column:
-        packed = F.get(classes, h.bitwiseAND(PACKED - 1).cast("int"))
-        place = (F.shiftright(h, PACKED.bit_length() - 1).bitwiseAND(15) * 4).cast("int")
-        rare = F.call_function("shiftrightunsigned", packed, place).bitwiseAND(15)
-        return F.shiftleft(rare, 59).bitwiseOR(F.shiftrightunsigned(h, 5))
+        return F.get(classes, h.bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 6))
 
     return F.sort_array(F.transform(F.array_distinct(hashes), rank))
 
@@ -90,7 +79,7 @@ def _prefix(n: Column, threshold: float) -> Column:
     return (n - F.ceil(n * threshold - 1e-9) + 1).cast("int")
 
 
-def _candidates(sets: DataFrame, earlier: DataFrame, threshold: float, all_words: bool) -> DataFrame:
+def _candidates(sets: DataFrame, earlier: DataFrame, threshold: float, all_words: bool, scratch: Scratch) -> DataFrame:
     """Pairs (at, at_1) that share words of their prefixes and may be similar, the second earlier.
 
     ``all_words`` says that a pair meets on every such word: these, and what follows the shorter
@@ -110,11 +99,11 @@ def _candidates(sets: DataFrame, earlier: DataFrame, threshold: float, all_words
     if all_words:
         rest = F.greatest(*(F.col(n) - _prefix(F.col(n), threshold) for n in ("n", "n_1")))
         met = met.where(least <= F.col("met") + rest)
-    return checkpointed(met.select("at", "at_1"))
+    return scratch(met.select("at", "at_1"))
 
 
 def _hashed(*columns: str) -> Column:
-    return F.xxhash64(*columns).bitwiseAND(64 * PACKED - 1)
+    return F.xxhash64(*columns).bitwiseAND(64 * BUCKETS - 1)
 
 
 def _bits(needed: DataFrame) -> np.ndarray:
@@ -122,21 +111,21 @@ def _bits(needed: DataFrame) -> np.ndarray:
     h = _hashed("need_id", "need_no")
     one = F.lit(1).cast("long")
     set_ = F.bit_or(F.call_function("shiftleft", one, h.bitwiseAND(63).cast("int"))).alias("bits")
-    bits = np.zeros(PACKED, np.int64)
+    bits = np.zeros(BUCKETS, np.int64)
     for row in needed.groupBy(F.shiftrightunsigned(h, 6).alias("at")).agg(set_).collect():
         bits[row["at"]] = row["bits"]
     return bits
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, classes: Column, threshold: float) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, classes: Column, threshold: float, scratch: Scratch) -> DataFrame:
     """(at): the later lines of the pairs whose whole sets are similar. Sets come from the texts anew."""
     at = F.struct("doc_id", "line_no").alias("at")
-    needed = checkpointed(pairs.select("at").union(pairs.select("at_1")).distinct())
+    needed = scratch(pairs.select("at").union(pairs.select("at_1")).distinct())
     needed = needed.select(F.col("at.doc_id").alias("need_id"), F.col("at.line_no").alias("need_no"))
     same = F.col("doc_id").eqNullSafe(F.col("need_id")) & (F.col("line_no") == F.col("need_no"))
     maybe = F.get(F.lit(_bits(needed)), F.shiftrightunsigned(_hashed("doc_id", "line_no"), 6).cast("int"))
     bit = F.call_function("shiftrightunsigned", maybe, _hashed("doc_id", "line_no").bitwiseAND(63).cast("int"))
-    full = checkpointed(
+    full = scratch(
         _lines(texts)
         .where(bit.bitwiseAND(1) == 1)
         .join(needed, same, "leftsemi")
@@ -159,11 +148,16 @@ def removed_lines(
 ) -> DataFrame:
     """(doc_id, line_no) of the lines to remove, numbered from 0, each once."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    classes = F.lit(rarity(texts))
+    with Scratch(docs.sparkSession) as scratch:
+        return checkpointed(_removed(texts, threshold, scratch))
+
+
+def _removed(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    classes = F.lit(rarity(texts) << 58)
     words = _lines(texts).withColumn("words", _ranked(F.col("line"), classes)).where(F.size("words") > 0)
     n = F.size("words")
     keys = ["key_a", "key_b"]
-    lines = checkpointed(
+    lines = scratch(
         words.select(
             "doc_id", "line_no", F.xxhash64("words").alias("key_a"), F.hash("words", n).alias("key_b"), n.alias("n"),
             _parity(F.col("words")).alias("parity"),
@@ -172,22 +166,22 @@ def removed_lines(
     )
     at = F.struct("doc_id", "line_no")
     first = [F.first(c).alias(c) for c in ("n", "parity", "prefix")]
-    sets = checkpointed(lines.groupBy(*keys).agg(F.min(at).alias("at"), *first))
+    sets = scratch(lines.groupBy(*keys).agg(F.min(at).alias("at"), *first))
     place = sets.select("at", "n", "parity", F.posexplode("prefix").alias("pos", "word"))
     # first with the earliest set of each word: in a group of near copies that decides nearly all
     hub = F.min(F.struct("at", "n", "parity", "pos")).alias("hub")
-    hubs = checkpointed(place.groupBy("word").agg(hub, F.count("*").alias("sets")).where("sets > 1").drop("sets"))
-    shared = checkpointed(place.join(hubs.select("word"), "word", "leftsemi"))
+    hubs = scratch(place.groupBy("word").agg(hub, F.count("*").alias("sets")).where("sets > 1").drop("sets"))
+    shared = place.join(hubs.select("word"), "word", "leftsemi")
     by_word = [F.col(f"hub.{c}").alias(f"{c}_1") for c in ("at", "n", "parity", "pos")]
-    found = _candidates(shared, hubs.select("word", *by_word), threshold, False)
-    found = checkpointed(_confirmed(found, texts, classes, threshold))
+    found = _candidates(shared, hubs.select("word", *by_word), threshold, False, scratch)
+    found = scratch(_confirmed(found, texts, classes, threshold, scratch))
     # what is left, with every earlier set
     left = shared.join(found, "at", "leftanti")
     earlier = shared.select("word", *(F.col(c).alias(f"{c}_1") for c in ("at", "n", "parity", "pos")))
-    similar = found.union(_confirmed(_candidates(left, earlier, threshold, True), texts, classes, threshold))
+    similar = found.union(_confirmed(_candidates(left, earlier, threshold, True, scratch), texts, classes, threshold, scratch))
     similar = similar.withColumn("similar", F.lit(True))
     # of each set: where it stands first, and whether that place goes too; salted, as one line may be most
-    marked = checkpointed(sets.join(similar, "at", "left").select(*keys, "at", F.coalesce("similar", F.lit(False)).alias("similar")))
+    marked = scratch(sets.join(similar, "at", "left").select(*keys, "at", F.coalesce("similar", F.lit(False)).alias("similar")))
     salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
     salted = lines.select(*keys, "doc_id", "line_no", F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(_SALTS)).cast("int").alias("salt"))
     gone = salted.join(marked.select("*", salts), [*keys, "salt"]).where(F.col("similar") | (F.col("at") < at))
