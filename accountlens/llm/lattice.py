@@ -137,7 +137,7 @@ def _prepared(vectors: DataFrame, hashing: dict) -> DataFrame:
     )
 
 
-def _compared(threshold: float):
+def _compared(threshold: float, probes: int):
     def work(groups: pa.Table) -> list:
         """Per vector of each group: links first met here, and the least node it hangs together with."""
         cell, low, high, block = (groups.column(c).to_numpy() for c in ("cell", "low", "high", "block"))
@@ -164,12 +164,15 @@ def _compared(threshold: float):
                 continue
             here = cell[a]
             k = cells[a:b]
-            # a pair belongs to the first of its cells that the other has too
+            # a pair belongs to the first cell of its lesser node that the other has too, in the same table
+            swap = node[a:b][i] > node[a:b][j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
             first = np.ones(len(i), bool)
             place = (k == here).argmax(axis=1)
             for c in range(int(place.max())):
                 before = c < place[i]
-                first &= ~(before & (k[i, c][:, None] == k[j]).any(axis=1))
+                table = c - c % probes
+                first &= ~(before & (k[i, c][:, None] == k[j, table : table + probes]).any(axis=1))
             counted = first & (ids[a:b][i] != ids[a:b][j])
             n = np.bincount(np.r_[i[counted], j[counted]], minlength=b - a)
             least = node[a:b].copy()
@@ -210,7 +213,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, **hashing) ->
         .join(rows, "node")
     )
     met = checkpointed(
-        map_groups(placed, ["cell", "low", "high"], _compared(threshold), "node long, n long, least long")
+        map_groups(placed, ["cell", "low", "high"], _compared(threshold, hashing.get("probes", PROBES)), "node long, n long, least long")
     )
     # rows of one id that differ hang together
     lead = rows.groupBy("vec_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")

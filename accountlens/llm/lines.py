@@ -171,13 +171,12 @@ def _removed(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     # first with the earliest set of each word: in a group of near copies that decides nearly all
     hub = F.min(F.struct("at", "n", "parity", "pos")).alias("hub")
     hubs = scratch(place.groupBy("word").agg(hub, F.count("*").alias("sets")).where("sets > 1").drop("sets"))
-    shared = place.join(hubs.select("word"), "word", "leftsemi")
     by_word = [F.col(f"hub.{c}").alias(f"{c}_1") for c in ("at", "n", "parity", "pos")]
-    found = _candidates(shared, hubs.select("word", *by_word), threshold, False, scratch)
+    found = _candidates(place, hubs.select("word", *by_word), threshold, False, scratch)
     found = scratch(_confirmed(found, texts, classes, threshold, scratch))
     # what is left, with every earlier set
-    left = shared.join(found, "at", "leftanti")
-    earlier = shared.select("word", *(F.col(c).alias(f"{c}_1") for c in ("at", "n", "parity", "pos")))
+    left = sets.join(found, "at", "leftanti").select("at", "n", "parity", F.posexplode("prefix").alias("pos", "word"))
+    earlier = place.select("word", *(F.col(c).alias(f"{c}_1") for c in ("at", "n", "parity", "pos")))
     similar = found.union(_confirmed(_candidates(left, earlier, threshold, True, scratch), texts, classes, threshold, scratch))
     similar = similar.withColumn("similar", F.lit(True))
     # of each set: where it stands first, and whether that place goes too; salted, as one line may be most

@@ -139,24 +139,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _hubs(members: DataFrame, part: str | None = None) -> DataFrame:
-    """Pairs (a, b) of each bucket's least member with the others.
-
-    With ``part``, buckets that hold several parts only: the least member of every part with all
-    members of other parts.
-    """
-    keys = ["bucket"] if part is None else ["bucket", part]
-    hub = F.min(F.struct("node", "n_shingles")).alias("hub")
-    hubs = members.groupBy(*keys).agg(hub)
-    if part is not None:
-        hubs = hubs.withColumnRenamed(part, "hub_part")
+def _stars(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each bucket's least member with the others."""
+    hubs = members.groupBy("bucket").agg(F.min(F.struct("node", "n_shingles")).alias("hub"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
     salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(_SALTS)).cast("int"))
-    met = salted.join(hubs.select("*", salts), ["bucket", "salt"]).where("hub.node <> node")
-    if part is not None:
-        met = met.where(F.col("hub_part") != F.col(part))
     return (
-        met.where(_could_link("hub.n_shingles", "n_shingles"))
+        salted.join(hubs.select("*", salts), ["bucket", "salt"])
+        .where("hub.node <> node")
+        .where(_could_link("hub.n_shingles", "n_shingles"))
         .select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b"))
         .distinct()
     )
@@ -193,18 +184,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = shingle_sets(texts).join(needed, ["doc_id", "node"], "leftsemi")
     sets = checkpointed(sets.dropDuplicates(["node"]).select("node", "shingles"))
 
-    tried = checkpointed(_hubs(members))
-    links = checkpointed(confirmed(tried, sets))
-    for pairs_of in (lambda apart: _hubs(apart, "part"), _across):
-        found = components(links)
-        parts = members.join(found, "node", "left").select(
-            "node", "n_shingles", "bucket", F.coalesce("component", "node").alias("part")
-        )
-        split = parts.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y")
-        apart = checkpointed(parts.join(split.select("bucket"), "bucket", "leftsemi"))
-        pairs = checkpointed(pairs_of(apart).join(tried, ["a", "b"], "leftanti"))
-        tried = tried.union(pairs)
-        links = checkpointed(links.union(confirmed(pairs, sets)))
+    stars = checkpointed(_stars(members))
+    links = checkpointed(confirmed(stars, sets))
+    parts = members.join(components(links), "node", "left").select(
+        "node", "n_shingles", "bucket", F.coalesce("component", "node").alias("part")
+    )
+    split = parts.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y")
+    apart = checkpointed(parts.join(split.select("bucket"), "bucket", "leftsemi"))
+    pairs = checkpointed(_across(apart).join(stars, ["a", "b"], "leftanti"))
+    links = links.union(confirmed(pairs, sets))
     # rows that repeat a doc_id with another set connect the two sets
     lead = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
     repeated = known.join(lead, "doc_id").select("a", F.col("node").alias("b"))
