@@ -163,7 +163,7 @@ _TWO_CLASSES = """
 two AS (
   SELECT post.*, CAST(0 AS DOUBLE) AS categoria FROM post WHERE id % 2 = 1
   UNION ALL
-  SELECT post.*, CAST(1 AS DOUBLE) AS categoria FROM post WHERE id % 2 = 0 AND user_id % 2 = 0
+  SELECT post.*, CAST(1 AS DOUBLE) AS categoria FROM post WHERE id % 2 = 0
 )"""
 
 _SPACE = "[ \\t\\n\\x0b\\f\\r]"
@@ -273,13 +273,13 @@ WITH {_EVENTS}, {_entropy("ev")}
 SELECT user_id, string_agg(CAST(q AS VARCHAR), ',' ORDER BY pos) AS symbols FROM symbol GROUP BY user_id""",
     "pattern_counts": f"""
 WITH {_EVENTS}, {_entropy("ev")}
-SELECT user_id, l, array_to_string(pattern, '-') AS pattern, c AS occurrences FROM counts WHERE l <= 3""",
+SELECT user_id, l, array_to_string(pattern, '-') AS pattern, c AS occurrences FROM counts""",
     "shannon_entropy": f"""
 WITH {_EVENTS}, {_entropy("ev")}
-SELECT user_id, l, round(h, 6) AS h, singles, total FROM shannon WHERE l <= 4""",
+SELECT user_id, l, round(h, 6) AS h, singles, total FROM shannon""",
     "conditional_entropy": f"""
 WITH {_EVENTS}, {_entropy("ev")}
-SELECT user_id, l, round(ce, 6) AS ce, singles, total FROM conditional WHERE l BETWEEN 2 AND 4""",
+SELECT user_id, l, round(ce, 6) AS ce, singles, total FROM conditional WHERE l >= 2""",
     "corrected_entropy": f"""
 WITH {_EVENTS}, {_entropy("ev")}
 SELECT user_id, entropia FROM corrected""",

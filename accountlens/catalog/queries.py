@@ -353,29 +353,32 @@ def _two_classes(spark, sf_dir) -> DataFrame:
     everything = posts(spark, sf_dir)
     odd = F.col("id") % 2 == 1
     return evaluation.label_union(
-        {HUMAN: everything.where(odd), BOT: everything.where(~odd & (F.col("user.id") % 2 == 0))}
+        {HUMAN: everything.where(odd), BOT: everything.where(~odd)}
     )
 
 
 # --- gap-series entropy -------------------------------------------------------------------
 
 
+def _symbols(spark, sf_dir) -> DataFrame:
+    return entropy.gap_symbols(_gaps(spark, sf_dir).withColumn("gaps", gaps.gap_series()))
+
+
 @query
 def gap_symbols(spark, sf_dir):
-    return entropy.gap_symbols(_gaps(spark, sf_dir)).select(ACCOUNT, joined("symbols").alias("symbols"))
+    return _symbols(spark, sf_dir).select(ACCOUNT, joined("symbols").alias("symbols"))
 
 
 @query
 def pattern_counts(spark, sf_dir):
-    counts = entropy.pattern_counts(entropy.gap_symbols(_gaps(spark, sf_dir)), (1, 2, 3))
+    counts = entropy.pattern_counts(_symbols(spark, sf_dir))
     return counts.select(
         ACCOUNT, F.col("l").cast("long").alias("l"), joined("pattern", "-").alias("pattern"), "occurrences"
     )
 
 
 def _entropies(spark, sf_dir) -> DataFrame:
-    symbols = entropy.gap_symbols(_gaps(spark, sf_dir))
-    return entropy.shannon_entropy(entropy.pattern_counts(symbols, (1, 2, 3, 4)))
+    return entropy.shannon_entropy(entropy.pattern_counts(_symbols(spark, sf_dir)))
 
 
 @query

@@ -1,6 +1,6 @@
 """Entropy of a gap series as array expressions.
 
-A series is one bounded array per account (at most 109 gaps), so the whole computation
+A series is one array per account (109 gaps at most by default), so the whole computation
 stays inside the row: no explode, no shuffle, no Python worker. The expressions are
 nested lambdas and therefore written as SQL text, which also reaches the JVM in one call.
 """
@@ -20,9 +20,10 @@ def _let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _symbols(series: str) -> str:
+def _symbols(series: str, bins: int | None = None) -> str:
+    n = f"size({series})" if bins is None else str(int(bins))
     bounds = (
-        f"named_struct('low', array_min({series}), 'n', size({series}), "
+        f"named_struct('low', array_min({series}), 'n', {n}, "
         f"'span', array_max({series}) - array_min({series}))"
     )
     # ceil(a / b) = (a + b - 1) div b
@@ -64,11 +65,11 @@ def _corrected_conditional_entropy(symbols: str) -> str:
     ln((n-L+1)/(n-L+2)) + H(1), smallest at L = n with H(1) - ln 2. So the fold only
     looks at L = 2..L* and then stops working; ``best`` starts at that closed-form tail.
 
-    Patterns are slices of a binary value with one byte per symbol: symbols stay below
-    109 and are shifted by one, so every byte is an ASCII one.
+    Patterns are slices of a text with eight hex digits per symbol.
     """
-    packed = f"cast(array_join(transform({symbols}, s -> char(s + 1)), '') AS binary)"
-    slices = "transform(sequence(1, length(packed) - l + 1), i -> substring(packed, i, l))"
+    packed = f"cast(array_join(transform({symbols}, s -> lpad(hex(s), 8, '0')), '') AS binary)"
+    n = "(length(packed) div 8)"
+    slices = f"transform(sequence(1, {n} - l + 1), i -> substring(packed, 8 * (i - 1) + 1, 8 * l))"
     step = _let(
         "e",
         _entropy(slices),
@@ -76,20 +77,22 @@ def _corrected_conditional_entropy(symbols: str) -> str:
         "'done', e.singles = e.total)",
     )
     fold = (
-        "aggregate(sequence(2, length(packed) - 1), "
+        f"aggregate(sequence(2, {n} - 1), "
         "named_struct('h', single.h, 'best', single.h - ln(2D), 'done', false), "
         f"(acc, l) -> if(acc.done, acc, {step}), acc -> acc.best)"
     )
     return _let("packed", packed, _let("single", _entropy(symbols), fold))
 
 
-def symbolize(series: str) -> Column:
-    """Uniform right-closed quantisation of ``n`` integers to symbols ``0..n-1``.
+def symbolize(series: str, bins: int | None = None) -> Column:
+    """Uniform right-closed quantisation of integers to symbols ``0..n-1``.
+
+    ``n`` is ``bins``, or the length of the series.
 
     Symbol = max(ceil((x - min) * n / (max - min)) - 1, 0), in integer arithmetic. A
     constant series has no spread to divide by and maps to all zeros.
     """
-    return F.expr(_symbols(series))
+    return F.expr(_symbols(series, bins))
 
 
 def patterns(symbols: str, length: str) -> Column:

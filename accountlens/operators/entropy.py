@@ -1,6 +1,6 @@
 """Gap-series entropy as DataFrame operators.
 
-Input frames hold one bounded array per account. Exploding it and grouping again on
+Input frames hold one array per account. Exploding it and grouping again on
 (account, ...) needs no further shuffle while the frame is still partitioned by account,
 as it is straight after :func:`accountlens.operators.gaps.first_gaps`.
 """
@@ -13,22 +13,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from accountlens.functions import series
-from accountlens.operators.gaps import gap_series
+from accountlens.operators.gaps import SERIES_LENGTH, gap_series
 
 
-def gap_symbols(gaps: DataFrame, keys: Sequence[str] = ("user_id",)) -> DataFrame:
-    """Quantised gap series: (keys, symbols)."""
-    bounded = gaps.select(*keys, gap_series().alias("_series"))
-    return bounded.select(*keys, series.symbolize("_series").alias("symbols"))
+def gap_symbols(
+    gaps: DataFrame, keys: Sequence[str] = ("user_id",), series_col: str = "gaps", bins: int | None = None
+) -> DataFrame:
+    """Quantised series: (keys, symbols). All of the array is read; ``bins`` defaults to its length."""
+    return gaps.select(*keys, series.symbolize(series_col, bins).alias("symbols"))
 
 
 def pattern_counts(
-    symbols: DataFrame, lengths: Sequence[int], keys: Sequence[str] = ("user_id",)
+    symbols: DataFrame, lengths: Sequence[int] | None = None, keys: Sequence[str] = ("user_id",)
 ) -> DataFrame:
-    """Occurrences of every pattern of the asked lengths: (keys, l, pattern, occurrences)."""
-    windows = symbols.select(
-        *keys, "symbols", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("l")
-    ).where(F.size("symbols") >= F.col("l"))
+    """Occurrences of every pattern of the asked lengths, or of all: (keys, l, pattern, occurrences)."""
+    asked = F.sequence(F.lit(1), F.size("symbols")) if lengths is None else F.array(*[F.lit(n) for n in lengths])
+    windows = symbols.select(*keys, "symbols", F.explode(asked).alias("l")).where(
+        (F.size("symbols") > 0) & (F.size("symbols") >= F.col("l"))
+    )
     return (
         windows.select(*keys, "l", F.explode(series.patterns("symbols", "l")).alias("pattern"))
         .groupBy(*keys, "l", "pattern")
@@ -59,7 +61,13 @@ def conditional_entropy(entropies: DataFrame, keys: Sequence[str] = ("user_id",)
     )
 
 
-def corrected_entropy(gaps: DataFrame, keys: Sequence[str] = ("user_id",)) -> DataFrame:
-    """The account's entropy feature: (keys, entropia)."""
-    bounded = gaps.select(*keys, gap_series().alias("_series"))
-    return bounded.select(*keys, series.gap_entropy("_series").alias("entropia"))
+def corrected_entropy(
+    gaps: DataFrame, keys: Sequence[str] = ("user_id",), length: int | None = SERIES_LENGTH
+) -> DataFrame:
+    """The account's entropy feature: (keys, entropia).
+
+    It reads ``length`` gaps from the second on: 109 is what the feature is defined by, None takes
+    the whole list that ``gaps`` holds.
+    """
+    chosen = gaps.select(*keys, gap_series(length=length).alias("_series"))
+    return chosen.select(*keys, series.gap_entropy("_series").alias("entropia"))

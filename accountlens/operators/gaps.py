@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from accountlens.functions import scalars
-from accountlens.operators.skew import HOT_ROWS, repeat_rows, salted_semi_join
+
+SECONDS_PER_HOUR = 3600
+#: Shares of an account that are cut to their oldest posts before these meet.
+SHARES = 512
 
 # --- fixed values ---------------------------------------------------------------------
 #: An account needs more than this many gaps to be looked at.
@@ -22,68 +24,30 @@ def post_gaps(
     key: str = "user_id",
     seconds: str = "sec",
     order: tuple[str, ...] = ("sec", "id"),
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Seconds since the account's previous post, per post: (key, *order, seconds, gap).
 
-    The first post of an account has a null gap. Ordinary accounts take one window over
-    one shuffle on the account. Accounts above ``hot_rows`` posts would make that one
-    endless task; they are few enough to broadcast and take :func:`_hot_gaps`, which
-    never holds more of an account together than one day's distinct seconds.
+    The first post of an account has a null gap. Posts follow each other by ``seconds``;
+    ``order`` decides within a second, where it only says which post gets the gap.
+
+    No account is brought together: the lag is taken within an hour of an account, and the
+    hour's first post takes its predecessor from the last second of the account's hour
+    with posts before. Only that table, a row per account and hour, meets by account.
     """
     columns = list(dict.fromkeys([key, *order, seconds]))
     dated = posts.where(F.col(key).isNotNull() & F.col(seconds).isNotNull()).select(*columns)
-    counts = dated.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = F.broadcast(counts.where(F.col("_n") > hot_rows).select(key))
-
-    window = Window.partitionBy(key).orderBy(*order)
-    ordinary = dated.join(hot, key, "left_anti").withColumn(
-        "gap", F.col(seconds) - F.lag(seconds).over(window)
-    )
-    return ordinary.unionByName(_hot_gaps(dated.join(hot, key, "left_semi"), key, seconds, order))
-
-
-def _hot_gaps(dated: DataFrame, key: str, seconds: str, order: tuple[str, ...]) -> DataFrame:
-    """Gaps without bringing an account together.
-
-    Within one second only the first post has a non-zero gap, so it is enough to know,
-    per (account, second), which post comes first and what the previous second with a
-    post is. The latter is a lag within the day plus, for the day's first second, the
-    last second of the previous day with posts.
-    """
-    columns = dated.columns
-    distinct = dated.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
-    per_second = distinct.groupBy(key, seconds).agg(F.min(F.struct(*order)).alias("_first"))
-    per_second = per_second.withColumn(
-        "_day", F.floor(F.col(seconds) / F.lit(scalars.SECONDS_PER_DAY))
-    )
-    last_of_previous_day = (
-        per_second.groupBy(key, "_day")
+    hourly = dated.withColumn("_hour", F.floor(F.col(seconds) / F.lit(SECONDS_PER_HOUR)))
+    before = (
+        hourly.groupBy(key, "_hour")
         .agg(F.max(seconds).alias("_last"))
-        .select(
-            key, "_day", F.lag("_last").over(Window.partitionBy(key).orderBy("_day")).alias("_carry")
-        )
-    )
-    in_day = F.lag(seconds).over(Window.partitionBy(key, "_day").orderBy(seconds))
-    heads = (
-        per_second.withColumn("_in_day", in_day)
-        .join(last_of_previous_day, [key, "_day"])
-        .select(
-            key,
-            seconds,
-            *[F.col(f"_first.{c}").alias(c) for c in order if c != seconds],
-            (F.col(seconds) - F.coalesce("_in_day", "_carry")).alias("_gap"),
-            F.lit(True).alias("_head"),
-        )
+        .withColumn("_carry", F.lag("_last").over(Window.partitionBy(key).orderBy("_hour")))
+        .select(key, "_hour", "_carry")
     )
-    # Order columns may be null (posts without an id), hence the null-safe comparison.
-    d, h = distinct.alias("d"), heads.alias("h")
-    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"h.{c}")) for c in columns]
-    marked = d.join(h, same, "left").select("d.*", "h._gap", "h._head")
-    posts = repeat_rows(marked, "_copies", "_nth")
-    is_first = F.col("_head").isNotNull() & (F.col("_nth") == 0)
-    return posts.select(
-        *columns, F.when(is_first, F.col("_gap")).otherwise(F.lit(0).cast("long")).alias("gap")
+    in_hour = Window.partitionBy(key, "_hour").orderBy(seconds, *order)
+    return (
+        hourly.withColumn("_before", F.lag(seconds).over(in_hour))
+        .join(before, [key, "_hour"])
+        .select(*columns, (F.col(seconds) - F.coalesce("_before", "_carry")).alias("gap"))
     )
 
 
@@ -96,18 +60,18 @@ def first_gaps(
 ) -> DataFrame:
     """Oldest gaps of each account with more than ``min_gaps`` of them: (keys, gaps).
 
-    Everything downstream reads at most ``last_gap`` gaps, so each account is cut to its
-    first ``last_gap + 1`` posts by a rank filter. Spark applies that limit per input
-    partition before the shuffle, hence no task ever receives a long timeline, and the
-    collected list is bounded. Posts of the same second tie freely: only their sorted
-    seconds matter.
+    Each account is cut to its first ``last_gap + 1`` posts, so the collected list is
+    bounded. The cut is made twice: among the posts of a share of the input partitions,
+    then among what the shares leave. So a task receives at most ``SHARES`` times
+    ``last_gap + 1`` posts of an account in the second step, however many input partitions
+    there are. Posts of the same second tie freely: only their sorted seconds matter.
     """
-    oldest = (
-        posts.where(F.col(seconds).isNotNull())
-        .select(*keys, F.col(seconds).alias("_s"))
-        .withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_s")))
-        .where(F.col("_rank") <= last_gap + 1)
-    )
+    share = F.pmod(F.spark_partition_id(), F.lit(SHARES)).alias("_share")
+    dated = posts.where(F.col(seconds).isNotNull()).select(*keys, F.col(seconds).alias("_s"), share)
+    oldest = dated
+    for group in ((*keys, "_share"), keys):
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy("_s"))
+        oldest = oldest.withColumn("_rank", rank).where(F.col("_rank") <= last_gap + 1)
     times = oldest.groupBy(*keys).agg(F.sort_array(F.collect_list("_s")).alias("_times"))
     gaps = F.zip_with(
         F.slice("_times", 1, F.size("_times") - 1),
@@ -117,28 +81,17 @@ def first_gaps(
     return times.where(F.size("_times") > min_gaps + 1).select(*keys, gaps.alias("gaps"))
 
 
-def gap_series(gaps: str = "gaps"):
-    """The slice of the gap list that enters the entropy."""
-    return F.slice(gaps, SERIES_START, SERIES_LENGTH)
+def gap_series(gaps: str = "gaps", length: int | None = SERIES_LENGTH):
+    """The slice of the gap list that enters the entropy; without ``length`` all from the second gap on."""
+    return F.slice(gaps, F.lit(SERIES_START), F.size(gaps) if length is None else F.lit(length))
 
 
 def with_min_history(
-    posts: DataFrame,
-    key: str = "user_id",
-    seconds: str = "sec",
-    post_id: str = "id",
-    min_gaps: int = MIN_GAPS,
-    hot_rows: int = HOT_ROWS,
+    posts: DataFrame, key: str = "user_id", seconds: str = "sec", min_gaps: int = MIN_GAPS
 ) -> DataFrame:
-    """Posts of accounts with more than ``min_gaps`` gaps (``min_gaps`` + 2 dated posts)."""
-    counts = posts.groupBy(key).agg(
-        F.count(seconds).alias("_dated"), F.count(F.lit(1)).alias("_n")
-    )
-    return salted_semi_join(
-        posts,
-        counts.where(F.col("_dated") > min_gaps + 1),
-        key,
-        "_n",
-        F.struct(post_id, seconds),
-        hot_rows,
-    )
+    """Posts of accounts with more than ``min_gaps`` gaps (``min_gaps`` + 2 dated posts).
+
+    A semi-join with the counted accounts; Spark splits the posts of a very large account.
+    """
+    counts = posts.groupBy(key).agg(F.count(seconds).alias("_dated"))
+    return posts.join(counts.where(F.col("_dated") > min_gaps + 1).select(key), key, "left_semi").select(*posts.columns)

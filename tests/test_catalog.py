@@ -43,10 +43,8 @@ def test_query_matches_sql(spark, db, name):
             assert a == b or (isinstance(a, float) and math.isclose(a, b, abs_tol=1e-6))
 
 
-@pytest.mark.parametrize("hot_rows", [0, 60])
-def test_post_gaps_of_hot_accounts_match_sql(spark, db, hot_rows):
-    """All, or about half, of the accounts on the path that never gathers them."""
-    out = post_gaps(events(spark, SF), order=("ts", "id"), hot_rows=hot_rows)
+def test_post_gaps_match_sql(spark, db):
+    out = post_gaps(events(spark, SF), order=("ts", "id"))
     got = sorted(((r.user_id, r.id, r.gap) for r in out.collect()), key=repr)
     want = db.sql(f"SELECT user_id, event_id, gap FROM ({oracle_sql()['post_gaps']})").fetchall()
     assert got == sorted(want, key=repr)

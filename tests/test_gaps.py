@@ -4,7 +4,6 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from accountlens.operators import gaps
-from accountlens.operators.skew import repeat_rows
 
 
 def frame(spark, rows):
@@ -36,22 +35,20 @@ def sample(seed, users=6, posts=60, span=400_000):
     return rows
 
 
-def test_post_gaps_on_the_ordinary_and_the_hot_path(spark):
+def test_post_gaps_against_brute_force(spark):
     rows = sample(1) + [(3, None, 99_999)]
     expected = brute_gaps(rows)
-    for hot_rows in (10**9, 80, 0):
-        out = gaps.post_gaps(frame(spark, rows), hot_rows=hot_rows)
-        assert Counter((r.user_id, r.id, r.gap) for r in out.collect()) == expected
+    out = gaps.post_gaps(frame(spark, rows))
+    assert Counter((r.user_id, r.id, r.gap) for r in out.collect()) == expected
 
 
 def test_post_gaps_keep_every_copy_of_a_post(spark):
     rows = sample(2, users=3, posts=20) + [(1, 1_450_000_007, 5_000)] * 40
     expected = brute_gaps(rows)
-    for hot_rows in (10**9, 0):
-        out = gaps.post_gaps(frame(spark, rows), hot_rows=hot_rows)
-        got = Counter((r.user_id, r.id, r.gap) for r in out.collect())
-        assert sum(got.values()) == len(rows)
-        assert got == expected
+    out = gaps.post_gaps(frame(spark, rows))
+    got = Counter((r.user_id, r.id, r.gap) for r in out.collect())
+    assert sum(got.values()) == len(rows)
+    assert got == expected
 
 
 def test_post_gaps_without_post_ids(spark):
@@ -59,21 +56,24 @@ def test_post_gaps_without_post_ids(spark):
     expected = Counter(
         (u, None, g) for (u, _, g) in brute_gaps([(u, s, i) for i, (u, s, _) in enumerate(rows)]).elements()
     )
-    for hot_rows in (10**9, 0):
-        out = gaps.post_gaps(frame(spark, rows), hot_rows=hot_rows)
-        assert Counter((r.user_id, r.id, r.gap) for r in out.collect()) == expected
+    out = gaps.post_gaps(frame(spark, rows))
+    assert Counter((r.user_id, r.id, r.gap) for r in out.collect()) == expected
 
 
-def test_hot_accounts_are_not_gathered(spark):
-    """The hot path has no window or join on the account alone over its posts."""
-    plan = gaps.post_gaps(frame(spark, sample(3)), hot_rows=10)._jdf.queryExecution().toString()
-    assert "_day" in plan and "BroadcastHashJoin" in plan
+def test_order_decides_within_a_second_only(spark):
+    rows = [(1, 300, 1), (1, 100, 2), (1, 650, 3), (1, 300, 0), (1, 90_000, 4)]
+    for order in (("id",), ("sec", "id")):
+        got = {r.id: r.gap for r in gaps.post_gaps(frame(spark, rows), order=order).collect()}
+        assert got == {2: None, 0: 200, 1: 0, 3: 350, 4: 89_350}
 
 
-def test_repeat_rows(spark):
-    df = spark.createDataFrame([("a", 1), ("b", 7), ("c", 6)], "k string, n long")
-    got = Counter((r.k, r.i) for r in repeat_rows(df, "n", "i", chunk=3).collect())
-    assert got == Counter((k, i) for k, n in (("a", 1), ("b", 7), ("c", 6)) for i in range(n))
+def test_accounts_are_not_gathered(spark):
+    """Over posts, windows are by account and hour; only the table of hours meets by account."""
+    plan = gaps.post_gaps(frame(spark, sample(3)))._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert len(windows) == 2
+    assert all("_hour" in line.split("], [")[1] for line in windows if "_before" in line)
+    assert "Broadcast" not in plan
 
 
 def test_first_gaps_bounds_and_history(spark):
@@ -98,23 +98,28 @@ def test_rank_limit_runs_before_the_shuffle(spark, tmp_path):
     frame(spark, sample(4)).write.parquet(str(tmp_path / "t"))
     plan = gaps.first_gaps(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
-    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("Exchange hashpartitioning") == 2 and "_share" in plan
 
 
-def test_min_history_with_and_without_hot_accounts(spark):
+def test_many_gaps_keep_the_rank(spark):
+    rows = [(1, 10 * i, i) for i in range(1500)]
+    got = gaps.first_gaps(frame(spark, rows).repartition(8), last_gap=1200).first()
+    assert list(got.gaps) == [10] * 1200
+
+
+def test_min_history_against_counts(spark):
     rows = sample(5, users=40, posts=6)
     sizes = Counter(r[0] for r in rows)
     expected = Counter((u, i) for u, _, i in rows if sizes[u] > 4)
     assert 0 < len(expected) and min(sizes.values()) <= 4
-    for hot_rows in (10**9, 20, 4, 0):
-        out = gaps.with_min_history(frame(spark, rows), hot_rows=hot_rows)
-        assert out.columns == ["user_id", "sec", "id"]
-        assert Counter((r.user_id, r.id) for r in out.collect()) == expected
+    out = gaps.with_min_history(frame(spark, rows))
+    assert out.columns == ["user_id", "sec", "id"]
+    assert Counter((r.user_id, r.id) for r in out.collect()) == expected
 
 
 def test_min_history_keeps_every_copy(spark):
     rows = [(1, 100, 7)] * 300 + [(2, 100 + i, i) for i in range(5)] + [(3, 100, 1)] * 4
-    out = gaps.with_min_history(frame(spark, rows).repartition(8), hot_rows=50)
+    out = gaps.with_min_history(frame(spark, rows).repartition(8))
     assert Counter(r.user_id for r in out.collect()) == {1: 300, 2: 5}
 
 
