@@ -4,8 +4,8 @@ A document's set is its distinct five-word shingles (fewer words: the whole sequ
 the empty set, linked with nothing). One pass hashes every shingle once; the least hash of each of
 ``BINS`` equal ranges is the sketch, and an empty bin takes the value of another by optimal
 densification. ``BANDS`` groups of bins give the buckets. A bucket joins one member (the hub)
-with the others, not all with all; candidates are confirmed on the full sets. Buckets whose members are
-then still apart get another hub; members that even then are apart are compared across the parts of their bucket, so that no pair of a bucket goes
+with the others, not all with all; candidates are confirmed on the full sets. Members that are then still apart
+are compared across the parts of their bucket, so that no pair of a bucket goes
 unchecked unless both ends are known to be connected.
 
 Nodes are distinct sets, named by a 64-bit digest: a group of copies is one node.
@@ -31,7 +31,7 @@ BINS = BANDS * ROWS
 #: Links: NUMERATOR / DENOMINATOR of the union is shared at least.
 NUMERATOR, DENOMINATOR = 75, 100
 #: Random orders that hubs are chosen by.
-ORDERS = 8
+ORDERS = 16
 #: A bucket's rows are spread over so many keys when its hub is sent to them.
 _SALTS = 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -141,13 +141,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _stars(members: DataFrame, turn: int) -> DataFrame:
+def _stars(members: DataFrame) -> DataFrame:
     """Pairs (a, b) of each bucket's hub with the others.
 
     The hub is the first in one of ``ORDERS`` random orders, chosen by the bucket, so that a group that
     shares many buckets has few hubs, but not a single one that may be unlike the rest.
     """
-    order = F.xxhash64("node", F.pmod("bucket", F.lit(ORDERS)), F.lit(turn))
+    order = F.xxhash64("node", F.pmod("bucket", F.lit(ORDERS)))
     hubs = members.groupBy("bucket").agg(F.min(F.struct(order.alias("order"), "node", "n_shingles")).alias("hub"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
     salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(_SALTS)).cast("int"))
@@ -191,17 +191,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = shingle_sets(texts).join(needed, ["doc_id", "node"], "leftsemi")
     sets = checkpointed(sets.dropDuplicates(["node"]).select("node", "shingles"))
 
-    tried = checkpointed(_stars(members, 0))
-    links = checkpointed(confirmed(tried, sets))
-    for pairs_of in (lambda apart: _stars(apart, 1), _across):
-        parts = members.join(components(links), "node", "left").select(
-            "node", "n_shingles", "bucket", F.coalesce("component", "node").alias("part")
-        )
-        split = parts.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y")
-        apart = checkpointed(parts.join(split.select("bucket"), "bucket", "leftsemi"))
-        pairs = checkpointed(pairs_of(apart).join(tried, ["a", "b"], "leftanti"))
-        tried = tried.union(pairs)
-        links = checkpointed(links.union(confirmed(pairs, sets)))
+    stars = checkpointed(_stars(members))
+    links = checkpointed(confirmed(stars, sets))
+    parts = members.join(components(links), "node", "left").select(
+        "node", "n_shingles", "bucket", F.coalesce("component", "node").alias("part")
+    )
+    split = parts.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y")
+    apart = checkpointed(parts.join(split.select("bucket"), "bucket", "leftsemi"))
+    pairs = checkpointed(_across(apart).join(stars, ["a", "b"], "leftanti"))
+    links = links.union(confirmed(pairs, sets))
     # rows that repeat a doc_id with another set connect the two sets
     lead = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
     repeated = known.join(lead, "doc_id").select("a", F.col("node").alias("b"))
