@@ -161,13 +161,18 @@ def _stars(members: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket's members in different parts."""
+    """Pairs (a, b) of a bucket's members in different parts.
+
+    ``main`` is the part with most members of the bucket. Only the members of other parts look for
+    partners, so that a few strangers in a bucket of many copies don't make all its pairs.
+    """
     other = members.select("bucket", *(F.col(c).alias(f"{c}_2") for c in ("node", "part", "n_shingles")))
     return (
-        members.join(other, "bucket")
-        .where("node < node_2 and part <> part_2")
+        members.where("part <> main")
+        .join(other, "bucket")
+        .where("part <> part_2 and (part_2 = main or node < node_2)")
         .where(_could_link("n_shingles", "n_shingles_2"))
-        .select(F.col("node").alias("a"), F.col("node_2").alias("b"))
+        .select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b"))
         .distinct()
     )
 
@@ -196,8 +201,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = members.join(components(links), "node", "left").select(
         "node", "n_shingles", "bucket", F.coalesce("component", "node").alias("part")
     )
-    split = parts.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y")
-    apart = checkpointed(parts.join(split.select("bucket"), "bucket", "leftsemi"))
+    # several parts: the one with most members is named, ties go to the greater
+    split = (
+        parts.groupBy("bucket", "part")
+        .agg(F.count("*").alias("n"))
+        .groupBy("bucket")
+        .agg(F.max(F.struct("n", "part")).alias("most"), F.count("*").alias("parts"))
+        .where("parts > 1")
+        .select("bucket", F.col("most.part").alias("main"))
+    )
+    apart = checkpointed(parts.join(split, "bucket"))
     pairs = checkpointed(_across(apart).join(stars, ["a", "b"], "leftanti"))
     links = links.union(confirmed(pairs, sets))
     # rows that repeat a doc_id with another set connect the two sets
