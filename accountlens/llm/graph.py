@@ -19,26 +19,24 @@ def _with_least(pairs: DataFrame) -> DataFrame:
     return salted.join(least.select("u", "m", salts), ["u", "salt"]).select("u", "v", "m")
 
 
+def _only_stars(state: DataFrame) -> bool:
+    """Whether each u has one v, and no v is a u; v < u makes it the least of its component then."""
+    ends = state.select(F.col("u").alias("node"), F.lit(1).alias("up")).union(state.select("v", F.lit(0)))
+    ends = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return ends.where("ups > 1 or ups = 1 and least = 0").agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): for each node of edges (a, b), the least node it is connected with.
 
-    Large-star and small-star steps by turns, until the edges no longer change: after few rounds
-    every edge joins a node with the least of its component. Each round is checkpointed. Nodes are
-    longs; edges with a null end and loops say nothing.
+    Large-star and small-star steps by turns, until every edge joins a node with the least of its
+    component, which one aggregate tells. Each round is checkpointed. Nodes are longs; edges with a
+    null end and loops say nothing.
     """
     state = checkpointed(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    seen = None
-    while True:
-        mark = state.agg(
-            F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
-        ).first()
-        if mark == seen or not mark["n"]:
-            return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-                state.select("v", "v").distinct()
-            )
-        seen = mark
+    while not _only_stars(state):
         both = state.union(state.select("v", "u")).toDF("u", "v")
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _with_least(large)
@@ -48,3 +46,6 @@ def components(edges: DataFrame) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
+    return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+        state.select("v", "v").distinct()
+    )

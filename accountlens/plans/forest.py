@@ -1,4 +1,4 @@
-"""Random forests chosen by cross-validation over ``maxBins``."""
+"""Random forests chosen by cross-validation over ``maxBins``, repeatable on any cluster."""
 
 from __future__ import annotations
 
@@ -9,12 +9,17 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 
+from accountlens.operators.evaluation import split_bucket
+
 # --- fixed values ---------------------------------------------------------------------
 NUM_TREES = 20
 MAX_DEPTH = 8
 FOLDS = 5
 MAX_BINS = (50, 100)
 
+#: Partitions of a training frame. The bootstrap samples depend on them, so the number is fixed.
+PARTITIONS = 16
+
 
 def cross_validated_forest(
     training: DataFrame,
@@ -22,17 +27,26 @@ def cross_validated_forest(
     prediction: str,
     features: str,
     seed: int,
+    keys: Sequence[str],
     num_trees: int = NUM_TREES,
     max_depth: int = MAX_DEPTH,
     folds: int = FOLDS,
     max_bins: Sequence[int] = MAX_BINS,
     parallelism: int = 4,
+    partitions: int = PARTITIONS,
 ) -> CrossValidatorModel:
     """Fit every candidate on every fold, several at a time; best by accuracy.
 
     ``training`` should be a stored frame with the feature vector already in it: every
-    fold and candidate reads it again.
+    fold and candidate reads it again. ``keys`` name its rows: folds go by their hash, and rows
+    are dealt by it and sorted, so the same rows give the same model however they were
+    partitioned. Rows that share their keys share a fold.
     """
+    training = (
+        training.withColumn("fold", split_bucket(keys, seed, folds))
+        .repartition(partitions, *keys)
+        .sortWithinPartitions(*keys, label)
+    )
     forest = RandomForestClassifier(
         labelCol=label,
         predictionCol=prediction,
@@ -50,6 +64,7 @@ def cross_validated_forest(
         estimatorParamMaps=grid,
         evaluator=evaluator,
         numFolds=folds,
+        foldCol="fold",
         seed=seed,
         parallelism=parallelism,
     ).fit(training)

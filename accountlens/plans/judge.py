@@ -94,9 +94,9 @@ def train_judge(
             write_training_set(training, training_set_path)
         if training_sink:
             store_run(training, training_sink, uuid.uuid4().hex)
-        vectors = assembler().transform(training).select("features", LABEL)
+        vectors = assembler().transform(training).select(ACCOUNT, "features", LABEL)
         cv = cross_validated_forest(
-            vectors, LABEL, PREDICTION, "features", SPLIT_SEED, num_trees, max_depth, **forest_options
+            vectors, LABEL, PREDICTION, "features", SPLIT_SEED, [ACCOUNT], num_trees, max_depth, **forest_options
         )
         model = PipelineModel([assembler(), best_forest(cv)])
         scored = model.transform(test).select(LABEL, PREDICTION)

@@ -64,7 +64,7 @@ def train_spam(
     with stored(hashed, "spam-training") as rows:
         test, training = split_train_test(rows, ["id"])
         cv = cross_validated_forest(
-            training, "label", PREDICTION, "rawFeatures", SPAM_SEED, num_trees, max_depth, **forest_options
+            training, "label", PREDICTION, "rawFeatures", SPAM_SEED, ["id"], num_trees, max_depth, **forest_options
         )
         model = PipelineModel([*text_stages(), best_forest(cv)])
         held_out = accuracy(best_forest(cv).transform(test), "label", PREDICTION).first()[0]

@@ -26,18 +26,24 @@ def score_stream(
     micro-batch has to hold an account completely. By default a batch takes every file
     that has arrived, so a delivery may split accounts over files as it likes. With
     ``max_files_per_trigger`` each file must hold complete timelines; a file is never
-    split between batches. Rows of a batch are stored as run ``batch-<id>``, replacing
-    an earlier attempt of the same batch, which makes the sink exactly-once.
+    split between batches. Rows of a batch are stored as run ``<query>-<batch>``, replacing
+    an earlier attempt of the same batch, which makes the sink exactly-once. The query's id is kept
+    in its checkpoint, so streams with checkpoints of their own can share a sink.
     """
     reader = spark.readStream.schema(POST_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
 
     def score_one(batch: DataFrame, batch_id: int) -> None:
-        run = f"batch-{batch_id}"
+        run = f"{_query_id(batch.sparkSession, checkpoint)}-{batch_id}"
         store_scores(batch, judge_model, spam_model, sink, run, overwrite=True)
 
     writer = reader.json(source).writeStream.foreachBatch(score_one).option(
         "checkpointLocation", checkpoint
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """Id of the stream that owns a checkpoint; it outlives restarts."""
+    return spark.read.json(f"{checkpoint}/metadata", schema="id string").first()["id"]

@@ -153,6 +153,15 @@ def test_texts_without_an_id_are_split_too(spark):
     assert result.accuracy > 0.9 and len(result.cv_accuracy) == 2
 
 
+def test_training_is_repeatable(spark):
+    bad, good = (spark.createDataFrame(x, "id long, text string, lang string") for x in spam_texts())
+    found = []
+    for parts in (1, 4, 7):
+        t = spam.train_spam(bad.repartition(parts), good.repartition(parts + 1), **SMALL)
+        found.append((t.cv_accuracy, t.model.stages[-1].toDebugString.split("\n", 1)[1]))
+    assert found[0] == found[1] == found[2]
+
+
 def test_feature_importance(trained):
     rows = feature_importance(trained[0].judge_model).collect()
     assert [r.feature for r in rows] == FEATURE_COLUMNS
@@ -196,6 +205,9 @@ def test_stream_equals_batch(spark, data, trained, tmp_path):
     write_lines(f"{source}/late", timeline(77, [9, 99, 999, 9, 99], first=START + timedelta(days=1)))
     run()
     assert read_rows(spark, sink).count() == N + 1
+    checkpoint = str(tmp_path / "other")  # a second stream, into the same sink
+    run()
+    assert read_rows(spark, sink).count() == 2 * (N + 1)
 
 
 def test_scoring_without_a_spam_model(spark, data, trained):
