@@ -8,7 +8,8 @@ bytes. Chunks with equal 128-bit digests are one; the first occurrence by (doc_i
 
 Chunks of a document that also occur in another and follow each other form a passage; passages of
 ``WORDS`` words or more are reported. The partial chunks at both sides of a shared passage are not
-whole in common, so this is less than the fifty words one looks for.
+whole in common, so this is less than the fifty words one looks for. A passage may hold kept chunks and
+others: what of it can be cut are the stretches of chunks that are kept elsewhere, whatever their length.
 
 Offsets are bytes of the UTF-8 text. Null and empty texts have no chunks. Rows that repeat a doc_id
 are one document to this operator; rows with a null doc_id take no part and get an empty result.
@@ -104,13 +105,14 @@ def repeated_chunks(found: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, start, end, n_words, first): runs of repeated chunks with enough words.
+    """(doc_id, start, end, n_words, later): runs of repeated chunks with enough words.
 
-    ``first``: all of its chunks are kept occurrences.
+    ``later``: (start, end) of the stretches without a kept occurrence.
     """
     runs = checkpointed(_runs(repeated_chunks(chunks(docs, id_col, text_col))))
-    by_doc = runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "first"))).alias("runs"))
+    by_doc = runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "later"))).alias("runs"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
     def make():
         def work(batch: pa.RecordBatch) -> list:
@@ -120,26 +122,32 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 for run in listed.as_py():
                     n = len(data[run["start"] : run["end"]].split())
                     if n >= words:
-                        for column, v in zip(out, (i.as_py(), run["start"], run["end"], n, run["first"])):
+                        for column, v in zip(out, (i.as_py(), run["start"], run["end"], n, run["later"])):
                             column.append(v)
-            return out
+            return [*out[:4], pa.array(out[4], pa.list_(span))]
 
         return work
 
     met = by_doc.join(texts, "doc_id").select("doc_id", "text", "runs")
-    return map_arrow(met, make, "doc_id long, start int, end int, n_words int, first boolean")
+    return map_arrow(met, make, "doc_id long, start int, end int, n_words int, later array<struct<start: int, end: int>>")
 
 
 def _runs(repeated: DataFrame) -> DataFrame:
     """Neighbouring chunks as one row, at least as long as the shortest passage can be."""
     order = Window.partitionBy("doc_id").orderBy("start")
-    new = (F.col("start") != F.lag("end", 1, -1).over(order)).cast("int")
+    new = F.col("start") != F.lag("end", 1, -1).over(order)
+    turn = new | (F.col("first") != F.lag("first").over(order))
     return (
         repeated.distinct()
-        .withColumn("new", new)
-        .withColumn("run", F.sum("new").over(order))
-        .groupBy("doc_id", "run")
+        .select("*", new.cast("int").alias("new"), turn.cast("int").alias("turn"))
+        .select("*", F.sum("new").over(order).alias("run"), F.sum("turn").over(order).alias("part"))
+        .groupBy("doc_id", "run", "part")
         .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("first"))
+        .groupBy("doc_id", "run")
+        .agg(
+            F.min("start").alias("start"), F.max("end").alias("end"),
+            F.array_sort(F.collect_list(F.when(~F.col("first"), F.struct("start", "end")))).alias("later"),
+        )
         .where(F.col("end") - F.col("start") >= 2 * WORDS - 1)
         .drop("run")
     )
@@ -148,12 +156,13 @@ def _runs(repeated: DataFrame) -> DataFrame:
 def passages_by_document(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per doc_id: (doc_id, n_passages, repeated_words, passages, duplicate).
 
-    ``passages`` lists start-end of each, ``duplicate`` those that are not the first occurrence.
+    ``passages`` lists start-end of each, ``duplicate`` the parts of them that are not the first
+    occurrence; no kept chunk is in one.
     """
     span = F.struct("start", "end")
     found = repeated_passages(docs, id_col, text_col).distinct().groupBy("doc_id").agg(
         F.count("*").alias("n"), F.sum("n_words").alias("words"), F.array_sort(F.collect_list(span)).alias("spans"),
-        F.array_sort(F.collect_list(F.when(~F.col("first"), span))).alias("later"),
+        F.array_sort(F.flatten(F.collect_list("later"))).alias("later"),
     )
     text = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])))
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).distinct()

@@ -266,6 +266,29 @@ def test_chunks_find_shared_passages(spark, words):
     assert len(set(ends.tolist()) - set(moved.tolist())) <= 3
 
 
+def test_duplicates_hold_no_kept_chunk(spark, words):
+    rnd = random.Random(10)
+    p, q, r = (sentence(rnd, words, 80) for _ in range(3))
+    common = r.encode()[slice(*chunks.chunk_ends(r.encode())[[4, 5]])].decode()
+    texts = [
+        sentence(rnd, words, 30), *(f"{sentence(rnd, words, 30)} {x} {sentence(rnd, words, 30)}" for x in (p, p + " " + q, q)),
+        r[: r.index(common)][-40:] + common + sentence(rnd, words, 30), *(f"{sentence(rnd, words, 30)} {r} {sentence(rnd, words, 30)}" for _ in "ab"),
+    ]
+    docs = documents(spark, texts)
+    kept = {(c.doc_id, c.start, c.end): c.first for c in chunks.repeated_chunks(chunks.chunks(docs)).collect()}
+    rows = {x.doc_id: x for x in chunks.passages_by_document(docs).collect()}
+    spans = lambda s: [tuple(map(int, x.split("-"))) for x in s.split(",") if x]
+    for i, row in rows.items():
+        inside = lambda a, b, listed: any(x <= a and b <= y for x, y in spans(listed))
+        for (d, a, b), first in kept.items():
+            if d == i and inside(a, b, row.passages):
+                assert inside(a, b, row.duplicate) == (not first)
+    cut = {i: [texts[i].encode()[a:b].decode() for a, b in spans(x.duplicate)] for i, x in rows.items()}
+    assert cut[1] == [] and len(cut[2]) == 1 and cut[2][0] in p and len(cut[3]) == 1 and cut[3][0] in q
+    assert any(d == 5 and not f for (d, _, _), f in kept.items())
+    assert sum(map(len, cut[5])) < 100 < sum(map(len, cut[6]))
+
+
 def test_licences(spark, words):
     rnd = random.Random(11)
     texts = [sentence(rnd, words, 50) + "\n" + sentence(rnd, words, 20) for _ in range(80)]
