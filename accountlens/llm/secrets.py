@@ -1,7 +1,8 @@
 """Secrets in text, and credentials whose parts lie apart.
 
 Base spans are found by their form alone: assignments, access identifiers and long hex runs. The
-method adds weak candidates, which say nothing alone: login names, short passwords and endpoints. A
+method adds weak candidates, which say nothing alone: login names, short passwords and endpoints. They
+are known by a word in the name before the separator, also a compound one (DB_USER, secret_key, dbHost). A
 scope is a paragraph (lines up to a blank one). Within it the parts are interval-joined: a weak
 candidate is reported only if parts of the other roles start within ``REACH`` characters of it. An
 identifier (access span or login) needs a secret (assign or hex span or weak password), a weak
@@ -40,19 +41,23 @@ _ACCESS_LEAST = 18
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
 _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
-_LOGIN = re.compile(
-    r"""\b(?:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?([\w.@+-]{3,64})""",
-    re.ASCII | re.IGNORECASE,
-)
-_LOGIN_WORDS = ("user", "login", "account", "client")
-_WEAK_SECRET = re.compile(
-    r"""\b(?:password|passwd|pwd|secret|token|pass|key)["']?\x20*[:=]\x20*["']?([^\s"',;]{4,64})""",
-    re.ASCII | re.IGNORECASE,
-)
-_WEAK_WORDS = ("pass", "pwd", "secret", "token", "key")
-_ENDPOINT = re.compile(
-    r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+|\bhost\x20*[:=]\x20*[\w.-]+", re.ASCII | re.IGNORECASE
+#: The name before a separator, from its first letter; a run of name characters is tried once.
+_NAME = re.compile(r"""(?<![\w.-])[.-]*+(\w[\w.-]*+)["']?\x20*+[:=]""", re.ASCII)
+#: Roles of a name by the words in it, the last one counts. Short words are no part of longer ones in lower case.
+_ROLE = re.compile(
+    r"""(?P<login>(?i:user|login|account|(?:client|key)[_.-]?id(?![a-z])))
+    |(?P<weak_secret>(?i:passw|pwd|secret|token|(?:api|access|private|auth|db)(?:key|pass(?![a-z])))
+        |(?:(?<![A-Za-z])(?i:key|pass)|(?<=[a-z])(?:Key|Pass)|(?<=[A-Z])(?:KEY|PASS))(?:s|phrase)?(?![a-z]))
+    |(?P<endpoint>(?:(?<![A-Za-z])(?i:host)|(?<=[a-z])Host|(?<=[A-Z])HOST|(?:db|pg)host)(?:s|name)?(?![a-z]))""",
+    re.ASCII | re.VERBOSE,
 )
+_ROLE_WORDS = ("user", "login", "account", "client", "key", "pass", "pwd", "secret", "token", "host")
+_VALUES = {
+    "login": re.compile(r"""\x20*["']?[\w.@+-]{3,64}""", re.ASCII),
+    "weak_secret": re.compile(r"""\x20*["']?[^\s"',;]{4,64}""", re.ASCII),
+    "endpoint": re.compile(r"""\x20*["']?[\w.-]+""", re.ASCII),
+}
+_URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+", re.ASCII | re.IGNORECASE)
 _BLANK = re.compile(r"\n[ \t\r]*\n")
 
 
@@ -73,12 +78,19 @@ def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     """Candidates that need company; those that overlap an assignment are part of it."""
     low = text.lower()
     found = []
-    if any(w in low for w in _LOGIN_WORDS):
-        found += [(m.start(), 3, m.end()) for m in _LOGIN.finditer(text)]
-    if any(w in low for w in _WEAK_WORDS):
-        found += [(m.start(), 4, m.end()) for m in _WEAK_SECRET.finditer(text)]
-    if "://" in text or "host" in low:
-        found += [(m.start(), 5, m.end()) for m in _ENDPOINT.finditer(text)]
+    if any(w in low for w in _ROLE_WORDS):
+        ends = dict.fromkeys(_VALUES, 0)
+        for m in _NAME.finditer(text):
+            role = None
+            for word in _ROLE.finditer(m[1]):
+                role = word.lastgroup
+            # what lies within a value of the same role is part of it
+            value = _VALUES[role].match(text, m.end()) if role and m.end() >= ends[role] else None
+            if value:
+                ends[role] = value.end()
+                found.append((m.start(1), KINDS.index(role), value.end()))
+    if "://" in text:
+        found += [(m.start(), 5, m.end()) for m in _URL.finditer(text)]
     if not found:
         return []
     strong = [(s, e) for s, k, e in base if k == 0]

@@ -247,6 +247,27 @@ def test_secrets(spark):
     assert [s.kind for s in rows[2].base] == [] and all(not rows[i].spans for i in (3, 4, 5))
 
 
+def test_secrets_of_compound_names(spark):
+    key = "AKIA" + "ABCDEFGH12345678"
+    texts = [
+        "DB_HOST=db.internal\nDB_USER=admin\nDB_PASSWORD=short\nMYSQL_PWD=tiny\nsecret_key= 'abcd'",
+        f"[default]\naws_access_key_id = {key}\naws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",
+        "monkey: banana keyboard: qwerty passage: third ghost: casper\nuser: bob",
+        "DB_PASSWORD=short", "-" * 200_000 + " user=" + "user_" * 40_000,
+    ]
+    rows = {r.doc_id: r for r in secrets.find_secrets(documents(spark, texts)).collect()}
+    kinds = lambda i: [(s.kind, texts[i][s.start : s.end]) for s in rows[i].spans]
+    assert kinds(0) == [
+        ("endpoint", "DB_HOST=db.internal"), ("login", "DB_USER=admin"), ("weak_secret", "DB_PASSWORD=short"),
+        ("weak_secret", "MYSQL_PWD=tiny"), ("weak_secret", "secret_key= 'abcd"),
+    ]
+    assert kinds(1) == [
+        ("login", f"aws_access_key_id = {key}"), ("access", key),
+        ("weak_secret", "aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"),
+    ]
+    assert not kinds(2) and not kinds(3) and not kinds(4)
+
+
 def test_chunks_find_shared_passages(spark, words):
     rnd = random.Random(9)
     texts = [sentence(rnd, words, 300) for _ in range(60)]
