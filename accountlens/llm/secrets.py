@@ -53,8 +53,8 @@ _ROLE = re.compile(
 )
 _ROLE_WORDS = ("user", "login", "account", "client", "key", "pass", "pwd", "secret", "token", "host")
 _VALUES = {
-    "login": re.compile(r"""\x20*["']?[\w.@+-]{3,64}""", re.ASCII),
-    "weak_secret": re.compile(r"""\x20*["']?[^\s"',;]{4,64}""", re.ASCII),
+    "login": re.compile(r"""\x20*["']?[\w.@+-]{3,}""", re.ASCII),
+    "weak_secret": re.compile(r"""\x20*["']?[^\s"',;]{4,}""", re.ASCII),
     "endpoint": re.compile(r"""\x20*["']?[\w.-]+""", re.ASCII),
 }
 _URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+", re.ASCII | re.IGNORECASE)

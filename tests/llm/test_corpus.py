@@ -268,6 +268,13 @@ def test_secrets_of_compound_names(spark):
     assert not kinds(2) and not kinds(3) and not kinds(4)
 
 
+def test_long_values_are_covered_whole(spark):
+    texts = ["user=" + "u" * 90 + " password=" + "!p" * 60, "user=bob " + "secret=" * 100_000]
+    rows = {r.doc_id: r for r in secrets.find_secrets(documents(spark, texts)).collect()}
+    assert [(s.start, s.end) for s in rows[0].spans] == [(0, 95), (96, len(texts[0]))]
+    assert [(s.start, s.end) for s in rows[1].spans] == [(0, 8), (9, len(texts[1]))]
+
+
 def test_chunks_find_shared_passages(spark, words):
     rnd = random.Random(9)
     texts = [sentence(rnd, words, 300) for _ in range(60)]
