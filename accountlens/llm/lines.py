@@ -1,7 +1,7 @@
 """Line dedup: an exact set-similarity join of lines, in DataFrame functions alone.
 
 A line is the set of its words (separated by space or TAB..CR, lower case). A line is removed if an
-earlier one, by (doc_id, number), has a Jaccard similarity of ``THRESHOLD`` or more, be that one
+earlier one, by (doc_id, number, text digest), has a Jaccard similarity of ``THRESHOLD`` or more, be that one
 removed itself or not. Equal sets meet by their digest. Distinct sets are joined on the words of
 their prefixes: words are ordered by rarity in the corpus, so a prefix holds the rarest ones, and
 two similar sets must share a word of their prefixes. Length and position of the shared word, and 64 parity
@@ -10,8 +10,8 @@ bits of each set, rule out most candidates before the full sets are compared.
 Words are known by 58 bits of their hash, rarity by the number of words in the same of ``BUCKETS``
 buckets, on a scale of powers of two: any order that is the same for all lines gives the same
 result. Lines without words (blank ones, null and empty texts) are never removed. A null doc_id comes
-before all others. Rows that repeat a doc_id count as one document: what stands at the same place twice
-doesn't remove itself.
+before all others. Rows of one doc_id (or of none) are told apart by a digest of their text, which comes last
+in the order of lines. Rows equal in id and text are one document: what stands there doesn't remove itself.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from accountlens.llm.common import Scratch, checkpointed
 THRESHOLD = 0.8
 BUCKETS = 1 << 15
 _SALTS = 16
+#: What tells a line from all others, in the order of lines.
+_PLACE = ("doc_id", "line_no", "row")
 
 
 def _words(text: Column) -> Column:
@@ -66,7 +68,7 @@ def _parity(words: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    return docs.select("doc_id", "row", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
 
 
 def _least_shared(n: str, other: str, threshold: float) -> Column:
@@ -108,7 +110,7 @@ def _hashed(*columns: str) -> Column:
 
 def _bits(needed: DataFrame) -> np.ndarray:
     """Two million bits, set where a needed line falls: keeps most other lines out of a shuffle."""
-    h = _hashed("need_id", "need_no")
+    h = _hashed("need_id", "need_no", "need_row")
     one = F.lit(1).cast("long")
     set_ = F.bit_or(F.call_function("shiftleft", one, h.bitwiseAND(63).cast("int"))).alias("bits")
     bits = np.zeros(BUCKETS, np.int64)
@@ -119,12 +121,12 @@ def _bits(needed: DataFrame) -> np.ndarray:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, classes: Column, threshold: float, scratch: Scratch) -> DataFrame:
     """(at): the later lines of the pairs whose whole sets are similar. Sets come from the texts anew."""
-    at = F.struct("doc_id", "line_no").alias("at")
+    at = F.struct(*_PLACE).alias("at")
     needed = scratch(pairs.select("at").union(pairs.select("at_1")).distinct())
-    needed = needed.select(F.col("at.doc_id").alias("need_id"), F.col("at.line_no").alias("need_no"))
-    same = F.col("doc_id").eqNullSafe(F.col("need_id")) & (F.col("line_no") == F.col("need_no"))
-    maybe = F.get(F.lit(_bits(needed)), F.shiftrightunsigned(_hashed("doc_id", "line_no"), 6).cast("int"))
-    bit = F.call_function("shiftrightunsigned", maybe, _hashed("doc_id", "line_no").bitwiseAND(63).cast("int"))
+    needed = needed.select(F.col("at.doc_id").alias("need_id"), F.col("at.line_no").alias("need_no"), F.col("at.row").alias("need_row"))
+    same = F.col("doc_id").eqNullSafe(F.col("need_id")) & (F.col("line_no") == F.col("need_no")) & (F.col("row") == F.col("need_row"))
+    maybe = F.get(F.lit(_bits(needed)), F.shiftrightunsigned(_hashed(*_PLACE), 6).cast("int"))
+    bit = F.call_function("shiftrightunsigned", maybe, _hashed(*_PLACE).bitwiseAND(63).cast("int"))
     full = scratch(
         _lines(texts)
         .where(bit.bitwiseAND(1) == 1)
@@ -146,8 +148,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, classes: Column, threshold: f
 def removed_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
-    """(doc_id, line_no) of the lines to remove, numbered from 0, each once."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """(doc_id, line_no, row) of the lines to remove, numbered from 0, each once; row: digest of the text."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row"))
     with Scratch(docs.sparkSession) as scratch:
         return checkpointed(_removed(texts, threshold, scratch))
 
@@ -159,12 +161,12 @@ def _removed(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     keys = ["key_a", "key_b"]
     lines = scratch(
         words.select(
-            "doc_id", "line_no", F.xxhash64("words").alias("key_a"), F.hash("words", n).alias("key_b"), n.alias("n"),
+            *_PLACE, F.xxhash64("words").alias("key_a"), F.hash("words", n).alias("key_b"), n.alias("n"),
             _parity(F.col("words")).alias("parity"),
             F.slice("words", 1, _prefix(n, threshold)).alias("prefix"),
         )
     )
-    at = F.struct("doc_id", "line_no")
+    at = F.struct(*_PLACE)
     first = [F.first(c).alias(c) for c in ("n", "parity", "prefix")]
     sets = scratch(lines.groupBy(*keys).agg(F.min(at).alias("at"), *first))
     place = sets.select("at", "n", "parity", F.posexplode("prefix").alias("pos", "word"))
@@ -182,17 +184,17 @@ def _removed(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     # of each set: where it stands first, and whether that place goes too; salted, as one line may be most
     marked = scratch(sets.join(similar, "at", "left").select(*keys, "at", F.coalesce("similar", F.lit(False)).alias("similar")))
     salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
-    salted = lines.select(*keys, "doc_id", "line_no", F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(_SALTS)).cast("int").alias("salt"))
+    salted = lines.select(*keys, *_PLACE, F.pmod(F.xxhash64(*_PLACE), F.lit(_SALTS)).cast("int").alias("salt"))
     gone = salted.join(marked.select("*", salts), [*keys, "salt"]).where(F.col("similar") | (F.col("at") < at))
-    return gone.select("doc_id", "line_no").distinct()
+    return gone.select(*_PLACE).distinct()
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: (doc_id, n_lines, n_removed, removed array<int>)."""
     removed = _by_document(removed_lines(docs, id_col, text_col))
     n = F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), n.alias("n_lines"))
-    return rows.join(removed, F.col("doc_id").eqNullSafe(F.col("of_id")), "left").select(
+    rows = docs.select(F.col(id_col).alias("doc_id"), n.alias("n_lines"), F.xxhash64(text_col).alias("row"))
+    return rows.join(removed, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("row") == F.col("of_row")), "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), _or_none("removed")
     )
 
@@ -207,7 +209,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
     left = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
     names = docs.columns
-    met = docs.join(removed, docs[id_col].eqNullSafe(F.col("of_id")), "left")
+    own = docs[id_col].eqNullSafe(F.col("of_id")) & (F.xxhash64(docs[text_col]) == F.col("of_row"))
+    met = docs.join(removed, own, "left")
     text = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(left)
     return met.where(F.col("removed").isNull() | (F.trim(left) != "")).select(
         *(text.alias(c) if c == text_col else docs[c] for c in names)
@@ -215,7 +218,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _by_document(removed: DataFrame) -> DataFrame:
-    return removed.groupBy(F.col("doc_id").alias("of_id")).agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
+    return removed.groupBy(F.col("doc_id").alias("of_id"), F.col("row").alias("of_row")).agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
 
 
 def _or_none(name: str) -> Column:

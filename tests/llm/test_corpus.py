@@ -151,6 +151,15 @@ def test_lines_against_all_pairs(spark, odd, words):
     assert left[0] is None and left[1] == ""
 
 
+def test_rows_without_id_keep_their_own_lines(spark, words):
+    rnd = random.Random(14)
+    a, b, c, d, e = (sentence(rnd, words, 12) for _ in range(5))
+    texts = [f"{a}\n{a}", f"{b}\n{c}", f"{d}\n{c}\n{e}"]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    left = [r.text for r in lines.without_repeats(docs).collect()]
+    assert sorted("\n".join(left).split("\n")) == sorted([a, b, c, d, e]) and len(left) == 3
+
+
 def test_mix_balances(spark):
     rnd = random.Random(6)
     texts = ["w " * rnd.randint(0, 60) for _ in range(3000)] + [None, ""]
