@@ -117,7 +117,7 @@ def landing(p: np.ndarray, size: np.ndarray, random: np.random.Generator) -> np.
 
 def _decide(last: bool):
     def work(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["key", "doc_id", "size"], kind="stable", na_position="first")
+        group = group.sort_values(["key", "doc_id", "size", "row"], kind="stable", na_position="first")
         random = np.random.default_rng([int(group["number"].iat[0]), int(group["cell"].iat[0]), len(group)])
         p = flight(group["p"].to_numpy(), group["size"].to_numpy(), random)
         if last:
@@ -134,11 +134,17 @@ def mix(
     source_col: str = "source",
     weights: tuple[float, ...] = WEIGHTS,
     most: int = MOST,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: (doc_id, size, source_size, target, copies, taken)."""
+    """One row per row of ``docs``: (doc_id, size, source_size, target, copies, taken).
+
+    ``row_col``: a long that tells rows of one id apart, returned as ``row``.
+    """
+    row = F.col(row_col) if row_col else F.lit(0)
     sized = checkpointed(
         docs.select(
-            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
+            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+            row.cast("long").alias("row"),
         )
     )
     targets = checkpointed(source_targets(sized, weights, most))
@@ -148,25 +154,25 @@ def mix(
     met = sized["source"].eqNullSafe(targets["source"])
     due = sized.join(F.broadcast(targets) if few else targets.hint("merge"), met)
     due = due.select(
-        sized["doc_id"], "number", "size", "source_size", "target", F.least(rate, F.lit(float(most))).alias("rate")
+        sized["doc_id"], "number", "size", "row", "source_size", "target", F.least(rate, F.lit(float(most))).alias("rate")
     )
     whole = F.floor(F.col("rate") + _EPS)
     n_cells = max(1, -(-sized.count() // CELL))
-    key = F.xxhash64("doc_id", "size")
+    key = F.xxhash64("doc_id", "size", *(["row"] if row_col else []))
     state = due.select(
-        "doc_id", "number", "size", "source_size", "target",
+        "doc_id", "number", "size", "row", "source_size", "target",
         whole.cast("long").alias("whole"),
         F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("p"),
         F.pmod(key, F.lit(n_cells)).alias("cell"),
     )
-    columns = "doc_id {kind}, number long, size long, source_size long, target double, whole long, p double, cell long".format(
+    columns = "doc_id {kind}, number long, size long, row long, source_size long, target double, whole long, p double, cell long".format(
         kind=docs.schema[id_col].dataType.simpleString()
     )
     decided = []
     while True:
         last = n_cells == 1
         state = checkpointed(
-            state.withColumn("key", F.xxhash64("doc_id", "size")).groupBy("number", "cell").applyInPandas(_decide(last), columns)
+            state.withColumn("key", key).groupBy("number", "cell").applyInPandas(_decide(last), columns)
         )
         decided.append(state.where("p = 0 or p = 1"))
         if last:
@@ -177,4 +183,5 @@ def mix(
     for more in decided[1:]:
         every = every.union(more)
     copies = (F.col("whole") + F.col("p")).cast("long")
-    return every.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    own = ["row"] if row_col else []
+    return every.select("doc_id", *own, "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))

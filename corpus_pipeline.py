@@ -38,10 +38,13 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    drawn = mixing.mix(docs).groupBy(F.col("doc_id").alias("drawn_id")).agg(F.max("copies").cast("int").alias("drawn_copies"))
-    met = docs.join(checkpointed(drawn), docs["doc_id"].eqNullSafe(F.col("drawn_id")))
+    keyed = docs.withColumn("drawn_row", F.xxhash64(*docs.columns))
+    drawn = mixing.mix(keyed, row_col="drawn_row").where("copies > 0")
+    # rows equal in all columns are alike: one of them stands for what was drawn of all
+    drawn = checkpointed(drawn.groupBy(F.col("row").alias("drawn_row")).agg(F.sum("copies").cast("int").alias("drawn_copies")))
     copies = F.explode(F.sequence(F.lit(1), F.col("drawn_copies"))).alias("drawn_copy")
-    return met.where("drawn_copies > 0").select(*(docs[c] for c in docs.columns), copies).drop("drawn_copy")
+    met = keyed.join(drawn, "drawn_row").dropDuplicates(["drawn_row"])
+    return met.select(*docs.columns, copies).drop("drawn_copy")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -188,6 +188,21 @@ def test_mix_balances(spark):
     assert again == {r.doc_id: r.taken for r in rows}
 
 
+def test_pipeline_takes_rows_without_id_one_by_one(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(16)
+    rows = [(None if i % 3 == 0 else i, f"n{i} " + "w " * rnd.randint(0, 60), "aaab"[i % 4]) for i in range(900)]
+    rows += [(None, "same " * 20, "a")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    target = {r.source_size: r.target for r in mixing.mix(docs).select("source_size", "target").distinct().collect()}
+    size = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "ab"}
+    got = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    for s in "ab":
+        taken = sum(len(r.text.split()) for r in got if r.source == s)
+        assert abs(taken - target[size[s]]) <= 180
+
+
 def test_flight_keeps_the_totals():
     random_ = np.random.default_rng(1)
     p, size = np.full(500, 0.37), random_.integers(1, 90, 500)
