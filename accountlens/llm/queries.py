@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -17,9 +18,11 @@ from accountlens.llm import (
     lines,
     minhash,
     mixing,
+    packing,
     secrets,
     toxicity,
 )
+from accountlens.llm.byte_level import ByteLevelTokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -194,3 +197,13 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_sort(F.array_distinct("found.family")).alias("families"),
         F.concat_ws(",", F.transform("found", lambda x: F.concat_ws(":", x["paragraph"], x["family"]))).alias("paragraphs"),
     )
+
+
+def byte_level() -> ByteLevelTokenizer:
+    return ByteLevelTokenizer.read(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+@query
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checksum = (lambda ids: zlib.crc32(ids.astype("<u4").tobytes()), "ids_crc32", "long")
+    return packing.pack(packing.cut_pieces(table(spark, sf_dir, "documents"), byte_level(), of_ids=checksum))
