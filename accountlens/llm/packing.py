@@ -223,10 +223,18 @@ def _meet(capacity: int):
     return work
 
 
+def _to_open(pieces: dict[int, int], gaps: dict[int, int], capacity: int) -> int:
+    """How many sequences pieces (size: number) need beside the gaps, whichever way they are packed."""
+    total = sum(s * n for s, n in pieces.items()) - sum(s * n for s, n in gaps.items())
+    large = sum(n for s, n in pieces.items() if 2 * s > capacity) - sum(n for s, n in gaps.items() if 2 * s > capacity)
+    unfit = sum(s * n for s, n in pieces.items() if s > max(gaps, default=0))
+    return max(-(-total // capacity), large, -(-unfit // capacity), 0)
+
+
 def best_fit(items: DataFrame, capacity: int, kept: Scratch, partition_rows: int = PARTITION_ROWS) -> DataFrame:
     """(id, sequence_id, offset) of items (id, length), 1 to ``capacity`` long, ids distinct.
 
-    Reads the tables of ``kept``. The driver sees a row of counts per range partition.
+    Reads the tables of ``kept``. The driver sees a count for each size, and counts of each range partition.
     """
     spark = items.sparkSession
     names = [c.split()[0] for c in _EVENT.split(", ")]
@@ -234,28 +242,22 @@ def best_fit(items: DataFrame, capacity: int, kept: Scratch, partition_rows: int
     gaps = pieces.where(F.lit(False))
     opened, done = 0, []
     while True:
-        # F.min of no rows is null: then all is placed
-        few = pieces.agg(
-            F.count("*").alias("n"), F.sum("size").alias("total"), F.min("size").alias("least"),
-            F.count_if(F.col("size") > capacity // 2).alias("large"),
-        ).first()
-        if not few["n"]:
+        # at most two rows for each size
+        sizes = pieces.union(gaps).groupBy("is_piece", "size").count().collect()
+        need, have = ({r["size"]: r["count"] for r in sizes if r["is_piece"] == kind} for kind in (True, False))
+        if not need:
             break
-        gaps = gaps.where(F.col("size") >= few["least"])
-        room = gaps.agg(
-            F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("total"),
-            F.coalesce(F.max("size"), F.lit(0)).alias("most"),
-            F.count_if(F.col("size") > capacity // 2).alias("large"),
-        ).first()
-        beyond = pieces.where(F.col("size") > room["most"]).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-        # what is left needs so many sequences more, whichever way it is packed
-        new = max(-(-(few["total"] - room["total"]) // capacity), few["large"] - room["large"], -(-beyond // capacity), 0)
+        least = min(need)
+        gaps, have = gaps.where(F.col("size") >= least), {s: n for s, n in have.items() if s >= least}
+        new = _to_open(need, have, capacity)
         fresh = spark.range(opened, opened + new).select(F.lit(False), "id", F.lit(capacity).cast("long")).toDF(*names)
         opened += new
-        n_parts = -(-(few["n"] + room["n"] + new) // partition_rows)
+        n_parts = -(-(sum(need.values()) + sum(have.values()) + new) // partition_rows)
         order = [F.col("size").desc(), F.col("is_piece").asc(), F.xxhash64("id").asc(), F.col("id").asc()]
-        events = pieces.union(gaps).union(fresh).repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
-        swept = kept(events.mapInArrow(_sweep_partition(capacity), _SWEPT))
+        events = pieces.union(gaps).union(fresh)
+        # a partition's worth of rows needs no ranges
+        events = events.repartitionByRange(n_parts, *order) if n_parts > 1 else events.coalesce(1)
+        swept = kept(events.sortWithinPartitions(*order).mapInArrow(_sweep_partition(capacity), _SWEPT))
         is_gap, is_left = F.col("state") == _GAP, F.col("state") == _PIECE
         serving = is_gap & (F.col("rank") >= 0)
         parts = swept.groupBy("part").agg(
