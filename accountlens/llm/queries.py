@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Callable
 
@@ -10,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accountlens.llm import (
+    alignment,
     bpe,
     chunks,
     hamming,
     lattice,
+    lexical,
     licences,
     lines,
     minhash,
@@ -207,3 +210,52 @@ def byte_level() -> ByteLevelTokenizer:
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     checksum = (lambda ids: zlib.crc32(ids.astype("<u4").tobytes()), "ids_crc32", "long")
     return packing.pack(packing.cut_pieces(table(spark, sf_dir, "documents"), byte_level(), of_ids=checksum))
+
+
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = alignment.SpacedByteLevel(byte_level())
+    b = alignment.PieceTokenizer(public_tokenizers.path("piece_bpe_32k.model"))
+    digest = (lambda groups: hashlib.sha256(groups).hexdigest(), "string")
+    found = alignment.align(table(spark, sf_dir, "documents"), a, b, of_groups=digest)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+@query
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op12_lexical"] = r"""
+with split as (
+  select row_number() over () as r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as words
+  from documents
+), totals as (
+  select count(*) as n_docs, sum(len(words)) as length from split where len(words) > 0
+), item_terms as (
+  select distinct i, item_id, term from (
+    select row_number() over () as i, item_id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from benchmark)
+), counts as (
+  select r, doc_id, n, term, count(*) as tf
+  from (select r, doc_id, len(words) as n, unnest(words) as term from split)
+  where term in (select term from item_terms) group by all
+), weights as (
+  select term, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) as bigint) as w
+  from (select term, count(*) as df from counts group by term), totals
+), gains as (
+  select r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // length))) as gain
+  from counts join weights using (term), totals
+), scores as (
+  select i, item_id, r, doc_id, cast(sum(gain) as bigint) as score
+  from item_terms join gains using (term) group by i, item_id, r, doc_id having sum(gain) > 0
+), ranked as (
+  select item_id, row_number() over (partition by i order by score desc, doc_id nulls last, r) as rank, doc_id, score
+  from scores
+)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 50
+"""
