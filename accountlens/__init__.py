@@ -14,13 +14,14 @@ from accountlens.plans.judge import (
 )
 from accountlens.plans.spam import train_spam
 from accountlens.session import build_session
-from accountlens.streaming.scoring import score_stream
+from accountlens.streaming.scoring import latest_scores, score_stream
 
 __all__ = [
     "AccountClassifier",
     "account_features",
     "build_session",
     "feature_importance",
+    "latest_scores",
     "load_model",
     "overlapping_accounts",
     "post_features",

@@ -103,8 +103,8 @@ SELECT user_id, count(*) AS "nroTweets",
 FROM post GROUP BY user_id"""
 
 
-def _entropy(rows: str, group: str = "user_id") -> str:
-    """Gap series of each group's rows up to its entropies, searching every length."""
+def _entropy(rows: str, group: str = "user_id", last: str = "110", longest: str = "n") -> str:
+    """Gap series of each group's rows up to its entropies, searching every length up to ``longest``."""
     return f"""
 gap AS (
   SELECT {group}, sec - lag(sec) OVER w AS gap, row_number() OVER w - 1 AS nth,
@@ -112,7 +112,7 @@ gap AS (
   FROM {rows} WINDOW w AS (PARTITION BY {group} ORDER BY ts, id)
 ),
 series AS (
-  SELECT {group}, gap, nth - 1 AS pos FROM gap WHERE n_gaps > 3 AND nth BETWEEN 2 AND 110
+  SELECT {group}, gap, nth - 1 AS pos FROM gap WHERE n_gaps > 3 AND nth BETWEEN 2 AND {last}
 ),
 bounds AS (
   SELECT {group}, min(gap) AS low, max(gap) AS high, count(*) AS n FROM series GROUP BY {group}
@@ -124,7 +124,7 @@ symbol AS (
   FROM series JOIN bounds USING ({group})
 ),
 symbols AS (SELECT {group}, n, list(q ORDER BY pos) AS qs FROM symbol GROUP BY {group}, n),
-lengths AS (SELECT {group}, n, qs, unnest(range(1, n + 1)) AS l FROM symbols),
+lengths AS (SELECT {group}, n, qs, unnest(range(1, {longest} + 1)) AS l FROM symbols),
 windows AS (SELECT {group}, n, l, qs, unnest(range(1, n - l + 2)) AS i FROM lengths),
 counts AS (
   SELECT {group}, n, l, qs[i:i + l - 1] AS pattern, count(*) AS c FROM windows GROUP BY {group}, n, l, qs[i:i + l - 1]
@@ -283,6 +283,16 @@ SELECT user_id, l, round(ce, 6) AS ce, singles, total FROM conditional WHERE l >
     "corrected_entropy": f"""
 WITH {_EVENTS}, {_entropy("ev")}
 SELECT user_id, entropia FROM corrected""",
+    # patterns of 40 gaps don't occur twice; beyond them the term is least at the last length
+    "whole_series_entropy": f"""
+WITH {_EVENTS}, {_entropy("ev", "event_type", "n_gaps", "40")},
+tail AS (SELECT event_type, h - ln(2) AS least FROM shannon WHERE l = 1)
+SELECT event_type, round(least(least, (SELECT min(ce + singles / CAST(total AS DOUBLE) * h1) FROM conditional c
+  WHERE c.event_type = tail.event_type AND l >= 2)), 6) AS entropia FROM tail""",
+    "whole_series_repeats": f"""
+WITH {_EVENTS}, {_entropy("ev", "event_type", "n_gaps", "40")}
+SELECT event_type, l, count(*) AS n_patterns, CAST(sum(c) AS BIGINT) AS n_windows FROM counts
+WHERE c > 1 GROUP BY event_type, l""",
     "label_union": """
 SELECT doc_id, quality, CAST(CASE WHEN toxic = 1 THEN 1 WHEN quality = 1 THEN 0 ELSE 2 END AS DOUBLE) AS categoria
 FROM labels""",

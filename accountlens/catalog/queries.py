@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from accountlens.catalog.tables import events, labelled_texts, legacy_time, posts, table
 from accountlens.functions import scalars
-from accountlens.operators import entropy, evaluation, gaps, profiles
+from accountlens.operators import entropy, evaluation, gaps, patterns, profiles
 from accountlens.operators import posts as post_ops
 from accountlens.plans import features, judge, spam
 from accountlens.schema import (
@@ -24,7 +24,7 @@ from accountlens.schema import (
     HUMAN,
     WEEKDAYS,
 )
-from accountlens.session import new_path
+from accountlens.session import checkpointed, new_path
 from accountlens.sources.posts import posts_from_lines, read_posts, read_texts
 from accountlens.sources.tables import (
     read_rows,
@@ -369,16 +369,23 @@ def gap_symbols(spark, sf_dir):
     return _symbols(spark, sf_dir).select(ACCOUNT, joined("symbols").alias("symbols"))
 
 
+def _symbol_rows(spark, sf_dir) -> DataFrame:
+    return checkpointed(patterns.symbol_rows(_symbols(spark, sf_dir)))
+
+
 @query
 def pattern_counts(spark, sf_dir):
-    counts = entropy.pattern_counts(_symbols(spark, sf_dir))
-    return counts.select(
-        ACCOUNT, F.col("l").cast("long").alias("l"), joined("pattern", "-").alias("pattern"), "occurrences"
+    """Every pattern of every length; its symbols are shown for the comparison only."""
+    arrays = checkpointed(_symbols(spark, sf_dir))
+    counts = patterns.pattern_counts(patterns.symbol_rows(arrays))
+    shown = F.expr("array_join(slice(cast(symbols AS array<string>), int(pos), l), '-')")
+    return counts.join(arrays, ACCOUNT).select(
+        ACCOUNT, F.col("l").cast("long").alias("l"), shown.alias("pattern"), "occurrences"
     )
 
 
 def _entropies(spark, sf_dir) -> DataFrame:
-    return entropy.shannon_entropy(entropy.pattern_counts(_symbols(spark, sf_dir)))
+    return patterns.shannon_entropy(_symbol_rows(spark, sf_dir))
 
 
 @query
@@ -388,7 +395,7 @@ def shannon_entropy(spark, sf_dir):
 
 @query
 def conditional_entropy(spark, sf_dir):
-    out = entropy.conditional_entropy(_entropies(spark, sf_dir))
+    out = patterns.conditional_entropy(checkpointed(_entropies(spark, sf_dir)))
     return rounded(out.withColumn("l", F.col("l").cast("long")), ["ce"])
 
 
@@ -397,6 +404,27 @@ def corrected_entropy(spark, sf_dir):
     return rounded(entropy.corrected_entropy(_gaps(spark, sf_dir)), ["entropia"])
 
 
+def _kind_gaps(spark, sf_dir) -> DataFrame:
+    """Gaps between events of one type: five series, as long as the table allows."""
+    return gaps.gap_rows(events(spark, sf_dir), key="event_type")
+
+
+@query
+def whole_series_entropy(spark, sf_dir):
+    """Entropy of whole timelines of thousands of gaps, in long form."""
+    return rounded(entropy.series_entropy(_kind_gaps(spark, sf_dir), ["event_type"]), ["entropia"])
+
+
+@query
+def whole_series_repeats(spark, sf_dir):
+    """Number of repeated patterns and of their occurrences for each length of the whole timelines."""
+    symbols = checkpointed(patterns.quantised(_kind_gaps(spark, sf_dir), ["event_type"]))
+    found = patterns.repeated_windows(symbols, ["event_type"]).groupBy("event_type", F.col("l").cast("long").alias("l"))
+    return found.agg(
+        F.count_if(F.col("pos") == F.col("first")).alias("n_patterns"), F.count(F.lit(1)).alias("n_windows")
+    )
+
+
 # --- labels, splits, quality --------------------------------------------------------------
 
 
@@ -528,21 +556,20 @@ def model_roundtrip(spark, sf_dir):
 
 @query
 def score_stream(spark, sf_dir):
-    """Timelines arriving in two deliveries, scored as they come, against one batch run.
+    """Timelines in two deliveries, each with a part of every account, against one batch run.
 
-    A delivery holds whole accounts, in files that split them freely: both deliveries are
-    single micro-batches. The batch run reads the same files.
+    The last score of an account must be that of its whole timeline.
     """
     spam_detector, classifier = _models(spark, sf_dir)
     source, sink, checkpoint = (new_path(spark, n) for n in ("timelines", "scores", "stream"))
     everything = posts(spark, sf_dir)
     for delivery in (0, 1):
-        arrived = everything.where(F.pmod(F.xxhash64("user.id"), F.lit(2)) == delivery)
+        arrived = everything.where(F.pmod(F.xxhash64("id"), F.lit(2)) == delivery)
         arrived.write.mode("append").json(source)
         scoring.score_stream(
             spark, source, sink, checkpoint, classifier, spam_detector
         ).awaitTermination()
-    streamed = read_rows(spark, sink).select(ACCOUNT, F.col("probabilidades").alias("streamed"))
+    streamed = scoring.latest_scores(spark, sink).select(ACCOUNT, F.col("probabilidades").alias("streamed"))
     batch = judge.verdicts(judge.score_posts(read_posts(spark, source), classifier, spam_detector))
     difference = F.aggregate(
         F.zip_with("streamed", "probabilidades", lambda a, b: F.abs(a - b)),
@@ -552,4 +579,3 @@ def score_stream(spark, sf_dir):
     return batch.join(streamed, ACCOUNT, "left").select(
         ACCOUNT, F.coalesce(difference < 1e-9, F.lit(False)).alias("agrees")
     )
-

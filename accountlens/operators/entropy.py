@@ -1,8 +1,9 @@
 """Gap-series entropy as DataFrame operators.
 
-Input frames hold one array per account. Exploding it and grouping again on
-(account, ...) needs no further shuffle while the frame is still partitioned by account,
-as it is straight after :func:`accountlens.operators.gaps.first_gaps`.
+Input frames hold one array per account, of a bounded number of gaps. Exploding it and grouping
+again on (account, ...) needs no further shuffle while the frame is still partitioned by account,
+as it is straight after :func:`accountlens.operators.gaps.first_gaps`. Series of any length, and all
+lengths of patterns at once, are the business of :mod:`accountlens.operators.patterns`.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from accountlens.functions import series
+from accountlens.operators import patterns
 from accountlens.operators.gaps import SERIES_LENGTH, gap_series
+from accountlens.session import checkpointed
 
 
 def gap_symbols(
@@ -61,6 +64,15 @@ def conditional_entropy(entropies: DataFrame, keys: Sequence[str] = ("user_id",)
     )
 
 
+def series_entropy(gap_rows: DataFrame, keys: Sequence[str] = ("user_id",), bins: int | None = None) -> DataFrame:
+    """Corrected conditional entropy of whole gap series in long form: (keys, entropia).
+
+    ``gap_rows`` (keys, pos, gap) as of :func:`accountlens.operators.gaps.gap_rows`; series of any
+    length, none of which is ever held in a row.
+    """
+    return patterns.corrected_entropy(checkpointed(patterns.quantised(gap_rows, keys, bins=bins)), keys)
+
+
 def corrected_entropy(
     gaps: DataFrame, keys: Sequence[str] = ("user_id",), length: int | None = SERIES_LENGTH
 ) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from accountlens.operators.ordered import numbered
 
-SECONDS_PER_HOUR = 3600
 #: Shares of an account that are cut to their oldest posts before these meet.
 SHARES = 512
 
@@ -19,6 +19,18 @@ SERIES_LENGTH = 109
 LAST_GAP = SERIES_START + SERIES_LENGTH - 1
 
 
+def _dated(posts: DataFrame, key: str, seconds: str, order: tuple[str, ...]) -> DataFrame:
+    """Posts with an account and a time, numbered by account, time and ``order``."""
+    columns = list(dict.fromkeys([key, *order, seconds]))
+    rows = posts.where(F.col(key).isNotNull() & F.col(seconds).isNotNull()).select(*columns)
+    return numbered(rows, list(dict.fromkeys([key, seconds, *order])), "_n")
+
+
+def _with_gap(rows: DataFrame, key: str, seconds: str) -> DataFrame:
+    before = rows.select(key, (F.col("_n") + 1).alias("_n"), F.col(seconds).alias("_before"))
+    return rows.join(before, [key, "_n"], "left").withColumn("gap", F.col(seconds) - F.col("_before"))
+
+
 def post_gaps(
     posts: DataFrame,
     key: str = "user_id",
@@ -30,25 +42,26 @@ def post_gaps(
     The first post of an account has a null gap. Posts follow each other by ``seconds``;
     ``order`` decides within a second, where it only says which post gets the gap.
 
-    No account is brought together: the lag is taken within an hour of an account, and the
-    hour's first post takes its predecessor from the last second of the account's hour
-    with posts before. Only that table, a row per account and hour, meets by account.
+    Posts are numbered in one global order and each meets the one numbered before it, so neither
+    an account nor a time can be hot: both exchanges are of single rows.
     """
-    columns = list(dict.fromkeys([key, *order, seconds]))
-    dated = posts.where(F.col(key).isNotNull() & F.col(seconds).isNotNull()).select(*columns)
-    hourly = dated.withColumn("_hour", F.floor(F.col(seconds) / F.lit(SECONDS_PER_HOUR)))
-    before = (
-        hourly.groupBy(key, "_hour")
-        .agg(F.max(seconds).alias("_last"))
-        .withColumn("_carry", F.lag("_last").over(Window.partitionBy(key).orderBy("_hour")))
-        .select(key, "_hour", "_carry")
-    )
-    in_hour = Window.partitionBy(key, "_hour").orderBy(seconds, *order)
-    return (
-        hourly.withColumn("_before", F.lag(seconds).over(in_hour))
-        .join(before, [key, "_hour"])
-        .select(*columns, (F.col(seconds) - F.coalesce("_before", "_carry")).alias("gap"))
-    )
+    rows = _dated(posts, key, seconds, order)
+    return _with_gap(rows, key, seconds).select(*[c for c in rows.columns if c != "_n"], "gap")
+
+
+def gap_rows(
+    posts: DataFrame, key: str = "user_id", seconds: str = "sec", min_gaps: int = MIN_GAPS, start: int = SERIES_START
+) -> DataFrame:
+    """Gaps of accounts with more than ``min_gaps`` of them, from gap ``start`` on: (key, pos, gap).
+
+    ``pos`` counts from 1 in the order of time. The whole timeline, however long: no list is made.
+    """
+    rows = _dated(posts, key, seconds, (seconds,))
+    accounts = rows.groupBy(key).agg(F.min("_n").alias("_first"), F.count(F.lit(1)).alias("_posts"))
+    long_ones = accounts.where(F.col("_posts") > min_gaps + 1)
+    nth = F.col("_n") - F.col("_first")
+    placed = _with_gap(rows, key, seconds).join(long_ones, key).where(nth >= start)
+    return placed.select(key, (nth - start + 1).alias("pos"), "gap")
 
 
 def first_gaps(

@@ -15,6 +15,7 @@ _SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -56,6 +57,18 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     return fs.delete(target, True)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, its lineage cut.
+
+    A lost executor costs a read of those files. Sessions of :func:`build_session` delete them when
+    nothing refers to the frame any more.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 @contextmanager
 def stored(df: DataFrame, name: str) -> Iterator[DataFrame]:
     """``df`` written once to the shared folder and read back; removed on exit.

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+import uuid
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from accountlens.functions import scalars
-from accountlens.session import delete_path
+from accountlens.sources import parts as files
 
 STAMP = "createdAt"
 DAY = "created_date"
 RUN = "run"
+#: How the part of a day begins that holds the rows of several runs.
+COMPACTED = "compacted-"
+#: Size of a compacted file, about.
+FILE_BYTES = 256 << 20
 
 
 def _day(stamp: Column) -> Column:
@@ -33,27 +39,99 @@ def read_training_set(spark: SparkSession, path: str, schema, fmt: str = "json")
 def store_run(
     df: DataFrame, path: str, run: str, fmt: str = "parquet", overwrite: bool = False
 ) -> None:
-    """Add the stamped rows of one run to a table: ``path/run=<run>/created_date=<day>``.
+    """Add the stamped rows of one run to a table: ``path/created_date=<day>/part=<run>``.
 
-    A run owns its folder, so adding one never touches another, and a repeated one
-    (``overwrite``) replaces exactly its own rows.
+    Days come first, so a reader of some days lists those alone. Partitions are overwritten
+    dynamically: only the run's own parts are touched. A repeated run (``overwrite``) replaces all
+    its rows, also those of other days and those that :func:`compact` has moved; else a run that
+    is there already is an error.
     """
+    spark, path = df.sparkSession, path.rstrip("/")
+    if run.startswith(COMPACTED):
+        raise ValueError(f"a run can't be called {run}")
+    files.recover(spark, path)
+    if overwrite:
+        forget_run(spark, path, run, fmt)
+    elif any(run in files.parts(spark, path, folder) for folder in files.folders(spark, path)):
+        raise ValueError(f"run {run} is in {path} already")
     (
-        df.withColumn(DAY, _day(F.col(STAMP)))
+        df.withColumn(RUN, F.lit(run))
+        .withColumns({DAY: _day(F.col(STAMP)), files.PART: F.lit(run)})
         .write.format(fmt)
-        .mode("overwrite" if overwrite else "errorifexists")
-        .partitionBy(DAY)
-        .save(f"{path.rstrip('/')}/{RUN}={run}")
+        .mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(DAY, files.PART)
+        .save(path)
     )
 
 
-def read_rows(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """All rows of all runs, with the ``run`` and ``created_date`` partition columns."""
-    return spark.read.format(fmt).load(path)
+def _read(spark: SparkSession, path: str, fmt: str, schema: StructType | None, *below: str) -> DataFrame:
+    reader = spark.read.format(fmt).option("basePath", path)
+    if schema is not None:
+        given = [f for f in schema.fields if f.name not in (RUN, DAY)]
+        own = [StructField(RUN, StringType()), StructField(DAY, DateType()), StructField(files.PART, StringType())]
+        reader = reader.schema(StructType([*given, *own]))
+    return reader.load([f"{path}/{b}" for b in below] if below else path)
 
 
-def read_run(spark: SparkSession, path: str, run: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.format(fmt).load(f"{path.rstrip('/')}/{RUN}={run}")
+def read_rows(spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | None = None) -> DataFrame:
+    """All rows of all runs, with their ``run`` and the ``created_date`` partition column.
+
+    With the ``schema`` of the rows nothing is inferred from files or folder names.
+    """
+    return _read(spark, path.rstrip("/"), fmt, schema).drop(files.PART)
+
+
+def read_run(
+    spark: SparkSession, path: str, run: str, fmt: str = "parquet", schema: StructType | None = None
+) -> DataFrame:
+    """Rows of one run, from its own parts and compacted ones."""
+    part = F.col(files.PART).cast("string")
+    rows = _read(spark, path.rstrip("/"), fmt, schema).where((part == run) | part.startswith(COMPACTED))
+    return rows.where(F.col(RUN) == run).drop(files.PART)
+
+
+def forget_run(spark: SparkSession, path: str, run: str, fmt: str = "parquet") -> None:
+    """Remove all rows of a run."""
+    path = path.rstrip("/")
+    there = {folder: files.parts(spark, path, folder) for folder in files.folders(spark, path)}
+    for folder, names in there.items():
+        if run in names:
+            files.drop(spark, path, folder, run)
+        moved = [n for n in names if n.startswith(COMPACTED)]
+        if moved:
+            rows = _read(spark, path, fmt, None, *(f"{folder}/{files.PART}={n}" for n in moved))
+            if not rows.where(F.col(RUN) == run).isEmpty():
+                _rewrite(spark, path, folder, rows.where(F.col(RUN) != run), moved, fmt)
+
+
+def _rewrite(spark: SparkSession, path: str, folder: str, rows: DataFrame, old: list[str], fmt: str) -> None:
+    """One part of few large files in place of some parts of a day."""
+    n_bytes = sum(files.size(spark, f"{path}/{folder}/{files.PART}={n}") for n in old)
+    kept = rows.drop(DAY, files.PART).coalesce(1 + n_bytes // FILE_BYTES)
+    files.replace(spark, path, folder, kept, old, f"{COMPACTED}{uuid.uuid4().hex}", fmt)
+
+
+def compact(
+    spark: SparkSession, path: str, before: date | None = None, fmt: str = "parquet"
+) -> list[str]:
+    """Merge the parts of each day (of those ``before``, if given) into one; returns those days.
+
+    Rows keep their run, which can still be read and replaced. So the number of folders follows the
+    days, not the batches; leave out the day that is being written to for less work, not for safety:
+    parts added meanwhile stay as they are.
+    """
+    path = path.rstrip("/")
+    files.recover(spark, path)
+    done = []
+    for folder in files.folders(spark, path):
+        day, names = folder.split("=", 1)[1], files.parts(spark, path, folder)
+        if len(names) < 2 or before is not None and day >= before.isoformat():
+            continue
+        rows = _read(spark, path, fmt, None, *(f"{folder}/{files.PART}={n}" for n in names))
+        _rewrite(spark, path, folder, rows, names, fmt)
+        done.append(day)
+    return done
 
 
 def _as_of(as_of: Column | datetime | None) -> Column:
@@ -77,19 +155,51 @@ def unexpired(
     return live.where(F.col(DAY) >= _day(oldest)) if DAY in df.columns else live
 
 
+def _horizon(ttl_seconds: int, as_of: datetime) -> datetime:
+    return as_of.astimezone(timezone.utc) - timedelta(seconds=ttl_seconds)
+
+
 def drop_expired(spark: SparkSession, path: str, ttl_seconds: int, as_of: datetime) -> list[str]:
     """Delete the day partitions that lie wholly before the horizon; returns their days.
 
-    A naive ``as_of`` is local time, as elsewhere in Python. Rows of the horizon's own day
-    stay on disk and are hidden by :func:`unexpired`.
+    A naive ``as_of`` is local time, as elsewhere in Python. Days are those of the folders' names:
+    one listing, whatever they hold. Rows of the horizon's own day stay on disk and are hidden by
+    :func:`unexpired`; :func:`expire` removes those as well.
+    """
+    path, horizon = path.rstrip("/"), _horizon(ttl_seconds, as_of).date().isoformat()
+    files.recover(spark, path)
+    dropped = []
+    for folder in files.folders(spark, path):
+        day = folder.split("=", 1)[1]
+        if folder.startswith(f"{DAY}=") and day < horizon:
+            files.drop(spark, path, folder)
+            dropped.append(day)
+    return dropped
+
+
+def expire(
+    spark: SparkSession, path: str, ttl_seconds: int, as_of: datetime, fmt: str = "parquet", stamp: str = STAMP
+) -> list[str]:
+    """Delete every row stamped ``ttl_seconds`` or longer before ``as_of``; returns the days that changed.
+
+    Older days go as folders; the horizon's day alone is read, and rewritten if a row of it is due.
     """
-    horizon = (as_of.astimezone(timezone.utc) - timedelta(seconds=ttl_seconds)).date().isoformat()
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{RUN}=*/{DAY}=*")
-    fs = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
-    dropped = set()
-    for status in fs.globStatus(pattern):
-        day = status.getPath().getName().split("=", 1)[1]
-        if day < horizon:
-            delete_path(spark, status.getPath().toString())
-            dropped.add(day)
-    return sorted(dropped)
+    changed = drop_expired(spark, path, ttl_seconds, as_of)
+    path, horizon = path.rstrip("/"), _horizon(ttl_seconds, as_of)
+    folder = f"{DAY}={horizon.date().isoformat()}"
+    names = files.parts(spark, path, folder)
+    if names:
+        rows = _read(spark, path, fmt, None, *(f"{folder}/{files.PART}={n}" for n in names))
+        live = F.col(stamp) > F.timestamp_micros(F.lit(_micros(horizon)))
+        counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(live).alias("live")).first()
+        if counts["live"] < counts["n"]:
+            if counts["live"]:
+                _rewrite(spark, path, folder, rows.where(live), names, fmt)
+            else:
+                files.drop(spark, path, folder)
+            changed.append(horizon.date().isoformat())
+    return changed
+
+
+def _micros(moment: datetime) -> int:
+    return (moment - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)

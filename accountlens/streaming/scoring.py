@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from accountlens.plans.judge import store_scores
-from accountlens.schema import POST_SCHEMA
+from accountlens.plans.features import features_from_measures, post_measures
+from accountlens.plans.judge import score
+from accountlens.schema import ACCOUNT, POST_SCHEMA
+from accountlens.sources.tables import DAY, RUN, STAMP, read_rows, store_run
+from accountlens.streaming import history as timelines
 
 
 def score_stream(
@@ -19,24 +23,35 @@ def score_stream(
     spam_model: PipelineModel | None = None,
     max_files_per_trigger: int | None = None,
     available_now: bool = True,
+    history: str | None = None,
+    buckets: int = timelines.BUCKETS,
 ) -> StreamingQuery:
-    """Score the timelines that arrive as files under ``source`` and store the result.
-
-    The account features need whole timelines, and no state is kept between batches: a
-    micro-batch has to hold an account completely. By default a batch takes every file
-    that has arrived, so a delivery may split accounts over files as it likes. With
-    ``max_files_per_trigger`` each file must hold complete timelines; a file is never
-    split between batches. Rows of a batch are stored as run ``<query>-<batch>``, replacing
-    an earlier attempt of the same batch, which makes the sink exactly-once. The query's id is kept
-    in its checkpoint, so streams with checkpoints of their own can share a sink.
+    """Score accounts whenever posts of theirs arrive as files under ``source``; store the results.
+
+    An account is scored from its whole timeline: a batch's posts are added, as narrow measures, to a
+    table of all posts the stream has seen (``history``, by default inside the checkpoint), and the
+    accounts it touches are scored from there. So posts may be dealt to files and batches in any way,
+    and ``max_files_per_trigger`` changes how often an account is scored, not what its last score is.
+    The spam detector sees each post once.
+
+    Rows of a batch are stored as run ``<query>-<batch>``. A repeated batch replaces its posts and its
+    rows, which makes the sink exactly-once. The query's id is kept in its checkpoint, so streams
+    with checkpoints of their own can share a sink, and each has a history of its own.
+    :func:`latest_scores` reads one row per account.
     """
     reader = spark.readStream.schema(POST_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    seen = (history or f"{checkpoint.rstrip('/')}/posts").rstrip("/")
 
     def score_one(batch: DataFrame, batch_id: int) -> None:
-        run = f"{_query_id(batch.sparkSession, checkpoint)}-{batch_id}"
-        store_scores(batch, judge_model, spam_model, sink, run, overwrite=True)
+        own = batch.sparkSession
+        measures = post_measures(batch, spam_model)
+        timelines.add(measures, seen, batch_id, buckets)
+        whole = timelines.timelines_of_batch(own, seen, batch_id, measures.schema)
+        scored = score(judge_model, features_from_measures(whole))
+        store_run(scored, sink, f"{_query_id(own, checkpoint)}-{batch_id}", overwrite=True)
+        timelines.compact(own, seen, batch_id)
 
     writer = reader.json(source).writeStream.foreachBatch(score_one).option(
         "checkpointLocation", checkpoint
@@ -44,6 +59,13 @@ def score_stream(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def latest_scores(spark: SparkSession, sink: str) -> DataFrame:
+    """The newest row of each account in a sink of scores (ties: the run of the greatest name)."""
+    rows = read_rows(spark, sink)
+    newest = F.max_by(F.struct(*rows.columns), F.struct(STAMP, RUN)).alias("_row")
+    return rows.groupBy(ACCOUNT).agg(newest).select("_row.*").drop(RUN, DAY)
+
+
 def _query_id(spark: SparkSession, checkpoint: str) -> str:
     """Id of the stream that owns a checkpoint; it outlives restarts."""
     return spark.read.json(f"{checkpoint}/metadata", schema="id string").first()["id"]

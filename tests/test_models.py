@@ -22,8 +22,11 @@ from accountlens.operators import evaluation
 from accountlens.plans import spam
 from accountlens.plans.judge import evaluate_judge
 from accountlens.schema import FEATURE_COLUMNS, PREDICTION_COLUMNS
+from accountlens.sources import parts
 from accountlens.sources.posts import read_posts
 from accountlens.sources.tables import read_rows
+from accountlens.streaming import history
+from accountlens.streaming.scoring import latest_scores
 
 SMALL = {"num_trees": 3, "max_depth": 2, "folds": 2}
 N = 40
@@ -258,3 +261,47 @@ def test_label_union_matches_by_name(spark):
     b = spark.createDataFrame([("y", 2)], "s string, n long")
     rows = evaluation.label_union({1.0: a, 0.0: b}, "label").collect()
     assert sorted((r.n, r.s, r.label) for r in rows) == [(1, "x", 1.0), (2, "y", 0.0)]
+
+
+def test_stream_scores_whole_timelines(spark, data, trained, tmp_path):
+    """Every account's posts are dealt over all files; batches of one file, a merge on the way."""
+    classifier = trained[0]
+    source, sink, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    posts = class_posts("cyborg", 3000)
+    run = lambda: score_stream(
+        spark, source, sink, checkpoint, classifier.judge_model, classifier.spam_model, max_files_per_trigger=1, buckets=4
+    ).awaitTermination()
+    for part in range(3):
+        write_lines(f"{source}/part{part}", posts[part::3])
+    run()
+    expected = {r.user_id: r.probabilidades for r in classifier.score(data["cyborg"]).collect()}
+    last = lambda: {r.user_id: r.probabilidades for r in latest_scores(spark, sink).collect()}
+    assert last() == expected
+    seen = f"{checkpoint}/posts"
+    before = [len(parts.parts(spark, seen, f)) for f in parts.folders(spark, seen)]
+    assert max(before) == 3 and history.compact(spark, seen, 3, most_parts=1)
+    assert [len(parts.parts(spark, seen, f)) for f in parts.folders(spark, seen)] == [1] * len(before)
+    # one more post of one account: that account alone is scored again, from all its posts
+    some = posts[0]["user"]["id"]
+    own = [p for p in posts if p["user"]["id"] == some]
+    extra = dict(own[0], id=own[0]["id"] + 50_000)
+    write_lines(f"{source}/late", [extra])
+    run()
+    write_lines(f"{tmp_path}/whole/all", [*own, extra])
+    again = {r.user_id: r.probabilidades for r in classifier.score(f"{tmp_path}/whole").collect()}
+    assert last() == {**expected, **again}
+    newest = read_rows(spark, sink).where(F.col("run").endswith("-3"))
+    assert [r.user_id for r in newest.collect()] == [some]
+
+
+def test_a_repeated_batch_replaces_its_posts(spark, tmp_path):
+    path = str(tmp_path / "seen")
+    rows = lambda ids: spark.createDataFrame([(a, i) for a, i in ids], "user_id long, id long")
+    history.add(rows([(1, 1), (2, 2)]), path, 0, buckets=2)
+    history.add(rows([(1, 3), (9, 4)]), path, 1, buckets=2)
+    history.add(rows([(1, 5)]), path, 1, buckets=2)
+    found = history.timelines_of_batch(spark, path, 1, rows([]).schema)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1), (1, 5)]
+    first = history.timelines_of_batch(spark, path, 0, rows([]).schema)
+    assert sorted(tuple(r) for r in first.collect()) == [(1, 1), (2, 2)]
+    assert history.timelines_of_batch(spark, path, 7, rows([]).schema).count() == 0

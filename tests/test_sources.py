@@ -1,10 +1,12 @@
 import json
-from datetime import datetime, timedelta
+import os
+from datetime import date, datetime, timedelta
 
 import pytest
 from conftest import timeline, write_lines
 from pyspark.sql import functions as F
 
+from accountlens.sources import parts, tables
 from accountlens.session import delete_path, new_path, shared_dir, stored
 from accountlens.sources.posts import (
     ingest_posts,
@@ -130,3 +132,85 @@ def test_stored_frames_live_in_the_shared_folder_and_go_away(spark):
         assert shared_dir(spark).removeprefix("file:") in path and copy.count() == 10
     assert not delete_path(spark, path)
     assert new_path(spark, "x") != new_path(spark, "x")
+
+
+def runs_of(spark, path):
+    return sorted((r.run, r.user_id) for r in read_rows(spark, path).collect())
+
+
+def test_a_compacted_day_keeps_its_runs(spark, tmp_path):
+    path = str(tmp_path / "scores")
+    for run in "abc":
+        store_run(stamped(spark, [0, 1]), path, run)
+    before = runs_of(spark, path)
+    assert tables.compact(spark, path, before=date(2024, 1, 31)) == ["2024-01-30"]
+    names = {f: parts.parts(spark, path, f) for f in parts.folders(spark, path)}
+    assert names["created_date=2024-01-31"] == ["a", "b", "c"] and len(names["created_date=2024-01-30"]) == 1
+    assert runs_of(spark, path) == before and read_run(spark, path, "b").count() == 2
+    # folders follow the days, however many batches come and go
+    for batch in range(4):
+        store_run(stamped(spark, [0, 1]), path, f"more-{batch}")
+        tables.compact(spark, path)
+        assert [len(parts.parts(spark, path, f)) for f in parts.folders(spark, path)] == [1, 1]
+    assert read_rows(spark, path).count() == 14
+
+
+def test_a_repeated_run_replaces_compacted_rows(spark, tmp_path):
+    path = str(tmp_path / "scores")
+    store_run(stamped(spark, [0, 1, 1]), path, "a")
+    store_run(stamped(spark, [1]), path, "b")
+    tables.compact(spark, path)
+    store_run(stamped(spark, [2]), path, "a", overwrite=True)
+    assert runs_of(spark, path) == [("a", 0), ("b", 0)]
+    assert read_run(spark, path, "a").select(F.col("created_date").cast("string")).first()[0] == "2024-01-29"
+    with pytest.raises(ValueError):
+        store_run(stamped(spark, [2]), path, "compacted-1")
+
+
+def test_a_day_predicate_lists_one_day(spark, tmp_path):
+    path = str(tmp_path / "scores")
+    schema = stamped(spark, [0]).schema
+    for run in ("1", "2"):
+        store_run(stamped(spark, [0, 1, 2]), path, run)
+    day = read_rows(spark, path, schema=schema).where("created_date = date '2024-01-30'")
+    assert [f for f in day.inputFiles() if "2024-01-30" in f] and day.count() == 2
+    plan = day._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(created_date" in plan
+    kinds = dict(read_rows(spark, path, schema=schema).dtypes)
+    assert kinds["run"] == "string" and kinds["created_date"] == "date" and "part" not in kinds
+
+
+def test_expiry_to_the_row(spark, tmp_path):
+    path = str(tmp_path / "scores")
+    base = datetime(2024, 1, 29, 12)
+    rows = [(h, base + timedelta(hours=h)) for h in (-40, -30, -3, -1, 0, 1, 5, 30)]
+    df = spark.createDataFrame(rows, "user_id long, createdAt timestamp")
+    store_run(df.where("user_id % 2 = 0"), path, "a")
+    store_run(df.where("user_id % 2 <> 0"), path, "b")
+    as_of, ttl = datetime(2024, 1, 31, 12), 2 * 86_400
+    assert tables.expire(spark, path, ttl, as_of) == ["2024-01-27", "2024-01-28", "2024-01-29"]
+    assert runs_of(spark, path) == [("a", 30), ("b", 1), ("b", 5)]
+    untouched = parts.parts(spark, path, "created_date=2024-01-30")
+    assert untouched == ["a"] and tables.expire(spark, path, ttl, as_of) == []
+    assert tables.expire(spark, path, ttl, as_of + timedelta(hours=5)) == ["2024-01-29"]
+    assert parts.folders(spark, path) == ["created_date=2024-01-30"]
+    assert tables.expire(spark, str(tmp_path / "absent"), ttl, as_of) == []
+
+
+@pytest.mark.parametrize("done", ["staged", "ready", "moved"])
+def test_an_interrupted_rewrite_loses_and_repeats_nothing(spark, tmp_path, done):
+    path = str(tmp_path / "scores")
+    store_run(stamped(spark, [0]), path, "a")
+    store_run(stamped(spark, [0]), path, "b")
+    folder = "created_date=2024-01-31"
+    rows = spark.read.option("basePath", path).parquet(f"{path}/{folder}").drop("created_date", "part")
+    staged = parts.stage(spark, path, folder, rows, ["a", "b"], "compacted-x", "parquet")
+    assert read_rows(spark, path).count() == 2
+    if done != "staged":
+        ready = staged.replace("_staged", "_ready")
+        os.rename(staged, ready)
+        if done == "moved":
+            os.rename(f"{ready}/{folder}/part=compacted-x", f"{path}/{folder}/part=compacted-x")
+    store_run(stamped(spark, [0]), path, "c")  # the next writer takes it up
+    assert runs_of(spark, path) == [("a", 0), ("b", 0), ("c", 0)]
+    assert parts.parts(spark, path, folder) == (["a", "b", "c"] if done == "staged" else ["c", "compacted-x"])
