@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from accountlens.llm.common import Scratch, checkpointed, map_arrow
 
@@ -37,8 +38,8 @@ BLOCK_PAIRS = 500_000
 SCORES = 2_000_000
 #: Shares that one class's, or one item's, rows are first reduced in.
 SHARES = 32
-#: Bytes of classes that are broadcast at most.
-BROADCAST_BYTES = 32 << 20
+#: Classes that are broadcast at most, by number or hash.
+BROADCAST_ROWS = 1_000_000
 
 #: Bytes of a term stay, A-Z in lower case; all others separate.
 _TERM_BYTES = bytes(
@@ -126,7 +127,7 @@ def weights(n_docs: int, df: np.ndarray) -> np.ndarray:
 
 
 def _class_scores(classes: DataFrame, weight: np.ndarray, starts: np.ndarray, listed: np.ndarray, n_items: int, k: int) -> DataFrame:
-    """(item, score, first_id, m, bag) of the best k classes of each item, task by task.
+    """(item, score, first_id, class_no) of the best k classes of each item, task by task.
 
     Items of term t are ``listed[starts[t]:starts[t + 1]]``. A task keeps the best so far.
     """
@@ -155,7 +156,7 @@ def _class_scores(classes: DataFrame, weight: np.ndarray, starts: np.ndarray, li
                     t = term[own[0]]
                     # one row holds a term once: no place is added to twice
                     scores[row[own][:, None], items[begin[t] : begin[t + 1]]] += gain[own][:, None]
-                first, bags = part.column("first_id"), part.column("bag")
+                first, numbers = part.column("first_id"), part.column("class_no")
                 for item in range(n_items):
                     column, held = scores[:, item], best[item]
                     least = held[-1][0] if len(held) == k else 1
@@ -164,23 +165,18 @@ def _class_scores(classes: DataFrame, weight: np.ndarray, starts: np.ndarray, li
                         # ties at the k-th score all stay for the order by id
                         found = found[column[found] >= np.partition(column[found], -k)[-k]]
                     if len(found):
-                        new = [(int(column[r]), first[r].as_py(), int(m[r]), bags[r].as_py()) for r in found.tolist()]
+                        new = [(int(column[r]), first[r].as_py(), numbers[r].as_py()) for r in found.tolist()]
                         best[item] = sorted(held + new, key=order)[:k]
         rows = [(item, *entry) for item, held in enumerate(best) for entry in held]
         for at in range(0, len(rows), 10_000):
             columns = list(zip(*rows[at : at + 10_000]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
-    ddl = f"item long, score long, first_id {kind}, m long, bag binary"
-    names = ["item", "score", "first_id", "m", "bag"]
-    kinds = [pa.int64(), pa.int64(), _arrow(classes, "first_id"), pa.int64(), pa.binary()]
-    return classes.select("first_id", "m", "bag").mapInArrow(run, ddl)
-
-
-def _arrow(df: DataFrame, column: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(df.schema[column].dataType)
+    names = ["item", "score", "first_id", "class_no"]
+    kinds = [pa.int64(), pa.int64(), to_arrow_type(classes.schema["first_id"].dataType), pa.int64()]
+    return classes.select("first_id", "m", "bag", "class_no").mapInArrow(
+        run, f"item long, score long, first_id {kind}, class_no long"
+    )
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list, k: int, number: str, spread: list[str]) -> DataFrame:
@@ -207,20 +203,24 @@ def _block_ranks(docs: DataFrame, items: list[tuple], id_col: str, text_col: str
     norm = F.expr(f"50 + (cast(50 as bigint) * n * {n_docs}L) div {max(length, 1)}L")
     held = bags.where("bag is not null").select("doc_id", norm.alias("m"), "bag", F.xxhash64("bag").alias("hash"))
     # the hash finds a class, the bag itself tells classes of one hash apart
-    classes = held.groupBy("hash", "m", "bag").agg(F.min("doc_id").alias("first_id"))
+    same = ["hash", "m", "bag"]
+    classes = held.groupBy(*same).agg(F.min("doc_id").alias("first_id"))
+    classes = kept(classes.withColumn("class_no", F.monotonically_increasing_id()))
     scored = kept(_class_scores(classes, weight, starts, listed, n_items, k))
     first = [F.col("score").desc(), F.col("first_id").asc_nulls_last()]
-    chosen = kept(first_rows(scored, ["item"], first, k, "class_rank", ["first_id", "m", "bag"]).drop("class_rank"))
-    few = chosen.select(F.xxhash64("bag").alias("hash"), "m", "bag").distinct()
-    # at most k classes an item of the block; large ones are met by a shuffle
-    n_bytes = few.agg(F.coalesce(F.sum(F.length("bag") + 64), F.lit(0))).first()[0]
-    found = held.join(F.broadcast(few) if n_bytes <= BROADCAST_BYTES else few.hint("merge"), ["hash", "m", "bag"], "leftsemi")
+    best = kept(first_rows(scored, ["item"], first, k, "class_rank", ["class_no"]).drop("class_rank", "first_id"))
+    # at most k classes an item of the block
+    numbers = best.select("class_no").distinct()
+    wide = numbers.count() > BROADCAST_ROWS
+    by_size = (lambda df: df.hint("merge")) if wide else F.broadcast
+    few = kept(classes.join(by_size(numbers), "class_no").select(*same, "class_no"))
+    found = held.join(by_size(few.select("hash", "m").distinct()), ["hash", "m"], "leftsemi")
     ascending = [F.col("doc_id").asc_nulls_last(), F.col("row").asc()]
-    found = found.withColumn("row", F.monotonically_increasing_id())
-    members = kept(first_rows(found, ["hash", "m", "bag"], ascending, k, "place", ["row"]).select("m", "bag", "doc_id", "row"))
-    expanded = chosen.drop("first_id").join(members.hint("merge"), ["m", "bag"])
+    found = first_rows(found.withColumn("row", F.monotonically_increasing_id()), same, ascending, k, "place", ["row"])
+    members = kept(found.join(few.hint("merge"), same).select("class_no", "doc_id", "row"))
+    chosen = best.join(members.hint("merge"), "class_no")
     order = [F.col("score").desc(), *ascending]
-    return first_rows(expanded, ["item"], order, k, "rank", ["row"]).select("item", "rank", "doc_id", "score")
+    return first_rows(chosen, ["item"], order, k, "rank", ["row"]).select("item", "rank", "doc_id", "score")
 
 
 def search(

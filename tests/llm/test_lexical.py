@@ -61,9 +61,9 @@ def test_equals_brute_force(spark, corpus, sizes):
     assert found == brute_force(docs, items, sizes.get("k", 50))
 
 
-def test_wide_classes_are_met_by_a_shuffle(spark, corpus, monkeypatch):
+def test_many_classes_are_met_by_a_shuffle(spark, corpus, monkeypatch):
     docs, items = corpus
-    monkeypatch.setattr(lexical, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(lexical, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(lexical, "SCORES", 30)
     d = spark.createDataFrame(docs, "doc_id long, text string")
     i = spark.createDataFrame(items, "item_id long, text string")
