@@ -3,6 +3,7 @@ terms: windows and joins on whole tables, no use of the engine's shortcuts."""
 
 from __future__ import annotations
 
+from accountlens.catalog.forests import ACCOUNT_FOREST, TEXT_FOREST, nodes_sql
 from accountlens.catalog.tables import CLIENT_NAMES
 from accountlens.functions.scalars import MOBILE_CLIENTS, WEB_CLIENT
 from accountlens.schema import CLIENTS, FEATURE_COLUMNS, HOURS, WEEKDAYS
@@ -171,6 +172,64 @@ _TOKENS = f"""
 SELECT doc_id, CAST(len(regexp_split_to_array(regexp_replace(text, '{_SPACE}+$', ''), '{_SPACE}')) AS BIGINT) AS n_tokens
 FROM documents"""
 
+
+def _le(hex_text: str, first: str, n: int) -> str:
+    """n bytes of a hex text as a little-endian number; ``first`` is the place of its first digit."""
+    return "CAST('0x' || " + " || ".join(f"substr({hex_text}, {first} + {2 * i}, 2)" for i in reversed(range(n))) + " AS HUGEINT)"
+
+
+def _scramble(k: str) -> str:
+    once = f"(({k}) * 3432918353 % 4294967296)"
+    return f"(({once} * 32768 % 4294967296 + {once} // 131072) * 461845907 % 4294967296)"
+
+
+#: Hashed word counts (doc_id, bucket, n): murmur3 of 32 bits over the words' bytes, block by block.
+_BUCKETS = f"""
+words AS (
+  SELECT doc_id, lower(w) AS w, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '{_SPACE}+$', ''), '{_SPACE}')) AS w FROM documents)
+  GROUP BY ALL
+),
+byte_text AS (SELECT w, hex(encode(w)) AS h, length(hex(encode(w))) // 2 AS size FROM (SELECT DISTINCT w FROM words)),
+blocks AS (
+  SELECT w, h, size, list_transform(range(0, size // 4), lambda i: {_scramble(_le("h", "8 * i + 1", 4))}) AS ks,
+    CASE size % 4 {" ".join(f"WHEN {r} THEN {_scramble(_le('h', '8 * (size // 4) + 1', r))}" for r in (1, 2, 3))} ELSE 0 END AS rest
+  FROM byte_text
+),
+folded AS (
+  SELECT w, xor(xor(CAST(list_reduce(list_prepend(CAST(42 AS HUGEINT), ks),
+    lambda a, k: ((xor(CAST(a AS UBIGINT), CAST(k AS UBIGINT))::HUGEINT * 8192 % 4294967296
+      + xor(CAST(a AS UBIGINT), CAST(k AS UBIGINT))::HUGEINT // 524288) * 5 + 3864292196) % 4294967296) AS UBIGINT),
+    CAST(rest AS UBIGINT)), CAST(size AS UBIGINT)) AS h0 FROM blocks
+),
+first_mix AS (SELECT w, CAST(xor(h0, h0 >> 16)::HUGEINT * 2246822507 % 4294967296 AS UBIGINT) AS h1 FROM folded),
+second_mix AS (SELECT w, CAST(xor(h1, h1 >> 13)::HUGEINT * 3266489909 % 4294967296 AS UBIGINT) AS h2 FROM first_mix),
+hashed AS (SELECT w, CAST(xor(h2, h2 >> 16) AS BIGINT) AS u FROM second_mix),
+buckets AS (
+  SELECT doc_id, ((CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END) % 140 + 140) % 140 AS bucket,
+    CAST(sum(n) AS BIGINT) AS n
+  FROM words JOIN hashed USING (w) GROUP BY ALL
+)"""
+
+
+def _walk(nodes: str, rows: str, key: str, values: str, classes: int) -> str:
+    """Leaves of each row in each tree, and the mean of their shares; ``values`` has (key, feature, value)."""
+    means = ", ".join(f"avg(c{i} / ({' + '.join(f'c{j}' for j in range(classes))})) AS p_{i}" for i in range(classes))
+    return f"""
+forest AS (SELECT * FROM {nodes}),
+walk AS (
+  SELECT {key}, tree, 0 AS node FROM {rows}, (SELECT DISTINCT tree FROM forest)
+  UNION ALL
+  SELECT w.{key}, w.tree, CASE WHEN coalesce(v.value, 0) <= threshold THEN left_ ELSE right_ END
+  FROM walk w JOIN forest n ON n.tree = w.tree AND n.node = w.node AND n.feature IS NOT NULL
+    LEFT JOIN {values} v ON v.{key} = w.{key} AND v.feature = n.feature
+),
+votes AS (
+  SELECT {key}, {means} FROM walk w JOIN forest n ON n.tree = w.tree AND n.node = w.node AND n.feature IS NULL
+  GROUP BY {key}
+)"""
+
+
 ORACLES: dict[str, str] = {
     "json_extract": f"""
 WITH {_POSTS}
@@ -245,6 +304,15 @@ SELECT conv_id, count(*) AS "nroTweets",
 FROM conversations GROUP BY conv_id""",
     "tokenize": _TOKENS,
     "hashing_tf_totals": _TOKENS,
+    "hashing_tf": f"WITH {_BUCKETS} SELECT doc_id, bucket, n FROM buckets",
+    "word_buckets": f"""
+WITH {_BUCKETS}
+SELECT w AS word, ((CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END) % 140 + 140) % 140 AS bucket FROM hashed""",
+    "forest_spam_rate": f"""
+WITH RECURSIVE {_BUCKETS}, cells AS (SELECT doc_id, bucket AS feature, n AS value FROM buckets),
+{_walk(nodes_sql(TEXT_FOREST), "documents", "doc_id", "cells", 2)}
+SELECT source, round(avg(CASE WHEN p_1 > p_0 THEN 1 ELSE 0 END), 6) AS avg_spam
+FROM documents JOIN votes USING (doc_id) WHERE text IS NOT NULL GROUP BY source""",
     "latest_profile": f"WITH {_POSTS} SELECT * FROM profile",
     "profile_features": f"WITH {_POSTS} SELECT *, CAST(0 AS DOUBLE) AS categoria FROM profile_feature",
     "post_features": f"WITH {_POSTS} {_POST_FEATURES}",
@@ -319,3 +387,26 @@ for _name in ("account_features",):
     ORACLES[_name] = f"""
 SELECT * REPLACE ({", ".join(f'CAST("{c}" AS DOUBLE) AS "{c}"' for c in FEATURE_COLUMNS)})
 FROM ({ORACLES[_name]})"""
+
+_NUMBERS = ", ".join(f"('{c}', {i})" for i, c in enumerate(FEATURE_COLUMNS))
+_VALUES = f"""
+feature_rows AS (SELECT * FROM ({ORACLES["account_features"]})),
+cells AS (
+  SELECT user_id, number AS feature, value FROM (
+    UNPIVOT (SELECT user_id, {", ".join(f'"{c}"' for c in FEATURE_COLUMNS)} FROM feature_rows)
+    ON COLUMNS(* EXCLUDE (user_id)) INTO NAME name VALUE value)
+  JOIN (VALUES {_NUMBERS}) numbers(name, number) USING (name)
+)"""
+ORACLES["forest_scores"] = f"""
+WITH RECURSIVE {_VALUES}, {_walk(nodes_sql(ACCOUNT_FOREST), "feature_rows", "user_id", "cells", 3)}
+SELECT user_id, round(p_0, 6) AS p_0, round(p_1, 6) AS p_1, round(p_2, 6) AS p_2,
+  CAST(CASE WHEN p_0 >= p_1 AND p_0 >= p_2 THEN 0 WHEN p_1 >= p_2 THEN 1 ELSE 2 END AS DOUBLE) AS "Predicted_categoria"
+FROM votes"""
+ORACLES["node_importance"] = f"""
+WITH {_VALUES}, forest AS (SELECT * FROM {nodes_sql(ACCOUNT_FOREST)}),
+gains AS (SELECT tree, feature, sum(gain * (c0 + c1 + c2)) AS g FROM forest WHERE feature IS NOT NULL GROUP BY ALL),
+shares AS (SELECT feature, g / sum(g) OVER (PARTITION BY tree) AS s FROM gains),
+means AS (SELECT feature, avg(value) AS mean FROM cells GROUP BY feature)
+SELECT name AS feature, round(coalesce((SELECT sum(s) FROM shares WHERE shares.feature = number), 0) / 3, 6) AS importance,
+  round(mean, 3) AS mean
+FROM (VALUES {_NUMBERS}) numbers(name, number) JOIN means ON means.feature = number"""

@@ -9,11 +9,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from accountlens.catalog.forests import ACCOUNT_FOREST, TEXT_FOREST
 from accountlens.catalog.tables import events, labelled_texts, legacy_time, posts, table
 from accountlens.functions import scalars
 from accountlens.operators import entropy, evaluation, gaps, patterns, profiles
 from accountlens.operators import posts as post_ops
-from accountlens.plans import features, judge, spam
+from accountlens.plans import features, forest, judge, spam
+from accountlens.plans.nodes import node_importances, node_table, read_nodes, score_by_nodes
 from accountlens.schema import (
     ACCOUNT,
     BOT,
@@ -24,7 +26,7 @@ from accountlens.schema import (
     HUMAN,
     WEEKDAYS,
 )
-from accountlens.session import checkpointed, new_path
+from accountlens.session import checkpointed, new_path, stored
 from accountlens.sources.posts import posts_from_lines, read_posts, read_texts
 from accountlens.sources.tables import (
     read_rows,
@@ -294,15 +296,25 @@ def tokenize(spark, sf_dir):
 
 @query
 def hashing_tf(spark, sf_dir):
+    """Hashed word counts of every document, in long form."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return spam.hashed_counts(docs).select("doc_id", vector_to_array("rawFeatures").alias("tf"))
+    return spam.bucket_counts(docs).select("doc_id", F.col("bucket").cast("long").alias("bucket"), "n")
+
+
+@query
+def word_buckets(spark, sf_dir):
+    """The hash bucket of every distinct word of the documents."""
+    found = spam.word_buckets(table(spark, sf_dir, "documents"))
+    return found.select("word", F.col("bucket").cast("long").alias("bucket"))
 
 
 @query
 def hashing_tf_totals(spark, sf_dir):
     """Hashing moves counts between buckets but keeps their sum: the token count."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = spam.hashed_counts(docs).select("doc_id", vector_to_array("rawFeatures").alias("tf"))
     total = F.aggregate("tf", F.lit(0.0), lambda acc, v: acc + v)
-    return hashing_tf(spark, sf_dir).select("doc_id", total.cast("long").alias("n_tokens"))
+    return counts.select("doc_id", total.cast("long").alias("n_tokens"))
 
 
 # --- accounts -----------------------------------------------------------------------------
@@ -531,6 +543,50 @@ def score_accounts(spark, sf_dir):
     return judge.score_posts(posts(spark, sf_dir), classifier, spam_detector).drop("createdAt")
 
 
+@query
+def forest_scores(spark, sf_dir):
+    """Accounts scored by a forest that is a table of nodes."""
+    features_ = features.account_features(posts(spark, sf_dir))
+    nodes = read_nodes(node_table(spark, ACCOUNT_FOREST))
+    scored = score_by_nodes(features_, nodes, lambda i: F.col(FEATURE_COLUMNS[i]), "probabilidades", judge.PREDICTION)
+    shown = [F.round(F.col("probabilidades")[i], PRECISION).alias(f"p_{i}") for i in range(3)]
+    return scored.select(ACCOUNT, *shown, judge.PREDICTION)
+
+
+@query
+def forest_spam_rate(spark, sf_dir):
+    """Share of each source's documents that a table of nodes over hashed words calls spam."""
+    counts = spam.hashed_counts(table(spark, sf_dir, "documents").where("text is not null").select("source", "text"))
+    rows = counts.select("source", vector_to_array("rawFeatures").alias("tf"))
+    scored = score_by_nodes(rows, TEXT_FOREST, lambda i: F.col("tf")[i], "p", spam.PREDICTION)
+    return rounded(post_ops.prediction_rate(scored, "source", spam.PREDICTION), ["avg_spam"])
+
+
+@query
+def node_importance(spark, sf_dir):
+    """Each feature's importance in a table of nodes, beside its mean over the accounts."""
+    weights = node_importances(node_table(spark, ACCOUNT_FOREST), FEATURE_COLUMNS)
+    values = features.account_features(posts(spark, sf_dir)).select(*FEATURE_COLUMNS)
+    means = values.select(*[F.avg(c).alias(c) for c in FEATURE_COLUMNS])
+    stacked = ", ".join(f"'{c}', `{c}`" for c in FEATURE_COLUMNS)
+    means = means.selectExpr(f"stack({len(FEATURE_COLUMNS)}, {stacked}) AS (feature, mean)")
+    found = weights.join(means, "feature").withColumn("mean", F.round("mean", 3))
+    return rounded(found, ["importance"])
+
+
+@query
+def out_of_fold(spark, sf_dir):
+    """Mean accuracy of each candidate, from predictions by models that hadn't seen the row."""
+    texts = labelled_texts(spark, sf_dir)
+    rows = spam.hashed_counts(texts).select("id", F.col("toxic").cast("double").alias("label"), "rawFeatures")
+    with stored(rows, "folds") as training:
+        cv = forest.cross_validated_forest(
+            training, "label", spam.PREDICTION, "rawFeatures", spam.SPAM_SEED, ["id"], **SMALL, keep_folds=True
+        )
+        predicted = forest.out_of_fold(cv, training, spam.SPAM_SEED, ["id"])
+        return checkpointed(predicted.select("id", "label", "fold", "max_bins", spam.PREDICTION))
+
+
 @query
 def verdicts(spark, sf_dir):
     """Every account gets three probabilities that sum to one."""

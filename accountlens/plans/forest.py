@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from accountlens.operators.evaluation import split_bucket
 
@@ -34,16 +35,18 @@ def cross_validated_forest(
     max_bins: Sequence[int] = MAX_BINS,
     parallelism: int = 4,
     partitions: int = PARTITIONS,
+    keep_folds: bool = False,
 ) -> CrossValidatorModel:
     """Fit every candidate on every fold, several at a time; best by accuracy.
 
     ``training`` should be a stored frame with the feature vector already in it: every
     fold and candidate reads it again. ``keys`` name its rows: folds go by their hash, and rows
     are dealt by it and sorted, so the same rows give the same model however they were
-    partitioned. Rows that share their keys share a fold.
+    partitioned. Rows that share their keys share a fold. ``keep_folds`` keeps the models of each fold,
+    for :func:`out_of_fold`.
     """
     training = (
-        training.withColumn("fold", split_bucket(keys, seed, folds))
+        training.withColumn("fold", fold_of(keys, seed, folds))
         .repartition(partitions, *keys)
         .sortWithinPartitions(*keys, label)
     )
@@ -67,8 +70,38 @@ def cross_validated_forest(
         foldCol="fold",
         seed=seed,
         parallelism=parallelism,
+        collectSubModels=keep_folds,
     ).fit(training)
 
 
+def fold_of(keys: Sequence[str], seed: int, folds: int = FOLDS) -> Column:
+    """Fold of a row, from a hash of its keys."""
+    return split_bucket(keys, seed, folds)
+
+
+def out_of_fold(cv: CrossValidatorModel, training: DataFrame, seed: int, keys: Sequence[str]) -> DataFrame:
+    """``training`` once for each candidate, predicted by the model that hasn't seen the row's fold.
+
+    Adds fold, candidate (its number in the grid) and max_bins to what the models add. One pass over
+    the rows for each candidate and fold, none over another fold's.
+    """
+    rows = training.withColumn("fold", fold_of(keys, seed, len(cv.subModels)))
+    found = None
+    for fold, models in enumerate(cv.subModels):
+        own = rows.where(F.col("fold") == fold)
+        for candidate, model in enumerate(models):
+            bins = cv.getEstimatorParamMaps()[candidate][cv.getEstimator().maxBins]
+            part = model.transform(own).withColumns({"candidate": F.lit(candidate), "max_bins": F.lit(bins)})
+            found = part if found is None else found.unionByName(part)
+    return found
+
+
+def fold_accuracy(predicted: DataFrame, label: str, prediction: str) -> DataFrame:
+    """(candidate, max_bins, accuracy): the mean over folds of each fold's accuracy."""
+    hit = F.avg((F.col(label) == F.col(prediction)).cast("double"))
+    by_fold = predicted.groupBy("candidate", "max_bins", "fold").agg(hit.alias("_accuracy"))
+    return by_fold.groupBy("candidate", "max_bins").agg(F.avg("_accuracy").alias("accuracy"))
+
+
 def best_forest(cv: CrossValidatorModel) -> RandomForestClassificationModel:
     return cv.bestModel

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import HashingTF, Tokenizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from accountlens.functions.hashing import hash_bucket
 from accountlens.operators.evaluation import accuracy, label_union, split_train_test
 from accountlens.plans.forest import MAX_DEPTH, NUM_TREES, best_forest, cross_validated_forest
 from accountlens.session import stored
@@ -44,6 +47,27 @@ def hashed_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return PipelineModel(text_stages(text)).transform(df)
 
 
+def bucket_counts(df: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
+    """Hashed word counts in long form: (keys, bucket, n), buckets without words left out.
+
+    One projection, no shuffle: rows that repeat each give their own. A row whose text is null or has
+    no words gives none.
+    """
+    texts = df.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_text"))
+    counts = hashed_counts(texts, "_text").select(*keys, F.posexplode(vector_to_array("rawFeatures")).alias("bucket", "_n"))
+    return counts.where("_n > 0").select(*keys, "bucket", F.col("_n").cast("long").alias("n"))
+
+
+def word_buckets(df: DataFrame, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
+    """(word, bucket) of every distinct word: the dictionary behind the hashed counts, by expression.
+
+    It tells which words a forest's split on a bucket stands for, in any engine that has the hash.
+    """
+    words = tokenize(df.where(F.col(text).isNotNull()).select(F.col(text).alias("_text")), "_text")
+    distinct = words.select(F.explode("words").alias("word")).distinct()
+    return distinct.select("word", hash_bucket("word", buckets).alias("bucket"))
+
+
 def train_spam(
     spam: DataFrame,
     not_spam: DataFrame,
