@@ -4,9 +4,10 @@ Base spans are found by their form alone: assignments, access identifiers and lo
 method adds weak candidates, which say nothing alone: login names, short passwords and endpoints. They
 are known by a word in the name before the separator, also a compound one (DB_USER, secret_key, dbHost). A
 scope is a paragraph (lines up to a blank one). Within it the parts are interval-joined: a weak
-candidate is reported only if parts of the other roles start within ``REACH`` characters of it. An
-identifier (access span or login) needs a secret (assign or hex span or weak password), a weak
-password an identifier or endpoint, an endpoint both an identifier and a secret.
+candidate is reported only if parts of the other roles lie beside it, not within it (and start within
+``reach`` characters, if a reach is given). An identifier (access span or login) needs a secret (assign
+or hex span or weak password), a weak password an identifier or endpoint, an endpoint both an identifier
+and a secret that don't overlap.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans; a text is scanned whole.
 Rows that repeat each give a row, other columns are not read.
@@ -15,6 +16,7 @@ Rows that repeat each give a row, other columns are not read.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -27,8 +29,8 @@ from accountlens.llm.common import map_arrow
 BASE = ("assign", "access", "hex")
 WEAK = ("login", "weak_secret", "endpoint")
 KINDS = BASE + WEAK
-#: Parts of a credential lie at most so many characters apart.
-REACH = 400
+#: Parts of a credential start at most so many characters apart; None: anywhere in one scope.
+REACH: int | None = None
 
 # The forms of base spans and the least lengths of their matches.
 _ASSIGN = re.compile(
@@ -104,26 +106,45 @@ def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return kept
 
 
-def linked(text: str, base: list, weak: list, reach: int = REACH) -> list[tuple[int, int, int]]:
-    """The weak candidates with complementary parts near them in their scope."""
+def linked(text: str, base: list, weak: list, reach: int | None = REACH) -> list[tuple[int, int, int]]:
+    """The weak candidates with complementary parts in their scope.
+
+    A part that overlaps the candidate is no other part, and parts that overlap are one.
+    """
     breaks = np.array([m.start() for m in _BLANK.finditer(text)], np.int64)
     roles = ((1, 3), (0, 2, 4), (5,))  # identifiers, secrets, endpoints
-    starts = [np.array(sorted(s for s, k, _ in chain(base, weak) if k in kinds), np.int64) for kinds in roles]
+    parts = [sorted((s, e) for s, k, e in chain(base, weak) if k in kinds) for kinds in roles]
+    starts = [np.array([s for s, _ in p], np.int64) for p in parts]
 
-    def near(role: int, at: int) -> bool:
+    def near(role: int, own: tuple[int, int]) -> Iterator[tuple[int, int]]:
+        at = own[0]
         scope = int(np.searchsorted(breaks, at, "right"))
-        lo = max(at - reach, int(breaks[scope - 1]) if scope else 0)
-        hi = min(at + reach, int(breaks[scope]) if scope < len(breaks) else len(text))
-        return bool(np.searchsorted(starts[role], hi, "right") > np.searchsorted(starts[role], lo, "left"))
+        lo = int(breaks[scope - 1]) if scope else 0
+        hi = int(breaks[scope]) if scope < len(breaks) else len(text)
+        if reach is not None:
+            lo, hi = max(lo, at - reach), min(hi, at + reach)
+        i, j = np.searchsorted(starts[role], lo, "left"), np.searchsorted(starts[role], hi, "right")
+        return (parts[role][n] for n in range(i, j) if _apart(parts[role][n], own))
 
     out = []
     for s, k, e in weak:
-        if k == 3 and near(1, s) or k == 4 and (near(0, s) or near(2, s)) or k == 5 and near(0, s) and near(1, s):
+        own = (s, e)
+        if k == 3:
+            found = any(True for _ in near(1, own))
+        elif k == 4:
+            found = any(True for _ in chain(near(0, own), near(2, own)))
+        else:
+            found = any(_apart(a, b) for a in near(0, own) for b in near(1, own))
+        if found:
             out.append((s, k, e))
     return out
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+def _apart(a: tuple[int, int], b: tuple[int, int]) -> bool:
+    return a[1] <= b[0] or b[1] <= a[0]
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = REACH) -> DataFrame:
     """(id, base, spans) of each row: arrays of (kind, start, end), by start, then kind.
 
     ``base`` are the base spans, ``spans`` these and the linked weak ones.
