@@ -9,7 +9,8 @@ star per group instead of pairs.
 
 Vectors are compared only under equal labels. A null vector or label, a zero vector, null or
 non-finite components, and a null vec_id link with nothing. Rows equal in id, label and vector are
-one vector; other rows under one id add up their links and share a component.
+one vector; other rows under one id add up their links and share a component, and aren't links of each
+other. Equal vectors of different ids are one node, compared once, whose weight counts in the links.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from accountlens.llm.common import checkpointed, map_arrow, map_groups, mixed
@@ -94,7 +95,7 @@ class LatticeHash:
 
 
 def _prepared(vectors: DataFrame, hashing: dict) -> DataFrame:
-    """(node, vec_id, unit, cells) of the vectors that can link; node tells rows of one id apart."""
+    """(node, vec_id, unit, cells) of the vectors that can link; a node is a label and a vector."""
 
     def make():
         hashes: dict[int, LatticeHash] = {}
@@ -110,7 +111,7 @@ def _prepared(vectors: DataFrame, hashing: dict) -> DataFrame:
                     continue
                 x = x / top
                 by_length.setdefault(len(x), []).append((i, x / np.sqrt((x**2).sum())))
-            index, units, cells = [], [], []
+            index, units, cells, salts = [], [], [], []
             for length, found in by_length.items():
                 lattice = hashes.setdefault(length, LatticeHash(length, **hashing))
                 unit = np.array([x for _, x in found])
@@ -121,11 +122,10 @@ def _prepared(vectors: DataFrame, hashing: dict) -> DataFrame:
                 index += rows
                 units += list(unit)
                 cells += list(lattice.cells(unit, salt))
+                salts += salt.tolist()
             ids = batch.column(0).take(pa.array(index, pa.int64()))
-            nodes = [
-                xxhash.xxh3_64_intdigest(u.tobytes(), seed=i.as_py() & (1 << 63) - 1) - (1 << 63)
-                for u, i in zip(units, ids)
-            ]
+            # the salt is the label's
+            nodes = [xxhash.xxh3_64_intdigest(u.tobytes(), seed=n) - (1 << 63) for u, n in zip(units, salts)]
             return [nodes, ids, pa.array(units, pa.list_(pa.float64())), pa.array(cells, pa.list_(pa.int64()))]
 
         return work
@@ -141,7 +141,7 @@ def _compared(threshold: float, probes: int):
     def work(groups: pa.Table) -> list:
         """Per vector of each group: links first met here, and the least node it hangs together with."""
         cell, low, high, block = (groups.column(c).to_numpy() for c in ("cell", "low", "high", "block"))
-        node, ids = groups.column("node").to_numpy(), groups.column("vec_id").to_numpy()
+        node, owner, weight = (groups.column(c).to_numpy() for c in ("node", "owner", "weight"))
         unit = np.stack(groups.column("unit").combine_chunks().flatten().to_numpy().reshape(len(node), -1)) if (
             len({len(u) for u in groups.column("unit")}) == 1
         ) else None
@@ -173,8 +173,11 @@ def _compared(threshold: float, probes: int):
                 before = c < place[i]
                 table = c - c % probes
                 first &= ~(before & (k[i, c][:, None] == k[j, table : table + probes]).any(axis=1))
-            counted = first & (ids[a:b][i] != ids[a:b][j])
-            n = np.bincount(np.r_[i[counted], j[counted]], minlength=b - a)
+            counted = first & (owner[a:b][i] != owner[a:b][j])
+            x, y, w = i[counted], j[counted], weight[a:b]
+            n = np.zeros(b - a, np.int64)
+            np.add.at(n, x, w[y])
+            np.add.at(n, y, w[x])
             least = node[a:b].copy()
             while True:
                 was = least.copy()
@@ -197,7 +200,19 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, **hashing) ->
     ``vectors`` has vec_id, embedding and label. ``hashing``: tables, probes, scale.
     """
     wanted = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), "label")
-    rows = checkpointed(_prepared(wanted, hashing).dropDuplicates(["node"]))
+    found = _prepared(wanted, hashing)
+    several = F.count("*").over(Window.partitionBy("vec_id")) > 1
+    # equal vectors of a label are one node of some weight; an id with several vectors has nodes of its own,
+    # as its own vectors aren't links
+    ids = checkpointed(
+        found.select("vec_id", "node").distinct().withColumn("several", several)
+        .select("vec_id", F.col("node").alias("shared"), F.when(F.col("several"), F.xxhash64("node", "vec_id")).otherwise(F.col("node")).alias("node"), "several")
+    )
+    weights = ids.groupBy("node", "shared").agg(
+        F.count("*").alias("weight"), F.max(F.when(F.col("several"), F.col("vec_id"))).alias("own")
+    ).withColumn("owner", F.coalesce("own", "node")).drop("own")
+    once = found.select(F.col("node").alias("shared"), "unit", "cells").dropDuplicates(["shared"])
+    rows = checkpointed(weights.join(once, "shared").drop("shared"))
     entries = rows.select("node", F.explode("cells").alias("cell")).distinct()
     crowded = checkpointed(
         entries.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select(
@@ -216,15 +231,20 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, **hashing) ->
         map_groups(placed, ["cell", "low", "high"], _compared(threshold, hashing.get("probes", PROBES)), "node long, n long, least long")
     )
     # rows of one id that differ hang together
-    lead = rows.groupBy("vec_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
-    same = rows.join(lead, "vec_id").select("a", F.col("node").alias("b"))
+    lead = ids.groupBy("vec_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
+    same = ids.join(lead, "vec_id").select("a", F.col("node").alias("b"))
     found = components(met.select(F.col("node").alias("a"), F.col("least").alias("b")).union(same))
     named = checkpointed(
-        rows.join(found, "node", "left").select("vec_id", F.coalesce("component", "node").alias("component"))
+        ids.join(found, "node", "left").select("vec_id", F.coalesce("component", "node").alias("component"))
     )
     least = checkpointed(named.groupBy("component").agg(F.min("vec_id").alias("component_id")))
     of = named.join(least, "component").select("vec_id", "component_id").distinct()
-    links = met.join(rows.select("node", "vec_id"), "node").groupBy("vec_id").agg(F.sum("n").alias("n"))
+    counts = met.groupBy("node").agg(F.sum("n").alias("n"))
+    copies = rows.select("node", (F.col("weight") - 1).alias("copies")).join(counts, "node", "left")
+    links = (
+        ids.join(copies, "node").groupBy("vec_id")
+        .agg(F.sum(F.coalesce("n", F.lit(0)) + F.col("copies")).alias("n"))
+    )
     own = F.coalesce("component_id", "vec_id")
     return (
         wanted.select("vec_id")
