@@ -3,17 +3,21 @@
 Every document of a source is due target / source_size copies: the whole part is taken for certain,
 the fraction is an inclusion probability. The flight phase moves the probabilities through the null
 space of the balancing constraints (a source's documents and its words), so that both totals keep
-their expectation, until all but two documents of a group are decided. It runs on cells of bounded
-size; what a cell leaves undecided meets the rest of its source in wider cells, level by level. The
-last two documents of a source are the landing problem, where the constraint on documents goes first.
+their expectation, until all but two documents of a group are decided; the largest are taken first, so
+that those are small. It runs on cells of bounded size; what a cell leaves undecided meets the rest of its
+source in wider cells, level by level. The last two documents of a source are the landing problem: they
+are chosen, and few others of the last cell turned round, so that the words are nearest to what is due.
 
 Size: words of a text, 0 of null. Sources rank by code point, null last, and weigh 1, 2, 3 by turns.
 A source without words has target 0 and nothing of it is taken. The draw depends on ids and sizes
-only, so reruns agree; rows that repeat, and rows of null id, are documents of their own.
+only, so reruns agree; rows that repeat, and rows of null id, are documents of their own, and equal rows
+are spread over cells like others.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -30,6 +34,8 @@ BROADCAST_SOURCES = 10_000
 CELL = 4096
 #: Cells that meet at the next level.
 FAN = 64
+#: Times that the landing turns documents round, two at most each time.
+TURNS = 8
 _EPS = 1e-9
 
 
@@ -99,34 +105,74 @@ def flight(p: np.ndarray, size: np.ndarray, random: np.random.Generator) -> np.n
     return p
 
 
-def landing(p: np.ndarray, size: np.ndarray, random: np.random.Generator) -> np.ndarray:
-    """Decides the last documents, keeping their expected number first, then each probability."""
+def landing(p: np.ndarray, size: np.ndarray, due: np.ndarray) -> np.ndarray:
+    """Decides the last documents, two at most, and turns few others round, to come near the words due.
+
+    ``due`` are the probabilities before the flight: only documents that were open then can turn. First
+    the choice for the last ones whose words are nearest; then, as long as it helps, the one or two
+    documents whose change brings the words nearest.
+    """
     p = p.copy()
-    while True:
-        held = np.flatnonzero((p > 0) & (p < 1))
-        if not len(held):
-            return p
-        if len(held) == 1:
-            p[held] = float(random.random() < p[held[0]])
-            continue
-        i, j = held[:2]
-        up, down = min(1 - p[i], p[j]), min(p[i], 1 - p[j])
-        step = up if random.random() * (up + down) < down else -down
-        p[i], p[j] = (0.0 if v < _EPS else 1.0 if v > 1 - _EPS else v for v in (p[i] + step, p[j] - step))
+    held = np.flatnonzero((p > 0) & (p < 1))
+    off = float(((p - due) * size).sum())
+    if len(held):
+        choices = np.array(list(itertools.product((1.0, 0.0), repeat=len(held))))
+        words = off + (choices - p[held]) @ size[held].astype(float)
+        p[held] = choices[np.argmin(np.abs(words))]
+        off = float(words[np.argmin(np.abs(words))])
+    free = np.flatnonzero((due > _EPS) & (due < 1 - _EPS) & (size > 0))
+    for _ in range(TURNS):
+        change = np.where(p[free] == 1, -size[free], size[free]).astype(float)
+        order = np.argsort(change, kind="stable")
+        ranked = change[order]
+        best, turned = abs(off) - 0.5, None
+        for wanted in (np.array([-off]), -off - ranked):
+            at = np.searchsorted(ranked, wanted)
+            for place in (np.maximum(at - 1, 0), np.minimum(at, len(ranked) - 1)):
+                if not len(ranked):
+                    break
+                left = np.abs(ranked[place] - wanted)
+                if len(wanted) > 1:
+                    left[place == np.arange(len(ranked))] = np.inf
+                i = int(np.argmin(left))
+                if left[i] < best:
+                    best, turned = float(left[i]), [place[i]] if len(wanted) == 1 else [place[i], i]
+        if turned is None:
+            break
+        which = free[order[turned]]
+        off += float(change[order[turned]].sum())
+        p[which] = 1 - p[which]
+    return p
 
 
 def _decide(last: bool):
     def work(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["key", "doc_id", "size", "row"], kind="stable", na_position="first")
+        # largest first: what the flight leaves open is small
+        group = group.sort_values(["size", "key", "doc_id", "row"], ascending=[False, True, True, True], kind="stable", na_position="first")
         random = np.random.default_rng([int(group["number"].iat[0]), int(group["cell"].iat[0]), len(group)])
-        p = flight(group["p"].to_numpy(), group["size"].to_numpy(), random)
+        due, size = group["p"].to_numpy(), group["size"].to_numpy()
+        p = flight(due, size, random)
         if last:
-            p = landing(p, group["size"].to_numpy(), random)
-        return group.assign(p=p).drop(columns="key")
+            p = landing(p, size, due)
+        return group.assign(p=p)
 
     return work
 
 
+def _numbered(sized: DataFrame) -> DataFrame:
+    """Rows with a number that tells equal ones apart; which is which doesn't matter.
+
+    Equal rows are counted and dealt out again, in shares, so that no task makes or numbers them alone.
+    """
+    counted = sized.groupBy(*sized.columns).agg(F.count("*").alias("same"))
+    shares = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("same") - 1) / CELL)))
+    shared = counted.select("*", shares.alias("share")).repartition(*sized.columns, "share")
+    start = F.col("share") * CELL
+    return shared.select(
+        *sized.columns, F.explode(F.sequence(start, F.least(start + CELL, F.col("same")) - 1)).alias("nth")
+    )
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -138,13 +184,15 @@ def mix(
 ) -> DataFrame:
     """One row per row of ``docs``: (doc_id, size, source_size, target, copies, taken).
 
-    ``row_col``: a long that tells rows of one id apart, returned as ``row``.
+    ``row_col``: a column that tells rows of one id apart, returned as ``row``.
     """
     row = F.col(row_col) if row_col else F.lit(0)
     sized = checkpointed(
-        docs.select(
-            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-            row.cast("long").alias("row"),
+        _numbered(
+            docs.select(
+                F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+                word_count(F.col(text_col)).alias("size"), row.alias("row"),
+            )
         )
     )
     targets = checkpointed(source_targets(sized, weights, most))
@@ -154,25 +202,26 @@ def mix(
     met = sized["source"].eqNullSafe(targets["source"])
     due = sized.join(F.broadcast(targets) if few else targets.hint("merge"), met)
     due = due.select(
-        sized["doc_id"], "number", "size", "row", "source_size", "target", F.least(rate, F.lit(float(most))).alias("rate")
+        sized["doc_id"], "number", "size", "row", F.xxhash64("doc_id", "size", "row", "nth").alias("key"),
+        "source_size", "target", F.least(rate, F.lit(float(most))).alias("rate")
     )
     whole = F.floor(F.col("rate") + _EPS)
     n_cells = max(1, -(-sized.count() // CELL))
-    key = F.xxhash64("doc_id", "size", *(["row"] if row_col else []))
     state = due.select(
-        "doc_id", "number", "size", "row", "source_size", "target",
+        "doc_id", "number", "size", "row", "key", "source_size", "target",
         whole.cast("long").alias("whole"),
         F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("p"),
-        F.pmod(key, F.lit(n_cells)).alias("cell"),
-    )
-    columns = "doc_id {kind}, number long, size long, row long, source_size long, target double, whole long, p double, cell long".format(
-        kind=docs.schema[id_col].dataType.simpleString()
+        F.pmod(F.col("key"), F.lit(n_cells)).alias("cell"),
     )
+    columns = (
+        "doc_id {id}, number long, size long, row {row}, key long, source_size long, target double, whole long, "
+        "p double, cell long"
+    ).format(id=docs.schema[id_col].dataType.simpleString(), row=sized.schema["row"].dataType.simpleString())
     decided = []
     while True:
         last = n_cells == 1
         state = checkpointed(
-            state.withColumn("key", key).groupBy("number", "cell").applyInPandas(_decide(last), columns)
+            state.groupBy("number", "cell").applyInPandas(_decide(last), columns)
         )
         decided.append(state.where("p = 0 or p = 1"))
         if last:
