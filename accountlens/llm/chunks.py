@@ -12,7 +12,9 @@ whole in common, so this is less than the fifty words one looks for. A passage m
 others: what of it can be cut are the stretches of chunks that are kept elsewhere, whatever their length.
 
 Offsets are bytes of the UTF-8 text. Null and empty texts have no chunks. Rows that repeat a doc_id
-are one document to this operator; rows with a null doc_id take no part and get an empty result.
+are one document to this operator: what repeats only among them is no passage, passages lie within one of
+their texts, and the lists of the id hold those of all. Rows with a null doc_id take no part and get an
+empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ WORDS = 14
 #: Bytes hashed at a time; what goes before is carried over.
 _SLICE = 1 << 22
 _WINDOW = 16
+#: Where a chunk stands; texts of one id are kept apart.
+_PLACE = ("doc_id", "text_key", "start")
 _GEAR = np.random.default_rng(20).integers(0, 1 << 16, 256, dtype=np.uint16)
 
 
@@ -68,40 +72,48 @@ def chunk_ends(data: bytes) -> np.ndarray:
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, end, digest_a, digest_b) of every chunk."""
+    """(doc_id, text_key, start, end, digest_a, digest_b) of every chunk; text_key is a digest of the text."""
 
     def make():
         def work(batch: pa.RecordBatch) -> list:
-            ids, starts, ends, digests = [], [], [], []
-            for i, value in zip(batch.column(0), batch.column(1)):
+            ids, keys, starts, ends, digests = [], [], [], [], []
+            for i, value, key in zip(*(batch.column(k) for k in range(3))):
                 data = (value.as_py() or "").encode()
                 end = chunk_ends(data)
                 start = np.r_[0, end[:-1]] if len(end) else end
                 starts.append(start)
                 ends.append(end)
                 ids.append(np.full(len(end), i.as_py(), np.int64))
+                keys.append(np.full(len(end), key.as_py(), np.int64))
                 digests += [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(start.tolist(), end.tolist())]
             pairs = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             join = lambda x: np.concatenate(x).astype(np.int32) if x else np.empty(0, np.int32)
-            return [np.concatenate(ids) if ids else [], join(starts), join(ends), pairs[:, 0], pairs[:, 1]]
+            long = lambda x: np.concatenate(x) if x else []
+            return [long(ids), long(keys), join(starts), join(ends), pairs[:, 0], pairs[:, 1]]
 
         return work
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    return map_arrow(rows, make, "doc_id long, start int, end int, digest_a long, digest_b long")
+    return map_arrow(
+        _texts(docs, id_col, text_col).where("doc_id is not null"), make,
+        "doc_id long, text_key long, start int, end int, digest_a long, digest_b long",
+    )
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key")
+    )
 
 
 def repeated_chunks(found: DataFrame) -> DataFrame:
     """Chunks whose digest occurs in two documents or more; ``first`` marks the kept occurrence."""
     digest = ["digest_a", "digest_b"]
     shared = found.groupBy(*digest).agg(
-        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min(F.struct("doc_id", "start")).alias("kept")
+        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min(F.struct(*_PLACE)).alias("kept")
     )
     # a checkpoint lets the join deal both sides anew, so that a chunk of very many documents is split
     shared = checkpointed(shared.where("least < most").select(*digest, "kept"))
-    return found.join(shared, digest).select(
-        "doc_id", "start", "end", ((F.col("kept.doc_id") == F.col("doc_id")) & (F.col("kept.start") == F.col("start"))).alias("first")
-    )
+    return found.join(shared, digest).select(*_PLACE, "end", (F.col("kept") == F.struct(*_PLACE)).alias("first"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -110,8 +122,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ``later``: (start, end) of the stretches without a kept occurrence.
     """
     runs = checkpointed(_runs(repeated_chunks(chunks(docs, id_col, text_col))))
-    by_doc = runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "later"))).alias("runs"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    by_doc = runs.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "later"))).alias("runs"))
+    texts = _texts(docs, id_col, text_col).dropDuplicates(["doc_id", "text_key"])
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
     def make():
@@ -128,22 +140,22 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
         return work
 
-    met = by_doc.join(texts, "doc_id").select("doc_id", "text", "runs")
+    met = by_doc.join(texts, ["doc_id", "text_key"]).select("doc_id", "text", "runs")
     return map_arrow(met, make, "doc_id long, start int, end int, n_words int, later array<struct<start: int, end: int>>")
 
 
 def _runs(repeated: DataFrame) -> DataFrame:
     """Neighbouring chunks as one row, at least as long as the shortest passage can be."""
-    order = Window.partitionBy("doc_id").orderBy("start")
+    order = Window.partitionBy("doc_id", "text_key").orderBy("start")
     new = F.col("start") != F.lag("end", 1, -1).over(order)
     turn = new | (F.col("first") != F.lag("first").over(order))
     return (
         repeated.distinct()
         .select("*", new.cast("int").alias("new"), turn.cast("int").alias("turn"))
         .select("*", F.sum("new").over(order).alias("run"), F.sum("turn").over(order).alias("part"))
-        .groupBy("doc_id", "run", "part")
+        .groupBy("doc_id", "text_key", "run", "part")
         .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("first"))
-        .groupBy("doc_id", "run")
+        .groupBy("doc_id", "text_key", "run")
         .agg(
             F.min("start").alias("start"), F.max("end").alias("end"),
             F.array_sort(F.collect_list(F.when(~F.col("first"), F.struct("start", "end")))).alias("later"),
