@@ -189,37 +189,39 @@ def _removed(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     return gone.select(*_PLACE).distinct()
 
 
+#: Columns that removed lines are met by; no table has them.
+_ID, _ROW, _GONE = "_line_dedup_id", "_line_dedup_row", "_line_dedup_removed"
+
+
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: (doc_id, n_lines, n_removed, removed array<int>)."""
     removed = _by_document(removed_lines(docs, id_col, text_col))
     n = F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).cast("long")
     rows = docs.select(F.col(id_col).alias("doc_id"), n.alias("n_lines"), F.xxhash64(text_col).alias("row"))
-    return rows.join(removed, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("row") == F.col("of_row")), "left").select(
-        "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), _or_none("removed")
+    return rows.join(removed, F.col("doc_id").eqNullSafe(F.col(_ID)) & (F.col("row") == F.col(_ROW)), "left").select(
+        "doc_id", "n_lines", F.coalesce(F.size(_GONE), F.lit(0)).cast("long").alias("n_removed"), _or_none(_GONE, "removed")
     )
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the removed lines cut from the text; a document that loses all its lines goes.
+    """``docs`` with the removed lines cut from the text; a document that loses all its lines with words goes.
 
-    Null and empty texts stay as they are. Other columns are untouched.
+    Null and empty texts stay as they are. Other columns are untouched, whatever their names.
     """
     removed = _by_document(removed_lines(docs, id_col, text_col))
     lines = F.split(F.col(text_col), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(_GONE))
     left = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    names = docs.columns
-    own = docs[id_col].eqNullSafe(F.col("of_id")) & (F.xxhash64(docs[text_col]) == F.col("of_row"))
-    met = docs.join(removed, own, "left")
-    text = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(left)
-    return met.where(F.col("removed").isNull() | (F.trim(left) != "")).select(
-        *(text.alias(c) if c == text_col else docs[c] for c in names)
-    )
+    own = docs[id_col].eqNullSafe(F.col(_ID)) & (F.xxhash64(docs[text_col]) == F.col(_ROW))
+    text = F.when(F.col(_GONE).isNull(), F.col(text_col)).otherwise(left)
+    met = docs.join(removed, own, "left").where(F.col(_GONE).isNull() | left.rlike("[^\\x20\\x09-\\x0D]"))
+    return met.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns))
 
 
 def _by_document(removed: DataFrame) -> DataFrame:
-    return removed.groupBy(F.col("doc_id").alias("of_id"), F.col("row").alias("of_row")).agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
+    by = (F.col("doc_id").alias(_ID), F.col("row").alias(_ROW))
+    return removed.groupBy(*by).agg(F.sort_array(F.collect_list("line_no")).alias(_GONE))
 
 
-def _or_none(name: str) -> Column:
-    return F.coalesce(F.col(name), F.array().cast("array<int>")).alias(name)
+def _or_none(name: str, alias: str) -> Column:
+    return F.coalesce(F.col(name), F.array().cast("array<int>")).alias(alias)

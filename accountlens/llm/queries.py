@@ -176,9 +176,9 @@ def toxicity_labels(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, into: str = "toxicity") -> DataFrame:
     """``docs`` with the probabilities of a chain trained on them and ``labels``."""
-    return toxicity.score(docs, toxicity.train(docs, toxicity_labels(labels), list(CATEGORIES)))
+    return toxicity.score(docs, toxicity.train(docs, toxicity_labels(labels), list(CATEGORIES)), into=into)
 
 
 @query

@@ -163,8 +163,8 @@ def train(
     return chain
 
 
-def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
-    """``docs`` with one more column: ``toxicity``, a struct of a probability per category."""
+def score(docs: DataFrame, chain: Chain, text_col: str = "text", into: str = "toxicity") -> DataFrame:
+    """``docs`` with a column ``into``, a struct of a probability per category; one of that name is replaced."""
     held = docs.sparkSession.sparkContext.broadcast(chain)
     kind = ", ".join(f"{c} double" for c in chain.categories)
 
@@ -178,7 +178,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
                 p[start : start + len(x)] = model.predict(x) * full[:, None]
         return pd.DataFrame(p, columns=model.categories)
 
-    return docs.withColumn("toxicity", probabilities(F.col(text_col)))
+    return docs.withColumn(into, probabilities(F.col(text_col)))
 
 
 class _Known:
