@@ -20,31 +20,43 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the chain, trained on the labelled ones, doesn't call toxic."""
-    scored = toxicity_scores(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("toxicity.toxic") < toxicity.THRESHOLD).select(*docs.columns)
+    """Documents that the chain, trained on the labelled ones, doesn't call toxic.
+
+    Null and empty texts aren't toxic; rows that repeat are judged alike.
+    """
+    own = _unused(docs, "toxicity")
+    scored = toxicity_scores(docs, table(spark, sf_dir, "labels"), own)
+    return scored.where(F.col(f"{own}.toxic") < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that an earlier one resembles; n_chars follows the text."""
+    """Texts without lines that an earlier one resembles; n_chars follows the text.
+
+    A document without a line with words left goes; null and empty texts stay.
+    """
     return _counted(docs, lines.without_repeats(docs))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of each group; all rows with a null one."""
-    found = minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("gone_id"), "leftanti")
+    """The least doc_id of each group; all rows with a null one, and all rows of a kept id."""
+    gone = _unused(docs, "gone_id")
+    found = minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(found, docs["doc_id"] == F.col(gone), "leftanti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    keyed = docs.withColumn("drawn_row", F.xxhash64(*docs.columns))
-    drawn = mixing.mix(keyed, row_col="drawn_row").where("copies > 0")
-    # rows equal in all columns are alike: one of them stands for what was drawn of all
-    drawn = checkpointed(drawn.groupBy(F.col("row").alias("drawn_row")).agg(F.sum("copies").cast("int").alias("drawn_copies")))
-    copies = F.explode(F.sequence(F.lit(1), F.col("drawn_copies"))).alias("drawn_copy")
-    met = keyed.join(drawn, "drawn_row").dropDuplicates(["drawn_row"])
-    return met.select(*docs.columns, copies).drop("drawn_copy")
+    """Each document as often as the mix takes it.
+
+    A row is known by a digest of all its columns, nulls included: rows of one id or of none are apart,
+    and rows equal in all columns are alike, so one of them stands for what was drawn of all.
+    """
+    row, copies, copy = (_unused(docs, c) for c in ("drawn_row", "drawn_copies", "drawn_copy"))
+    values = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    keyed = docs.withColumn(row, F.md5(F.to_json(values, {"ignoreNullFields": "false"})))
+    drawn = mixing.mix(keyed, row_col=row).where("copies > 0")
+    drawn = checkpointed(drawn.groupBy(F.col("row").alias(row)).agg(F.sum("copies").cast("int").alias(copies)))
+    met = keyed.join(drawn, row).dropDuplicates([row])
+    return met.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).drop(copy)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +66,14 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the table doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _counted(before: DataFrame, after: DataFrame) -> DataFrame:
     if "n_chars" not in before.columns:
         return after
