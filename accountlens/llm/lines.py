@@ -11,7 +11,7 @@ Words are known by 58 bits of their hash, rarity by the number of words in the s
 buckets, on a scale of powers of two: any order that is the same for all lines gives the same
 result. Lines without words (blank ones, null and empty texts) are never removed. A null doc_id comes
 before all others. Rows of one doc_id (or of none) are told apart by a digest of their text, which comes last
-in the order of lines. Rows equal in id and text are one document: what stands there doesn't remove itself.
+in the order of lines (an id of one row may have 0 in its place). Rows equal in id and text are one document: what stands there doesn't remove itself.
 """
 
 from __future__ import annotations
@@ -108,9 +108,9 @@ def _hashed(*columns: str) -> Column:
     return F.xxhash64(*columns).bitwiseAND(64 * BUCKETS - 1)
 
 
-def _bits(needed: DataFrame) -> np.ndarray:
-    """Two million bits, set where a needed line falls: keeps most other lines out of a shuffle."""
-    h = _hashed("need_id", "need_no", "need_row")
+def _bits(needed: DataFrame, *columns: str) -> np.ndarray:
+    """Two million bits, set where a needed row falls: tells most other rows from them."""
+    h = _hashed(*columns)
     one = F.lit(1).cast("long")
     set_ = F.bit_or(F.call_function("shiftleft", one, h.bitwiseAND(63).cast("int"))).alias("bits")
     bits = np.zeros(BUCKETS, np.int64)
@@ -125,7 +125,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, classes: Column, threshold: f
     needed = scratch(pairs.select("at").union(pairs.select("at_1")).distinct())
     needed = needed.select(F.col("at.doc_id").alias("need_id"), F.col("at.line_no").alias("need_no"), F.col("at.row").alias("need_row"))
     same = F.col("doc_id").eqNullSafe(F.col("need_id")) & (F.col("line_no") == F.col("need_no")) & (F.col("row") == F.col("need_row"))
-    maybe = F.get(F.lit(_bits(needed)), F.shiftrightunsigned(_hashed(*_PLACE), 6).cast("int"))
+    maybe = F.get(F.lit(_bits(needed, "need_id", "need_no", "need_row")), F.shiftrightunsigned(_hashed(*_PLACE), 6).cast("int"))
     bit = F.call_function("shiftrightunsigned", maybe, _hashed(*_PLACE).bitwiseAND(63).cast("int"))
     full = scratch(
         _lines(texts)
@@ -145,11 +145,33 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, classes: Column, threshold: f
     )
 
 
+def text_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What tells rows of one id apart: a digest of the text, or 0 where an id is surely alone.
+
+    Ids that repeat are marked in two million bits, which an id that is alone may hit too; null ids
+    always have the digest. A constant takes no room in what is moved, digests don't compress.
+    """
+    one = F.lit(1).cast("long")
+    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("need_id")).count().where("count > 1")
+    bits = _bits(repeated, "need_id")
+    digest, alone = F.xxhash64(text_col), F.lit(0).cast("long")
+    if not bits.any():
+        return F.when(F.col(id_col).isNull(), digest).otherwise(alone)
+    h = _hashed(id_col)
+    word = F.get(F.lit(bits), F.shiftrightunsigned(h, 6).cast("int"))
+    marked = F.call_function("shiftrightunsigned", word, h.bitwiseAND(63).cast("int")).bitwiseAND(one) == 1
+    return F.when(F.col(id_col).isNull() | marked, digest).otherwise(alone)
+
+
 def removed_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, row: Column | None = None
 ) -> DataFrame:
-    """(doc_id, line_no, row) of the lines to remove, numbered from 0, each once; row: digest of the text."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row"))
+    """(doc_id, line_no, row) of the lines to remove, numbered from 0, each once.
+
+    ``row``: what :func:`text_key` gives, if it is at hand.
+    """
+    row = text_key(docs, id_col, text_col) if row is None else row
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row.alias("row"))
     with Scratch(docs.sparkSession) as scratch:
         return checkpointed(_removed(texts, threshold, scratch))
 
@@ -195,9 +217,10 @@ _ID, _ROW, _GONE = "_line_dedup_id", "_line_dedup_row", "_line_dedup_removed"
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: (doc_id, n_lines, n_removed, removed array<int>)."""
-    removed = _by_document(removed_lines(docs, id_col, text_col))
+    row = text_key(docs, id_col, text_col)
+    removed = _by_document(removed_lines(docs, id_col, text_col, row=row))
     n = F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), n.alias("n_lines"), F.xxhash64(text_col).alias("row"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), n.alias("n_lines"), row.alias("row"))
     return rows.join(removed, F.col("doc_id").eqNullSafe(F.col(_ID)) & (F.col("row") == F.col(_ROW)), "left").select(
         "doc_id", "n_lines", F.coalesce(F.size(_GONE), F.lit(0)).cast("long").alias("n_removed"), _or_none(_GONE, "removed")
     )
@@ -208,11 +231,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts stay as they are. Other columns are untouched, whatever their names.
     """
-    removed = _by_document(removed_lines(docs, id_col, text_col))
+    row = text_key(docs, id_col, text_col)
+    removed = _by_document(removed_lines(docs, id_col, text_col, row=row))
     lines = F.split(F.col(text_col), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(_GONE))
     left = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    own = docs[id_col].eqNullSafe(F.col(_ID)) & (F.xxhash64(docs[text_col]) == F.col(_ROW))
+    own = docs[id_col].eqNullSafe(F.col(_ID)) & (row == F.col(_ROW))
     text = F.when(F.col(_GONE).isNull(), F.col(text_col)).otherwise(left)
     met = docs.join(removed, own, "left").where(F.col(_GONE).isNull() | left.rlike("[^\\x20\\x09-\\x0D]"))
     return met.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns))
