@@ -4,9 +4,10 @@ A document's set is its distinct five-word shingles (fewer words: the whole sequ
 the empty set, linked with nothing). One pass hashes every shingle once; the least hash of each of
 ``BINS`` equal ranges is the sketch, and an empty bin takes the value of another by optimal
 densification. ``BANDS`` groups of bins give the buckets. A bucket joins one member (the hub)
-with the others, not all with all; candidates are confirmed on the full sets. Members that are then still apart
-are compared across the parts of their bucket, so that no pair of a bucket goes
-unchecked unless both ends are known to be connected.
+with the others, not all with all; candidates are confirmed on the full sets. Buckets whose members are
+then in several connected parts go into another round, with a hub from outside the largest part that meets
+the members of other parts, ``TURNS`` rounds in all. So there are at most as many pairs as members of
+buckets and rounds; what a round leaves apart, another bucket of the same pair may join.
 
 Nodes are distinct sets, named by a 64-bit digest: a group of copies is one node.
 Null and empty texts have an empty set. Rows that repeat a doc_id share its component; rows with a
@@ -30,8 +31,8 @@ ROWS = 5
 BINS = BANDS * ROWS
 #: Links: NUMERATOR / DENOMINATOR of the union is shared at least.
 NUMERATOR, DENOMINATOR = 75, 100
-#: Random orders that hubs are chosen by.
-ORDERS = 16
+#: Star rounds.
+TURNS = 4
 #: A bucket's rows are spread over so many keys when its hub is sent to them.
 _SALTS = 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -141,40 +142,43 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each bucket's hub with the others.
+def _stars(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each bucket's hub with the members of other parts.
 
-    The hub is the first in one of ``ORDERS`` random orders, chosen by the bucket, so that a group that
-    shares many buckets has few hubs, but not a single one that may be unlike the rest.
+    The hub is the first of the members outside the bucket's main part (of all, where there is none) in
+    a random order that changes with ``turn``; so every member looks at one node a bucket and turn.
     """
-    order = F.xxhash64("node", F.pmod("bucket", F.lit(ORDERS)))
-    hubs = members.groupBy("bucket").agg(F.min(F.struct(order.alias("order"), "node", "n_shingles")).alias("hub"))
+    order = F.xxhash64("node", F.lit(turn))
+    first = F.min(F.struct((F.col("part") == F.col("main")).alias("inside"), order.alias("order"), "node", "part", "n_shingles"))
+    hubs = members.groupBy("bucket").agg(first.alias("hub"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
     salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(_SALTS)).cast("int"))
     return (
         salted.join(hubs.select("*", salts), ["bucket", "salt"])
-        .where("hub.node <> node")
+        .where("hub.part <> part")
         .where(_could_link("hub.n_shingles", "n_shingles"))
         .select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b"))
         .distinct()
     )
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket's members in different parts.
-
-    ``main`` is the part with most members of the bucket. Only the members of other parts look for
-    partners, so that a few strangers in a bucket of many copies don't make all its pairs.
-    """
-    other = members.select("bucket", *(F.col(c).alias(f"{c}_2") for c in ("node", "part", "n_shingles")))
-    return (
-        members.where("part <> main")
-        .join(other, "bucket")
-        .where("part <> part_2 and (part_2 = main or node < node_2)")
-        .where(_could_link("n_shingles", "n_shingles_2"))
-        .select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b"))
-        .distinct()
+def _apart(members: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Members of the buckets that fall into several parts, with their part and the largest of the bucket."""
+    if found is None:
+        return members.withColumns({"part": F.col("node"), "main": F.lit(None).cast("long")})
+    parts = members.join(found, "node", "left").select(
+        "node", "n_shingles", "bucket", F.coalesce("component", "node").alias("part")
     )
+    # the part with most members is the main one; ties go to the greater
+    split = (
+        parts.groupBy("bucket", "part")
+        .agg(F.count("*").alias("n"))
+        .groupBy("bucket")
+        .agg(F.max(F.struct("n", "part")).alias("most"), F.count("*").alias("parts"))
+        .where("parts > 1")
+        .select("bucket", F.col("most.part").alias("main"))
+    )
+    return parts.join(split, "bucket")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,23 +200,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = shingle_sets(texts).join(needed, ["doc_id", "node"], "leftsemi")
     sets = checkpointed(sets.dropDuplicates(["node"]).select("node", "shingles"))
 
-    stars = checkpointed(_stars(members))
-    links = checkpointed(confirmed(stars, sets))
-    parts = members.join(components(links), "node", "left").select(
-        "node", "n_shingles", "bucket", F.coalesce("component", "node").alias("part")
-    )
-    # several parts: the one with most members is named, ties go to the greater
-    split = (
-        parts.groupBy("bucket", "part")
-        .agg(F.count("*").alias("n"))
-        .groupBy("bucket")
-        .agg(F.max(F.struct("n", "part")).alias("most"), F.count("*").alias("parts"))
-        .where("parts > 1")
-        .select("bucket", F.col("most.part").alias("main"))
-    )
-    apart = checkpointed(parts.join(split, "bucket"))
-    pairs = checkpointed(_across(apart).join(stars, ["a", "b"], "leftanti"))
-    links = links.union(confirmed(pairs, sets))
+    links, tried, found = None, None, None
+    for turn in range(TURNS):
+        pairs = _stars(_apart(members, found), turn)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "leftanti")
+        pairs = checkpointed(pairs)
+        if pairs.isEmpty():
+            break
+        more = checkpointed(confirmed(pairs, sets))
+        links, tried = (more, pairs) if links is None else (links.union(more), tried.union(pairs))
+        found = checkpointed(components(links))
+    if links is None:
+        links = known.select(F.col("node").alias("a"), F.col("node").alias("b")).where(F.lit(False))
     # rows that repeat a doc_id with another set connect the two sets
     lead = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
     repeated = known.join(lead, "doc_id").select("a", F.col("node").alias("b"))
