@@ -21,6 +21,8 @@ class AccountClassifier:
         self.spark = spark
         self.spam_model: PipelineModel | None = None
         self.judge_model: PipelineModel | None = None
+        #: Accounts with several labels in the last training, by their labels.
+        self.overlap: dict[tuple[float, ...], int] = {}
 
     def train_spam(self, spam_paths: Paths, not_spam_paths: Paths, **options) -> float | None:
         """Train the detector from two sets of JSON lines; returns held-out accuracy."""
@@ -35,7 +37,9 @@ class AccountClassifier:
     ) -> tuple[float | None, list[list[int]]]:
         """Train from three sets of timelines; returns (accuracy, confusion matrix).
 
-        With ``model_path`` the model is saved there and its training set next to it.
+        With ``model_path`` the model is saved there and its training set next to it, in that
+        order, once training has succeeded; a model that is there already needs ``overwrite=True``.
+        ``overlap`` then tells how many accounts had several labels.
         """
         result = judge.train_judge(
             read_posts(self.spark, humans),
@@ -43,22 +47,21 @@ class AccountClassifier:
             read_posts(self.spark, cyborgs),
             self.spam_model,
             training_set_path=f"{model_path}_trainingset" if model_path else None,
+            model_path=model_path,
             **options,
         )
-        self.judge_model = result.model
-        if model_path:
-            judge.save_model(result.model, model_path)
+        self.judge_model, self.overlap = result.model, result.overlap
         return result.accuracy, result.matrix
 
     def score(self, paths: Paths, sink: str | None = None, stage_path: str | None = None) -> DataFrame:
         """Score timelines in files."""
         return judge.score_batch(
-            self.spark, paths, self._judge(), self.spam_model, sink=sink, stage_path=stage_path
+            self.spark, paths, self._for_scoring(), self.spam_model, sink=sink, stage_path=stage_path
         )
 
     def score_timeline(self, timeline: str, sink: str | None = None) -> DataFrame:
         """Score a timeline given as text."""
-        return judge.score_timeline(self.spark, timeline, self._judge(), self.spam_model, sink=sink)
+        return judge.score_timeline(self.spark, timeline, self._for_scoring(), self.spam_model, sink=sink)
 
     def feature_importance(self) -> DataFrame:
         return judge.feature_importance(self._judge())
@@ -90,3 +93,10 @@ class AccountClassifier:
         if self.judge_model is None:
             raise ValueError("train or load the account classifier first")
         return self.judge_model
+
+    def _for_scoring(self) -> PipelineModel:
+        """The account classifier, if the spam detector it was trained with is there too."""
+        model = self._judge()
+        if self.spam_model is None and judge.needs_spam_model(model):
+            raise ValueError("the account classifier was trained with a spam detector: load that as well")
+        return model

@@ -18,7 +18,7 @@ TEST_PERCENT = 20
 def label_union(classes: Mapping[float, DataFrame], label: str = LABEL) -> DataFrame:
     """Union by name of one frame per class, each marked with its label."""
     marked = [df.withColumn(label, F.lit(float(value))) for value, df in classes.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), marked)
+    return reduce(lambda a, b: a.unionByName(b), marked)
 
 
 def split_bucket(keys: Sequence[str], seed: int = SPLIT_SEED, buckets: int = 100) -> Column:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from accountlens.operators.evaluation import (
@@ -35,7 +36,7 @@ from accountlens.schema import (
     POST_SCHEMA,
     PREDICTION_COLUMNS,
 )
-from accountlens.session import stored
+from accountlens.session import path_exists, stored
 from accountlens.sources.posts import posts_from_text, read_posts
 from accountlens.sources.tables import (
     read_run,
@@ -55,6 +56,8 @@ class JudgeTraining:
     #: Rows are true classes, columns predicted ones; human, bot, cyborg.
     matrix: list[list[int]]
     cv_accuracy: list[float]
+    #: Accounts that are labelled more than once: number of them by their labels.
+    overlap: dict[tuple[float, ...], int] = field(default_factory=dict)
 
 
 def assembler() -> VectorAssembler:
@@ -74,26 +77,30 @@ def train_judge(
     max_depth: int = MAX_DEPTH,
     training_set_path: str | None = None,
     training_sink: str | None = None,
+    model_path: str | None = None,
+    overwrite: bool = False,
     **forest_options,
 ) -> JudgeTraining:
     """Train from the posts of three account classes.
 
     Posts are read once, into narrow measures; the feature frame made from those is stored
     as well, and splitting, folds and evaluation read that copy. Accounts are split by a
-    hash of their id, so none is in both halves. The training half can be kept as well:
-    ``training_set_path`` replaces a JSON training set, ``training_sink`` adds a run to a
-    table of training rows.
+    hash of their id, so none is in both halves. Accounts under several labels are reported, as
+    they blur the classes.
+
+    ``model_path`` saves the model. The training half can be kept as well: ``training_set_path``
+    replaces a JSON training set, ``training_sink`` adds a run to a table of training rows. Nothing is
+    replaced unless the training succeeded: an existing model is an error before any work without
+    ``overwrite``, and the training set follows the model it belongs to.
     """
     posts = labelled_posts(humans, bots, cyborgs)
+    if model_path and not overwrite and path_exists(posts.sparkSession, model_path):
+        raise ValueError(f"{model_path} is there already")
     with (
         stored(post_measures(posts, spam_model, labelled=True), "judge-measures") as measures,
         stored(features_from_measures(measures, labelled=True), "judge-training") as rows,
     ):
         test, training = split_train_test(rows, [ACCOUNT])
-        if training_set_path:
-            write_training_set(training, training_set_path)
-        if training_sink:
-            store_run(training, training_sink, uuid.uuid4().hex)
         vectors = assembler().transform(training).select(ACCOUNT, "features", LABEL)
         cv = cross_validated_forest(
             vectors, LABEL, PREDICTION, "features", SPLIT_SEED, [ACCOUNT], num_trees, max_depth, **forest_options
@@ -101,7 +108,26 @@ def train_judge(
         model = PipelineModel([assembler(), best_forest(cv)])
         scored = model.transform(test).select(LABEL, PREDICTION)
         matrix = _matrix(scored)
-    return JudgeTraining(model, _accuracy(matrix), matrix, [float(m) for m in cv.avgMetrics])
+        overlap = _overlap(rows)
+        if model_path:
+            save_model(model, model_path, overwrite)
+        if training_set_path:
+            write_training_set(training, training_set_path)
+        if training_sink:
+            store_run(training, training_sink, uuid.uuid4().hex)
+    return JudgeTraining(model, _accuracy(matrix), matrix, [float(m) for m in cv.avgMetrics], overlap)
+
+
+def _overlap(rows: DataFrame) -> dict[tuple[float, ...], int]:
+    """How many accounts have several labels, by their labels: a row for each set of classes."""
+    by_account = rows.groupBy(ACCOUNT).agg(F.sort_array(F.collect_set(LABEL)).alias("labels"))
+    counted = by_account.where(F.size("labels") > 1).groupBy("labels").count()
+    return {tuple(r["labels"]): r["count"] for r in counted.collect()}
+
+
+def needs_spam_model(model: PipelineModel) -> bool:
+    """Whether the forest splits on the share of spam: without a detector that would be 0 everywhere."""
+    return float(model.stages[-1].featureImportances[FEATURE_COLUMNS.index("avg_spam")]) > 0
 
 
 def training_schema(spark: SparkSession) -> StructType:

@@ -50,6 +50,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "accountlens", f"{name}-{uuid.uuid4().hex}")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path, on whatever file system it names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def delete_path(spark: SparkSession, path: str) -> bool:
     """Delete a path on whatever file system it names."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -20,7 +20,7 @@ from accountlens import (
 )
 from accountlens.operators import evaluation
 from accountlens.plans import spam
-from accountlens.plans.judge import evaluate_judge
+from accountlens.plans.judge import evaluate_judge, needs_spam_model
 from accountlens.schema import FEATURE_COLUMNS, PREDICTION_COLUMNS
 from accountlens.sources import parts
 from accountlens.sources.posts import read_posts
@@ -305,3 +305,46 @@ def test_a_repeated_batch_replaces_its_posts(spark, tmp_path):
     first = history.timelines_of_batch(spark, path, 0, rows([]).schema)
     assert sorted(tuple(r) for r in first.collect()) == [(1, 1), (2, 2)]
     assert history.timelines_of_batch(spark, path, 7, rows([]).schema).count() == 0
+
+
+def test_retraining_replaces_nothing_unless_it_may(spark, data, trained):
+    *_, path = trained
+    classifier = AccountClassifier(spark)
+    classifier.spam_model = trained[0].spam_model
+    kept = sorted(r.user_id for r in spark.read.json(path + "_trainingset").select("user_id").collect())
+    fewer = f"{data['root']}/fewer"
+    write_lines(f"{fewer}/all", class_posts("human", 1000)[: 20 * 26])
+    with pytest.raises(ValueError, match="there already"):
+        classifier.train_judge(fewer, data["cyborg"], data["bot"], model_path=path, **SMALL)
+    assert sorted(r.user_id for r in spark.read.json(path + "_trainingset").select("user_id").collect()) == kept
+    own = path + "-again"
+    for overwrite in (False, True):
+        classifier.train_judge(data["human"], data["cyborg"], data["human"], model_path=own, overwrite=overwrite, **SMALL)
+    assert AccountClassifier(spark).load(1, own)
+    # the same accounts as humans and bots
+    assert classifier.overlap == {(0.0, 1.0): N}
+    assert trained[0].overlap == {}
+
+
+def test_a_judge_that_knows_spam_needs_the_detector(spark, data, trained):
+    classifier, *_, path = trained
+    alone = AccountClassifier(spark)
+    assert alone.load(1, path)
+    if needs_spam_model(classifier.judge_model):
+        with pytest.raises(ValueError, match="spam detector"):
+            alone.score(data["bot"])
+    alone.spam_model = classifier.spam_model
+    assert alone.score(data["bot"]).count() == N
+
+
+def test_only_a_split_on_spam_needs_the_detector():
+    class Forest:
+        def __init__(self, weight):
+            self.featureImportances = [0.0] * len(FEATURE_COLUMNS)
+            self.featureImportances[FEATURE_COLUMNS.index("avg_spam")] = weight
+
+    class Model:
+        def __init__(self, weight):
+            self.stages = [Forest(weight)]
+
+    assert needs_spam_model(Model(0.1)) and not needs_spam_model(Model(0.0))
