@@ -29,28 +29,11 @@ def _case(values: dict[str, str]) -> str:
     return f"CASE {whens} END"
 
 
-_POSTS = f"""{_EVENTS},
-raw AS (
-  SELECT ev.*, coalesce(d.text, ev.event_type || '  ' || ev.props) AS text, {_case(CLIENT_NAMES)} AS source,
-         sec - k * 30 * 86400 AS sec_cuenta,
-         CASE WHEN k % 5 = 0 THEN '' WHEN k % 5 <> 1 THEN props END AS description
-  FROM ev LEFT JOIN documents d ON d.doc_id = ev.event_id
-),
-post AS (
-  SELECT raw.*, {_text("raw")},
-         len(regexp_extract_all(text, 'https?://')) AS n_urls,
-         len(regexp_extract_all(text, '#[A-Za-z0-9_]+')) AS n_hashtags,
-         len(regexp_extract_all(text, '@[A-Za-z0-9_]+')) AS n_mentions,
-         CASE WHEN event_type <> 'error' AND k <> 0 THEN 1 ELSE 0 END AS is_reply,
-         CASE WHEN contains(source, '{WEB_CLIENT}') THEN 'uso_web'
-              WHEN {" OR ".join(f"contains(source, '{m}')" for m in MOBILE_CLIENTS)} THEN 'uso_mobil'
-              ELSE 'uso_terceros' END AS client,
-         dayname(make_timestamp(sec * 1000000)) AS weekday,
-         hour(make_timestamp(sec * 1000000)) AS hour
-  FROM raw WHERE length(text) > 0
-),
-profile AS (
-  SELECT user_id,
+def _profiles(rows: str, keys: str = "user_id", prefix: str = "") -> str:
+    """Newest profile of each group of posts, and the features made from it."""
+    return f"""
+{prefix}profile AS (
+  SELECT {keys},
          CAST(value > 10 AS INTEGER) AS con_imagen_fondo,
          sec_cuenta,
          CASE WHEN k % 7 <> 0 THEN id % 1000 END AS n_favoritos,
@@ -64,10 +47,10 @@ profile AS (
          CAST(floor(value) AS BIGINT) AS amigos,
          id AS n_tweets,
          event_type || user_id AS nombre_usuario
-  FROM post QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY sec DESC, id DESC) = 1
+  FROM {rows} QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY sec DESC, id DESC) = 1
 ),
-profile_feature AS (
-  SELECT user_id, con_imagen_fondo,
+{prefix}profile_feature AS (
+  SELECT {keys}, con_imagen_fondo,
          strftime(make_timestamp(sec_cuenta * 1000000), '%Y-%m-%d %H:%M:%S') AS cuenta_creada,
          n_favoritos, con_descripcion, longitud_descripcion, con_perfil_verificado, con_imagen_default, n_listas,
          con_geo_activo, n_tweets, nombre_usuario,
@@ -75,10 +58,32 @@ profile_feature AS (
                     ELSE 0 END, 6) AS reputacion,
          round(CASE WHEN amigos > 0 THEN seguidores * 1.0 / amigos ELSE 0 END, 6) AS followers_ratio,
          CAST(year(make_timestamp(sec_cuenta * 1000000)) AS INTEGER) AS ano_registro
-  FROM profile
+  FROM {prefix}profile
 )"""
 
 
+_POSTS = f"""{_EVENTS},
+raw AS (
+  SELECT ev.*, coalesce(d.text, ev.event_type || '  ' || ev.props) AS text, {_case(CLIENT_NAMES)} AS source,
+         sec - k * 30 * 86400 AS sec_cuenta,
+         CASE WHEN k % 5 = 0 THEN '' WHEN k % 5 <> 1 THEN props END AS description
+  FROM ev LEFT JOIN documents d ON d.doc_id = ev.event_id
+),
+post AS (
+  SELECT raw.*, {_text("raw")},
+         len(regexp_extract_all(text, 'https?://')) AS n_urls,
+         len(regexp_extract_all(text, '#[A-Za-z0-9_]+')) AS n_hashtags,
+         len(regexp_extract_all(text, '@[A-Za-z0-9_]+')) AS n_mentions,
+         CASE WHEN event_type <> 'error' AND k <> 0 THEN 1 ELSE 0 END AS is_reply,
+         CASE WHEN contains(source, '{WEB_CLIENT}') THEN 'uso_web'
+              WHEN {" OR ".join(f"contains(source, '{m}')" for m in MOBILE_CLIENTS)} THEN 'uso_mobil'
+              ELSE 'uso_terceros' END AS client,
+         dayname(make_timestamp(sec * 1000000)) AS weekday,
+         hour(make_timestamp(sec * 1000000)) AS hour
+  FROM raw WHERE length(text) > 0
+),{_profiles("post")}"""
+
+
 def _shares(rows: str, group: str, values: dict[str, str]) -> str:
     """Share of rows of each group that satisfy each predicate."""
     columns = ",\n  ".join(
@@ -93,7 +98,9 @@ _BY_CLIENT = {c: f"client = '{c}'" for c in CLIENTS}
 _TEXT_MEANS = """round(avg(char_div), 6) AS avg_diversidad_lex, round(avg(n_chars), 6) AS avg_long_tweets,
   round(avg(n_words), 6) AS avg_palabras, round(avg(word_div), 6) AS avg_diversidad_palabras"""
 
-_POST_FEATURES = f"""
+
+def _post_features(rows: str) -> str:
+    return f"""
 SELECT user_id, count(*) AS "nroTweets",
   {", ".join(f'round(count(*) FILTER (WHERE {p}) * 1.0 / count(*), 6) AS "{n}"'
              for n, p in {**_BY_WEEKDAY, **_BY_HOUR, **_BY_CLIENT}.items())},
@@ -101,7 +108,10 @@ SELECT user_id, count(*) AS "nroTweets",
   round(avg(n_urls), 6) AS url_ratio, round(avg(n_hashtags), 6) AS avg_hashtags,
   round(avg(n_mentions), 6) AS mention_ratio, round(avg(is_reply), 6) AS reply_ratio,
   CAST(0 AS DOUBLE) AS avg_spam
-FROM post GROUP BY user_id"""
+FROM {rows} GROUP BY user_id"""
+
+
+_POST_FEATURES = _post_features("post")
 
 
 def _entropy(rows: str, group: str = "user_id", last: str = "110", longest: str = "n") -> str:
@@ -410,3 +420,13 @@ means AS (SELECT feature, avg(value) AS mean FROM cells GROUP BY feature)
 SELECT name AS feature, round(coalesce((SELECT sum(s) FROM shares WHERE shares.feature = number), 0) / 3, 6) AS importance,
   round(mean, 3) AS mean
 FROM (VALUES {_NUMBERS}) numbers(name, number) JOIN means ON means.feature = number"""
+
+ORACLES["account_features_two_classes"] = f"""
+WITH {_POSTS}, {_TWO_CLASSES}, {_entropy("two", "user_id, categoria")},{_profiles("two", "user_id, categoria", "own_")},
+kept AS (SELECT two.* FROM two JOIN corrected USING (user_id, categoria)),
+pf AS ({_post_features("kept")}),
+whole AS (
+  SELECT pf.*, p.* EXCLUDE (user_id) REPLACE (coalesce(n_favoritos, 0) AS n_favoritos,
+         coalesce(longitud_descripcion, 0) AS longitud_descripcion), entropia
+  FROM corrected JOIN own_profile_feature p USING (user_id, categoria) JOIN pf USING (user_id))
+SELECT * REPLACE ({", ".join(f'CAST("{c}" AS DOUBLE) AS "{c}"' for c in FEATURE_COLUMNS)}) FROM whole"""

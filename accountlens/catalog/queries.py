@@ -41,8 +41,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 PRECISION = 6
-#: Forests of the sample queries are small; the defaults of the API are larger.
-SMALL = {"num_trees": 5, "max_depth": 4, "folds": 2}
 
 
 def query(f: Query) -> Query:
@@ -355,6 +353,14 @@ def account_features_labelled(spark, sf_dir):
     return rounded(out.select(ACCOUNT, "categoria", "nroTweets", *columns), columns)
 
 
+@query
+def account_features_two_classes(spark, sf_dir):
+    """All 55 features of accounts in two classes: one row per class, the posts of both."""
+    out = features.account_features(_two_classes(spark, sf_dir), labelled=True).drop("createdAt")
+    shown = out.withColumn("cuenta_creada", F.col("cuenta_creada").cast("string"))
+    return rounded(shown, FEATURE_COLUMNS)
+
+
 @query
 def overlapping_accounts(spark, sf_dir):
     both = features.overlapping_accounts(_two_classes(spark, sf_dir))
@@ -483,17 +489,17 @@ def prediction_rate(spark, sf_dir):
 
 
 @lru_cache(maxsize=8)
-def _spam_training(spark: SparkSession, sf_dir: str, folds: int = SMALL["folds"]) -> spam.SpamTraining:
+def _spam_training(spark: SparkSession, sf_dir: str) -> spam.SpamTraining:
     texts = labelled_texts(spark, sf_dir)
     toxic = F.col("toxic") == 1
-    return spam.train_spam(texts.where(toxic), texts.where(~toxic), **{**SMALL, "folds": folds})
+    return spam.train_spam(texts.where(toxic), texts.where(~toxic))
 
 
 @lru_cache(maxsize=8)
 def _judge_training(spark: SparkSession, sf_dir: str) -> judge.JudgeTraining:
     everything = posts(spark, sf_dir)
     by_class = [everything.where(F.col("user.id") % 3 == c) for c in (0, 1, 2)]
-    return judge.train_judge(*by_class, spam_model=_spam_training(spark, sf_dir).model, **SMALL)
+    return judge.train_judge(*by_class, spam_model=_spam_training(spark, sf_dir).model)
 
 
 def _models(spark, sf_dir):
@@ -515,7 +521,7 @@ def spam_rate(spark, sf_dir):
 @query
 def cross_validate(spark, sf_dir):
     """Five folds for each bin count: mean accuracy per candidate."""
-    result = _spam_training(spark, sf_dir, folds=5)
+    result = _spam_training(spark, sf_dir)
     return spark.createDataFrame(
         [(float(b), a) for b, a in zip((50, 100), result.cv_accuracy, strict=True)],
         "max_bins double, accuracy double",
@@ -581,7 +587,7 @@ def out_of_fold(spark, sf_dir):
     rows = spam.hashed_counts(texts).select("id", F.col("toxic").cast("double").alias("label"), "rawFeatures")
     with stored(rows, "folds") as training:
         cv = forest.cross_validated_forest(
-            training, "label", spam.PREDICTION, "rawFeatures", spam.SPAM_SEED, ["id"], **SMALL, keep_folds=True
+            training, "label", spam.PREDICTION, "rawFeatures", spam.SPAM_SEED, ["id"], keep_folds=True
         )
         predicted = forest.out_of_fold(cv, training, spam.SPAM_SEED, ["id"])
         return checkpointed(predicted.select("id", "label", "fold", "max_bins", spam.PREDICTION))

@@ -18,8 +18,9 @@ MAX_DEPTH = 8
 FOLDS = 5
 MAX_BINS = (50, 100)
 
-#: Partitions of a training frame. The bootstrap samples depend on them, so the number is fixed.
-PARTITIONS = 16
+#: Rows of a partition of a training frame, about. The bootstrap samples depend on the partitions, so
+#: their number follows from the rows alone.
+PARTITION_ROWS = 20_000
 
 
 def cross_validated_forest(
@@ -33,8 +34,8 @@ def cross_validated_forest(
     max_depth: int = MAX_DEPTH,
     folds: int = FOLDS,
     max_bins: Sequence[int] = MAX_BINS,
-    parallelism: int = 4,
-    partitions: int = PARTITIONS,
+    parallelism: int = 8,
+    partition_rows: int = PARTITION_ROWS,
     keep_folds: bool = False,
 ) -> CrossValidatorModel:
     """Fit every candidate on every fold, several at a time; best by accuracy.
@@ -45,9 +46,10 @@ def cross_validated_forest(
     partitioned. Rows that share their keys share a fold. ``keep_folds`` keeps the models of each fold,
     for :func:`out_of_fold`.
     """
+    partitions = -(-training.count() // partition_rows)
     training = (
         training.withColumn("fold", fold_of(keys, seed, folds))
-        .repartition(partitions, *keys)
+        .repartition(max(1, partitions), *keys)
         .sortWithinPartitions(*keys, label)
     )
     forest = RandomForestClassifier(
