@@ -259,6 +259,12 @@ SELECT doc_id AS id, length(text) AS n_chars, CAST(toxic AS DOUBLE) AS label FRO
 SELECT user_id, {", ".join(f'"{d}"' for d in WEEKDAYS)} FROM ({_shares("cal", "user_id", _BY_WEEKDAY)})""",
     "retention_filter": """
 SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 3 DAY""",
+    "appended_runs": f"""
+WITH {_EVENTS}
+SELECT event_id, CAST(k % 3 AS VARCHAR) AS run, strftime(ts, '%Y-%m-%d') AS day FROM ev WHERE k % 3 <> 1 OR k > 50""",
+    "expired_rows": f"""
+WITH {_EVENTS}
+SELECT event_id, CAST(k % 2 AS VARCHAR) AS run FROM ev WHERE ts > TIMESTAMP '2024-01-15 13:30:00'""",
     "parse_created_at": "SELECT event_id, epoch_us(date_trunc('second', ts)) // 1000000 AS sec FROM events",
     "calendar_parts": """
 SELECT event_id, year(ts) AS ano, month(ts) AS mes, dayname(ts) AS dia, hour(ts) AS hora FROM events""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import date, datetime, timezone
 from functools import lru_cache
 
 from pyspark.ml.functions import vector_to_array
@@ -26,9 +27,11 @@ from accountlens.schema import (
     HUMAN,
     WEEKDAYS,
 )
-from accountlens.session import checkpointed, new_path, stored
+from accountlens.session import checkpointed, scratch_paths, stored
 from accountlens.sources.posts import posts_from_lines, read_posts, read_texts
 from accountlens.sources.tables import (
+    compact,
+    expire,
     read_rows,
     read_training_set,
     store_run,
@@ -78,31 +81,35 @@ def json_extract(spark, sf_dir):
 @query
 def timeline_scan(spark, sf_dir):
     """Posts written as JSON-lines files and read back through a glob."""
-    path = new_path(spark, "timelines")
-    posts(spark, sf_dir).write.json(path)
-    return read_posts(spark, f"{path}/*").select(
-        "id",
-        F.col("user.id").alias(ACCOUNT),
-        F.col("user.screen_name").alias("nombre_usuario"),
-        "source",
-        F.col("in_reply_to_status_id").alias("reply_to"),
-        F.length("text").cast("long").alias("n_chars"),
-        scalars.size_or_zero("entities.user_mentions").cast("long").alias("n_mentions"),
-    )
+    with scratch_paths(spark, "timelines") as [path]:
+        posts(spark, sf_dir).write.json(path)
+        return checkpointed(
+            read_posts(spark, f"{path}/*").select(
+                "id",
+                F.col("user.id").alias(ACCOUNT),
+                F.col("user.screen_name").alias("nombre_usuario"),
+                "source",
+                F.col("in_reply_to_status_id").alias("reply_to"),
+                F.length("text").cast("long").alias("n_chars"),
+                scalars.size_or_zero("entities.user_mentions").cast("long").alias("n_mentions"),
+            )
+        )
 
 
 @query
 def labelled_text_scan(spark, sf_dir):
     """Two sets of JSON lines read for their text alone, and marked with their class."""
     texts = labelled_texts(spark, sf_dir)
-    classes = {}
-    for label in (1, 0):
-        path = new_path(spark, f"texts-{label}")
-        texts.where(F.col("toxic") == label).select("id", "text", "source", "n_chars").write.json(path)
-        classes[float(label)] = read_texts(spark, path)
-    return evaluation.label_union(classes, "label").select(
-        "id", F.length("text").cast("long").alias("n_chars"), "label"
-    )
+    with scratch_paths(spark, "texts-1", "texts-0") as paths:
+        classes = {}
+        for label, path in zip((1, 0), paths):
+            texts.where(F.col("toxic") == label).select("id", "text", "source", "n_chars").write.json(path)
+            classes[float(label)] = read_texts(spark, path)
+        return checkpointed(
+            evaluation.label_union(classes, "label").select(
+                "id", F.length("text").cast("long").alias("n_chars"), "label"
+            )
+        )
 
 
 @query
@@ -110,11 +117,42 @@ def table_roundtrip(spark, sf_dir):
     """A feature table stored as a run and as a JSON training set, then read back."""
     rows = rounded(post_ops.weekday_profile(events(spark, sf_dir)), WEEKDAYS)
     stamped = rows.withColumn("createdAt", F.lit("2024-02-01 12:00:00").cast("timestamp"))
-    sink, training = new_path(spark, "runs"), new_path(spark, "training-set")
-    store_run(stamped, sink, "1")
-    stored_rows = read_rows(spark, sink).select(ACCOUNT, *WEEKDAYS)
-    write_training_set(stored_rows, training)
-    return read_training_set(spark, training, stored_rows.schema)
+    with scratch_paths(spark, "runs", "training-set") as [sink, training]:
+        store_run(stamped, sink, "1")
+        stored_rows = read_rows(spark, sink).select(ACCOUNT, *WEEKDAYS)
+        write_training_set(stored_rows, training)
+        return checkpointed(read_training_set(spark, training, stored_rows.schema))
+
+
+def _stamped_events(spark, sf_dir) -> DataFrame:
+    return events(spark, sf_dir).select("event_id", "k", F.col("ts").cast("timestamp").alias("createdAt"))
+
+
+@query
+def appended_runs(spark, sf_dir):
+    """Three runs of events over all days, merged by day, one of them repeated with fewer rows, merged again."""
+    rows = _stamped_events(spark, sf_dir)
+    with scratch_paths(spark, "runs") as [path]:
+        for run in range(3):
+            store_run(rows.where(F.col("k") % 3 == run), path, str(run))
+        compact(spark, path)
+        store_run(rows.where((F.col("k") % 3 == 1) & (F.col("k") > 50)), path, "1", overwrite=True)
+        compact(spark, path, before=date(2024, 1, 20))
+        found = read_rows(spark, path, schema=rows.schema)
+        return checkpointed(
+            found.select("event_id", F.col("run").cast("string").alias("run"), F.col("created_date").cast("string").alias("day"))
+        )
+
+
+@query
+def expired_rows(spark, sf_dir):
+    """What is left of two runs of events after expiry to the row."""
+    rows = _stamped_events(spark, sf_dir)
+    with scratch_paths(spark, "runs") as [path]:
+        for run in range(2):
+            store_run(rows.where(F.col("k") % 2 == run), path, str(run))
+        expire(spark, path, 10 * scalars.SECONDS_PER_DAY, datetime(2024, 1, 25, 13, 30, tzinfo=timezone.utc))
+        return checkpointed(read_rows(spark, path, schema=rows.schema).select("event_id", "run"))
 
 
 @query
@@ -608,11 +646,12 @@ def verdicts(spark, sf_dir):
 def model_roundtrip(spark, sf_dir):
     """A saved and reloaded detector predicts what the original does."""
     model = _spam_training(spark, sf_dir).model
-    path = new_path(spark, "spam-model")
-    judge.save_model(model, path)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     before = model.transform(docs).select("doc_id", F.col("predicted_label").alias("before"))
-    after = judge.load_model(path).transform(docs).select("doc_id", F.col("predicted_label").alias("after"))
+    with scratch_paths(spark, "spam-model") as [path]:
+        judge.save_model(model, path)
+        loaded = judge.load_model(path)
+    after = loaded.transform(docs).select("doc_id", F.col("predicted_label").alias("after"))
     return before.join(after, "doc_id").select("doc_id", (F.col("before") == F.col("after")).alias("agrees"))
 
 
@@ -623,21 +662,23 @@ def score_stream(spark, sf_dir):
     The last score of an account must be that of its whole timeline.
     """
     spam_detector, classifier = _models(spark, sf_dir)
-    source, sink, checkpoint = (new_path(spark, n) for n in ("timelines", "scores", "stream"))
     everything = posts(spark, sf_dir)
-    for delivery in (0, 1):
-        arrived = everything.where(F.pmod(F.xxhash64("id"), F.lit(2)) == delivery)
-        arrived.write.mode("append").json(source)
-        scoring.score_stream(
-            spark, source, sink, checkpoint, classifier, spam_detector
-        ).awaitTermination()
-    streamed = scoring.latest_scores(spark, sink).select(ACCOUNT, F.col("probabilidades").alias("streamed"))
-    batch = judge.verdicts(judge.score_posts(read_posts(spark, source), classifier, spam_detector))
-    difference = F.aggregate(
-        F.zip_with("streamed", "probabilidades", lambda a, b: F.abs(a - b)),
-        F.lit(0.0),
-        lambda acc, d: acc + d,
-    )
-    return batch.join(streamed, ACCOUNT, "left").select(
-        ACCOUNT, F.coalesce(difference < 1e-9, F.lit(False)).alias("agrees")
-    )
+    with scratch_paths(spark, "timelines", "scores", "stream") as [source, sink, checkpoint]:
+        for delivery in (0, 1):
+            arrived = everything.where(F.pmod(F.xxhash64("id"), F.lit(2)) == delivery)
+            arrived.write.mode("append").json(source)
+            scoring.score_stream(
+                spark, source, sink, checkpoint, classifier, spam_detector
+            ).awaitTermination()
+        streamed = scoring.latest_scores(spark, sink).select(ACCOUNT, F.col("probabilidades").alias("streamed"))
+        batch = judge.verdicts(judge.score_posts(read_posts(spark, source), classifier, spam_detector))
+        difference = F.aggregate(
+            F.zip_with("streamed", "probabilidades", lambda a, b: F.abs(a - b)),
+            F.lit(0.0),
+            lambda acc, d: acc + d,
+        )
+        return checkpointed(
+            batch.join(streamed, ACCOUNT, "left").select(
+                ACCOUNT, F.coalesce(difference < 1e-9, F.lit(False)).alias("agrees")
+            )
+        )

@@ -75,6 +75,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def scratch_paths(spark: SparkSession, *names: str) -> Iterator[list[str]]:
+    """Unused paths under the shared folder, deleted on exit: nothing that is read later may lie there."""
+    paths = [new_path(spark, n) for n in names]
+    try:
+        yield paths
+    finally:
+        for path in paths:
+            delete_path(spark, path)
+
+
 @contextmanager
 def stored(df: DataFrame, name: str) -> Iterator[DataFrame]:
     """``df`` written once to the shared folder and read back; removed on exit.

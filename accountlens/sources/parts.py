@@ -12,9 +12,10 @@ the last two steps a reader may see rows twice, but none is ever missing.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from accountlens.session import delete_path
 
@@ -52,17 +53,32 @@ def size(spark: SparkSession, path: str) -> int:
 
 
 def stage(
-    spark: SparkSession, root: str, folder: str, rows: DataFrame | None, old: Sequence[str], name: str, fmt: str
+    spark: SparkSession,
+    root: str,
+    rows: DataFrame | None,
+    column: str,
+    old: Mapping[str, Sequence[str]],
+    name: str,
+    fmt: str = "parquet",
+    files: int = 1,
 ) -> str:
-    """Write ``rows`` as the part that will replace ``old``; returns where they wait."""
+    """Write ``rows`` as the parts that will replace ``old`` (folder: parts); returns where they wait.
+
+    ``rows`` have the partition ``column``, by whose value they go to their folders, all in one job, in
+    ``files`` files a folder at most. A folder without rows only loses its old parts.
+    """
     path = f"{root}/{_STAGED}{uuid.uuid4().hex}"
-    fs, target = _file_system(spark, f"{path}/{folder}")
-    fs.mkdirs(target)
     if rows is not None:
-        rows.write.format(fmt).save(f"{path}/{folder}/{PART}={name}")
-    out = fs.create(_file_system(spark, f"{path}/{folder}/{_REPLACES}")[1])
-    out.write("\n".join(old).encode())
-    out.close()
+        share = F.pmod(F.xxhash64(*rows.columns), F.lit(files))
+        dealt = rows.repartition(F.col(column), share) if files > 1 else rows.repartition(column)
+        dealt.withColumn(PART, F.lit(name)).write.format(fmt).partitionBy(column, PART).save(path)
+    fs, _ = _file_system(spark, path)
+    at = lambda below: _file_system(spark, f"{path}/{below}")[1]
+    for folder, parts_ in old.items():
+        fs.mkdirs(at(folder))
+        out = fs.create(at(f"{folder}/{_REPLACES}"))
+        out.write("\n".join(parts_).encode())
+        out.close()
     return path
 
 
@@ -70,14 +86,17 @@ def finish(spark: SparkSession, root: str, ready: str) -> None:
     """Move what waits under ``ready`` into the table and drop what it replaces; may be repeated."""
     fs, _ = _file_system(spark, root)
     at = lambda path: _file_system(spark, path)[1]
-    for folder in _names(spark, ready):
+    for folder in folders(spark, ready):
         for part in _names(spark, f"{ready}/{folder}"):
             fs.mkdirs(at(f"{root}/{folder}"))
             if not fs.exists(at(f"{root}/{folder}/{part}")):
                 fs.rename(at(f"{ready}/{folder}/{part}"), at(f"{root}/{folder}/{part}"))
-        record = fs.open(at(f"{ready}/{folder}/{_REPLACES}"))
-        old = bytes(record.readAllBytes()).decode().split("\n")
-        record.close()
+        record = at(f"{ready}/{folder}/{_REPLACES}")
+        old = []
+        if fs.exists(record):
+            listed = fs.open(record)
+            old = bytes(listed.readAllBytes()).decode().split("\n")
+            listed.close()
         for part in filter(None, old):
             fs.delete(at(f"{root}/{folder}/{PART}={part}"), True)
         if not _names(spark, f"{root}/{folder}"):
@@ -86,10 +105,17 @@ def finish(spark: SparkSession, root: str, ready: str) -> None:
 
 
 def replace(
-    spark: SparkSession, root: str, folder: str, rows: DataFrame | None, old: Sequence[str], name: str, fmt: str = "parquet"
+    spark: SparkSession,
+    root: str,
+    rows: DataFrame | None,
+    column: str,
+    old: Mapping[str, Sequence[str]],
+    name: str,
+    fmt: str = "parquet",
+    files: int = 1,
 ) -> None:
-    """Put ``rows`` (without partition columns; None: nothing) in the place of a folder's parts ``old``."""
-    staged = stage(spark, root, folder, rows, old, name, fmt)
+    """Put ``rows`` in the place of parts of some folders, as :func:`stage` takes them."""
+    staged = stage(spark, root, rows, column, old, name, fmt, files)
     ready = staged.replace(_STAGED, _READY)
     fs, target = _file_system(spark, staged)
     fs.rename(target, _file_system(spark, ready)[1])

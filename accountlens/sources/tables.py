@@ -92,24 +92,34 @@ def read_run(
 
 
 def forget_run(spark: SparkSession, path: str, run: str, fmt: str = "parquet") -> None:
-    """Remove all rows of a run."""
+    """Remove all rows of a run: its own parts, and its rows in the compacted parts that hold any."""
     path = path.rstrip("/")
-    there = {folder: files.parts(spark, path, folder) for folder in files.folders(spark, path)}
-    for folder, names in there.items():
+    moved = {}
+    for folder in files.folders(spark, path):
+        names = files.parts(spark, path, folder)
         if run in names:
             files.drop(spark, path, folder, run)
-        moved = [n for n in names if n.startswith(COMPACTED)]
-        if moved:
-            rows = _read(spark, path, fmt, None, *(f"{folder}/{files.PART}={n}" for n in moved))
-            if not rows.where(F.col(RUN) == run).isEmpty():
-                _rewrite(spark, path, folder, rows.where(F.col(RUN) != run), moved, fmt)
+        if compacted := [n for n in names if n.startswith(COMPACTED)]:
+            moved[folder] = compacted
+    if not moved:
+        return
+    rows = _read(spark, path, fmt, None, *_below(moved))
+    days = rows.where(F.col(RUN) == run).select(F.col(DAY).cast("string")).distinct().collect()
+    touched = {f"{DAY}={day}": moved[f"{DAY}={day}"] for (day,) in days}
+    if touched:
+        rows = _read(spark, path, fmt, None, *_below(touched))
+        _rewrite(spark, path, rows.where(F.col(RUN) != run), touched, fmt)
+
 
+def _below(parts: dict[str, list[str]]) -> list[str]:
+    return [f"{folder}/{files.PART}={n}" for folder, names in parts.items() for n in names]
 
-def _rewrite(spark: SparkSession, path: str, folder: str, rows: DataFrame, old: list[str], fmt: str) -> None:
-    """One part of few large files in place of some parts of a day."""
-    n_bytes = sum(files.size(spark, f"{path}/{folder}/{files.PART}={n}") for n in old)
-    kept = rows.drop(DAY, files.PART).coalesce(1 + n_bytes // FILE_BYTES)
-    files.replace(spark, path, folder, kept, old, f"{COMPACTED}{uuid.uuid4().hex}", fmt)
+
+def _rewrite(spark: SparkSession, path: str, rows: DataFrame, old: dict[str, list[str]], fmt: str) -> None:
+    """One part of few large files in place of some parts of each of some days, in one job."""
+    largest = max(sum(files.size(spark, f"{path}/{folder}/{files.PART}={n}") for n in names) for folder, names in old.items())
+    name = f"{COMPACTED}{uuid.uuid4().hex}"
+    files.replace(spark, path, rows.drop(files.PART), DAY, old, name, fmt, 1 + largest // FILE_BYTES)
 
 
 def compact(
@@ -123,15 +133,15 @@ def compact(
     """
     path = path.rstrip("/")
     files.recover(spark, path)
-    done = []
-    for folder in files.folders(spark, path):
-        day, names = folder.split("=", 1)[1], files.parts(spark, path, folder)
-        if len(names) < 2 or before is not None and day >= before.isoformat():
-            continue
-        rows = _read(spark, path, fmt, None, *(f"{folder}/{files.PART}={n}" for n in names))
-        _rewrite(spark, path, folder, rows, names, fmt)
-        done.append(day)
-    return done
+    there = {folder: files.parts(spark, path, folder) for folder in files.folders(spark, path)}
+    old = {
+        folder: names
+        for folder, names in there.items()
+        if len(names) > 1 and (before is None or folder.split("=", 1)[1] < before.isoformat())
+    }
+    if old:
+        _rewrite(spark, path, _read(spark, path, fmt, None, *_below(old)), old, fmt)
+    return [folder.split("=", 1)[1] for folder in old]
 
 
 def _as_of(as_of: Column | datetime | None) -> Column:
@@ -189,12 +199,12 @@ def expire(
     folder = f"{DAY}={horizon.date().isoformat()}"
     names = files.parts(spark, path, folder)
     if names:
-        rows = _read(spark, path, fmt, None, *(f"{folder}/{files.PART}={n}" for n in names))
+        rows = _read(spark, path, fmt, None, *_below({folder: names}))
         live = F.col(stamp) > F.timestamp_micros(F.lit(_micros(horizon)))
         counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(live).alias("live")).first()
         if counts["live"] < counts["n"]:
             if counts["live"]:
-                _rewrite(spark, path, folder, rows.where(live), names, fmt)
+                _rewrite(spark, path, rows.where(live), {folder: names}, fmt)
             else:
                 files.drop(spark, path, folder)
             changed.append(horizon.date().isoformat())

@@ -63,15 +63,15 @@ def timelines_of_batch(spark: SparkSession, path: str, batch_id: int, schema: St
 def compact(spark: SparkSession, path: str, below: int, most_parts: int = MOST_PARTS) -> list[str]:
     """Merge the parts of buckets that have more than ``most_parts``, of batches ``below`` a number."""
     files.recover(spark, path)
-    done = []
+    old = {}
     for folder in files.folders(spark, path):
         names = files.parts(spark, path, folder)
-        old = [n for n in names if not n.startswith("batch-") or int(n.removeprefix("batch-")) < below]
-        if len(names) <= most_parts or len(old) < 2:
-            continue
-        paths = [f"{path}/{folder}/{files.PART}={n}" for n in old]
-        n_files = 1 + sum(files.size(spark, p) for p in paths) // FILE_BYTES
-        merged = spark.read.parquet(*paths).coalesce(n_files)
-        files.replace(spark, path, folder, merged, old, f"merged-{uuid.uuid4().hex}")
-        done.append(folder)
-    return done
+        due = [n for n in names if not n.startswith("batch-") or int(n.removeprefix("batch-")) < below]
+        if len(names) > most_parts and len(due) > 1:
+            old[folder] = due
+    if old:
+        paths = {folder: [f"{path}/{folder}/{files.PART}={n}" for n in names] for folder, names in old.items()}
+        largest = max(sum(files.size(spark, p) for p in own) for own in paths.values())
+        rows = spark.read.option("basePath", path).parquet(*(p for own in paths.values() for p in own)).drop(files.PART)
+        files.replace(spark, path, rows, BUCKET, old, f"merged-{uuid.uuid4().hex}", files=1 + largest // FILE_BYTES)
+    return list(old)

@@ -203,8 +203,8 @@ def test_an_interrupted_rewrite_loses_and_repeats_nothing(spark, tmp_path, done)
     store_run(stamped(spark, [0]), path, "a")
     store_run(stamped(spark, [0]), path, "b")
     folder = "created_date=2024-01-31"
-    rows = spark.read.option("basePath", path).parquet(f"{path}/{folder}").drop("created_date", "part")
-    staged = parts.stage(spark, path, folder, rows, ["a", "b"], "compacted-x", "parquet")
+    rows = spark.read.option("basePath", path).parquet(f"{path}/{folder}").drop("part")
+    staged = parts.stage(spark, path, rows, "created_date", {folder: ["a", "b"]}, "compacted-x")
     assert read_rows(spark, path).count() == 2
     if done != "staged":
         ready = staged.replace("_staged", "_ready")
