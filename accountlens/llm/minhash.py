@@ -32,7 +32,7 @@ BINS = BANDS * ROWS
 #: Links: NUMERATOR / DENOMINATOR of the union is shared at least.
 NUMERATOR, DENOMINATOR = 75, 100
 #: Star rounds.
-TURNS = 4
+TURNS = 3
 #: A bucket's rows are spread over so many keys when its hub is sent to them.
 _SALTS = 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -162,6 +162,17 @@ def _stars(members: DataFrame, turn: int) -> DataFrame:
     )
 
 
+def _near_labels(links: DataFrame) -> DataFrame:
+    """(node, component): the least node within two links; one for all of a star, and never of two parts.
+
+    Enough to tell what has been joined so far; what it holds apart is only looked at once more.
+    """
+    both = links.union(links.select("b", "a")).toDF("u", "v")
+    once = checkpointed(both.groupBy("u").agg(F.least("u", F.min("v")).alias("least")))
+    met = both.join(once.toDF("v", "next"), "v").groupBy("u").agg(F.min("next").alias("next"))
+    return met.join(once, "u").select(F.col("u").alias("node"), F.least("least", "next").alias("component"))
+
+
 def _apart(members: DataFrame, found: DataFrame | None) -> DataFrame:
     """Members of the buckets that fall into several parts, with their part and the largest of the bucket."""
     if found is None:
@@ -210,7 +221,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         more = checkpointed(confirmed(pairs, sets))
         links, tried = (more, pairs) if links is None else (links.union(more), tried.union(pairs))
-        found = checkpointed(components(links))
+        found = checkpointed(_near_labels(links))
     if links is None:
         links = known.select(F.col("node").alias("a"), F.col("node").alias("b")).where(F.lit(False))
     # rows that repeat a doc_id with another set connect the two sets
