@@ -91,6 +91,16 @@ class Vocabulary:
     def __init__(self, tokens: list[bytes], ids: list[int]) -> None:
         self.tokens, self.ids = tokens, np.array(ids, dtype=np.int64)
         self.hash = PerfectHash(tokens)
+        self.encoders: dict[str, Encoder] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"encoders": {}}
+
+    def encoder(self, pattern: str) -> Encoder:
+        """The encoder of a pattern; it and the pieces it remembers serve all tasks of a worker."""
+        if pattern not in self.encoders:
+            self.encoders[pattern] = Encoder(self, pattern)
+        return self.encoders[pattern]
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -156,21 +166,37 @@ class Encoder:
             known[p] = (int(ids[k]),) if tokens[k] == r else self.merged(r)
         return known
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode_array(self, texts: list[str]) -> pa.ListArray:
+        """Ids of each text; the distinct pieces are looked up once, the texts put together from them."""
         split = [self.pieces(t) for t in texts]
-        table = self.table(set(chain.from_iterable(split)))
-        return [list(chain.from_iterable(map(table.__getitem__, s))) for s in split]
+        distinct = list(set(chain.from_iterable(split)))
+        known = self.table(set(distinct))
+        place = dict(zip(distinct, range(len(distinct))))
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        numbers = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        table = pa.array([known[p] for p in distinct], pa.list_(pa.int32()))
+        lengths = np.diff(table.offsets.to_numpy())[numbers] if distinct else numbers
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), table.take(pa.array(numbers)).flatten())
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.encode_array(texts).to_pylist()
 
     def encode_long(self, text: str) -> list[int]:
-        """As ``encode``, of one text, a slice at a time."""
-        ids: list[int] = []
+        """Ids of one text, a slice at a time."""
+        return self.long_array(text).to_pylist()[0]
+
+    def long_array(self, text: str) -> pa.ListArray:
+        """As ``encode_array``, of one text, a slice at a time."""
+        ids: list[pa.Array] = []
         start = 0
         while start < len(text):
             cut = _CUT.search(text, start + TEXT_SLICE) if len(text) - start > TEXT_SLICE else None
             end = cut.start() if cut else len(text)
-            ids += self.encode([text[start:end]])[0]
+            ids.append(self.encode_array([text[start:end]]).flatten())
             start = end
-        return ids
+        flat = pa.concat_arrays(ids) if ids else pa.array([], pa.int32())
+        return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
 
 
 def encode(
@@ -185,7 +211,7 @@ def encode(
     vocabulary = spark.sparkContext.broadcast(Vocabulary.read(vocabulary_path))
 
     def make():
-        encoder = Encoder(vocabulary.value, pattern)
+        encoder = vocabulary.value.encoder(pattern)
 
         def work(batch: pa.RecordBatch) -> list:
             ids: list[pa.Array] = []
@@ -195,7 +221,7 @@ def encode(
             def flush() -> None:
                 nonlocal size
                 if held:
-                    ids.append(pa.array(encoder.encode(held), pa.list_(pa.int32())))
+                    ids.append(encoder.encode_array(held))
                     held.clear()
                     size = 0
 
@@ -203,7 +229,7 @@ def encode(
                 text = value.as_py() or ""
                 if len(text) > TEXT_SLICE:
                     flush()
-                    ids.append(pa.array([encoder.encode_long(text)], pa.list_(pa.int32())))
+                    ids.append(encoder.long_array(text))
                     continue
                 held.append(text)
                 size += len(text)
@@ -223,22 +249,44 @@ def encode(
     ).withColumnRenamed("id", id_col)
 
 
+def _strings(tokens: pa.Array, parts: list[pa.Array], counts: list[int]) -> list[bytes]:
+    """The tokens of each row's ids, joined; ``parts`` are the ids of rows that have any."""
+    if not parts:
+        return [b""] * len(counts)
+    taken = tokens.take(pa.concat_arrays(parts))
+    ends = np.frombuffer(taken.buffers()[1], np.int64)[np.concatenate([[0], np.cumsum(counts)])].tolist()
+    data = memoryview(taken.buffers()[2]) if taken.buffers()[2] else memoryview(b"")
+    return [bytes(data[s:e]) for s, e in zip(ends[:-1], ends[1:])]
+
+
 def decode(encoded: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, ids, decoded binary): the bytes that the ids stand for; null ids are none."""
-    spark = encoded.sparkSession
-    vocabulary = Vocabulary.read(vocabulary_path)
-    listed: list[bytes] = [b""] * (int(vocabulary.ids.max()) + 1)
-    for token, i in zip(vocabulary.tokens, vocabulary.ids.tolist()):
-        listed[i] = token
-    table = spark.sparkContext.broadcast(listed)
+    with open(vocabulary_path, "rb") as f:
+        pairs = [line.split() for line in f if line.strip()]
+    listed = [b""] * (max((int(r) for _, r in pairs), default=-1) + 1)
+    for token, rank in pairs:
+        listed[int(rank)] = base64.b64decode(token)
+    strings = encoded.sparkSession.sparkContext.broadcast(listed)
 
     def make():
-        tokens = table.value
+        tokens = pa.array(strings.value, pa.large_binary())
 
         def work(batch: pa.RecordBatch) -> list:
             rows = batch.column(1)
-            decoded = [b"".join(map(tokens.__getitem__, r.values.to_pylist() if r.is_valid else ())) for r in rows]
-            return [batch.column(0), rows, pa.array(decoded, pa.binary())]
+            out, counts, held = [], [], 0
+            parts = []
+            for row in rows:
+                ids = row.values if row.is_valid else None
+                counts.append(len(ids) if ids is not None else 0)
+                if counts[-1]:
+                    parts.append(ids)
+                held += counts[-1]
+                # a bounded number of ids is put together at a time
+                if held >= TEXT_SLICE:
+                    out += _strings(tokens, parts, counts)
+                    counts, parts, held = [], [], 0
+            out += _strings(tokens, parts, counts)
+            return [batch.column(0), rows, pa.array(out, pa.binary())]
 
         return work
 
