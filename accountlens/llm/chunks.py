@@ -22,10 +22,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from accountlens.llm.common import checkpointed, map_arrow
+from accountlens.llm.common import Scratch, checkpointed, map_arrow
+from accountlens.llm.lines import text_key
 
 #: A chunk ends once in 2 ** BITS bytes, before LEAST.
 BITS = 4
@@ -35,6 +36,8 @@ WORDS = 14
 #: Bytes hashed at a time; what goes before is carried over.
 _SLICE = 1 << 22
 _WINDOW = 16
+#: Bits that mark repeated digests: 16 MB.
+MARKS = 1 << 27
 #: Where a chunk stands; texts of one id are kept apart.
 _PLACE = ("doc_id", "text_key", "start")
 _GEAR = np.random.default_rng(20).integers(0, 1 << 16, 256, dtype=np.uint16)
@@ -71,21 +74,35 @@ def chunk_ends(data: bytes) -> np.ndarray:
     return ends
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_key, start, end, digest_a, digest_b) of every chunk; text_key is a digest of the text."""
+def chunks(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marked: np.ndarray | None = None, key: Column | None = None
+) -> DataFrame:
+    """(doc_id, text_key, start, end, digest_a, digest_b) of every chunk; text_key tells texts of an id apart.
+
+    ``marked``: bits as of :func:`marked_digests`; only chunks whose bit is set are returned.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(marked) if marked is not None else None
 
     def make():
+        bits = shared.value if shared is not None else None
+
         def work(batch: pa.RecordBatch) -> list:
             ids, keys, starts, ends, digests = [], [], [], [], []
             for i, value, key in zip(*(batch.column(k) for k in range(3))):
                 data = (value.as_py() or "").encode()
                 end = chunk_ends(data)
                 start = np.r_[0, end[:-1]] if len(end) else end
+                found = b"".join(xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(start.tolist(), end.tolist()))
+                if bits is not None:
+                    at = np.frombuffer(found, np.int64)[::2] & (MARKS - 1)
+                    kept = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+                    start, end = start[kept], end[kept]
+                    found = np.frombuffer(found, np.int64).reshape(-1, 2)[kept].tobytes()
+                digests.append(found)
                 starts.append(start)
                 ends.append(end)
                 ids.append(np.full(len(end), i.as_py(), np.int64))
                 keys.append(np.full(len(end), key.as_py(), np.int64))
-                digests += [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(start.tolist(), end.tolist())]
             pairs = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             join = lambda x: np.concatenate(x).astype(np.int32) if x else np.empty(0, np.int32)
             long = lambda x: np.concatenate(x) if x else []
@@ -94,15 +111,29 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         return work
 
     return map_arrow(
-        _texts(docs, id_col, text_col).where("doc_id is not null"), make,
+        _texts(docs, id_col, text_col, key).where("doc_id is not null"), make,
         "doc_id long, text_key long, start int, end int, digest_a long, digest_b long",
     )
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key")
-    )
+def _texts(docs: DataFrame, id_col: str, text_col: str, key: Column | None = None) -> DataFrame:
+    key = text_key(docs, id_col, text_col) if key is None else key
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("text_key"))
+
+
+def marked_digests(found: DataFrame) -> np.ndarray:
+    """``MARKS`` bits, set where the first half of a digest falls that two documents have.
+
+    A first look at the chunks, by half a digest and the id alone: what isn't marked is in one document
+    only and needn't be moved again. A set of fixed size, whatever the corpus; a fuller one keeps out less.
+    """
+    repeated = found.groupBy("digest_a").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    at = F.col("digest_a").bitwiseAND(MARKS - 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
+    words = repeated.groupBy(F.shiftrightunsigned(at, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(MARKS // 64, np.int64)
+    bits[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return bits.view(np.uint64)
 
 
 def repeated_chunks(found: DataFrame) -> DataFrame:
@@ -121,9 +152,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     ``later``: (start, end) of the stretches without a kept occurrence.
     """
-    runs = checkpointed(_runs(repeated_chunks(chunks(docs, id_col, text_col))))
+    key = text_key(docs, id_col, text_col)
+    marked = marked_digests(chunks(docs, id_col, text_col, key=key))
+    with Scratch(docs.sparkSession) as scratch:
+        found = scratch(chunks(docs, id_col, text_col, marked, key))
+        runs = checkpointed(_runs(repeated_chunks(found)))
     by_doc = runs.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "later"))).alias("runs"))
-    texts = _texts(docs, id_col, text_col).dropDuplicates(["doc_id", "text_key"])
+    texts = _texts(docs, id_col, text_col, key).where("doc_id is not null")
+    alone = texts.where("text_key = 0")
+    texts = alone.union(texts.where("text_key <> 0").dropDuplicates(["doc_id", "text_key"]))
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
     def make():
