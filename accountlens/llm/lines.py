@@ -19,6 +19,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from accountlens.llm.common import Scratch, checkpointed
 
@@ -27,6 +28,8 @@ BUCKETS = 1 << 15
 _SALTS = 16
 #: What tells a line from all others, in the order of lines.
 _PLACE = ("doc_id", "line_no", "row")
+#: Bits of a line number in a place that is a long.
+_LINE_BITS = 24
 
 
 def _words(text: Column) -> Column:
@@ -104,7 +107,24 @@ def _candidates(sets: DataFrame, earlier: DataFrame, threshold: float, all_words
     return scratch(met.select("at", "at_1"))
 
 
-def _hashed(*columns: str) -> Column:
+def _place(texts: DataFrame) -> Column:
+    """Where a line stands, in the order of lines, as one value that can be compared and grouped by.
+
+    A long of doc_id and line number where all fit and no id needs a digest, else a struct: it is moved
+    many times, and a long is a fifth of the struct.
+    """
+    row = texts.agg(
+        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"),
+        F.count_if(F.col("doc_id").isNull() | (F.col("row") != 0)).alias("apart"), F.max(F.octet_length("text")).alias("bytes"),
+    ).first()
+    whole = isinstance(texts.schema["doc_id"].dataType, (LongType, IntegerType, ShortType, ByteType))
+    # a text has no more lines than bytes, and one
+    if whole and not row["apart"] and (row["least"] or 0) >= 0 and (row["most"] or 0) < 1 << 62 - _LINE_BITS and (row["bytes"] or 0) + 1 < 1 << _LINE_BITS:
+        return F.call_function("shiftleft", F.col("doc_id").cast("long"), F.lit(_LINE_BITS)).bitwiseOR(F.col("line_no").cast("long"))
+    return F.struct(*_PLACE)
+
+
+def _hashed(*columns: str | Column) -> Column:
     return F.xxhash64(*columns).bitwiseAND(64 * BUCKETS - 1)
 
 
@@ -119,19 +139,20 @@ def _bits(needed: DataFrame, *columns: str) -> np.ndarray:
     return bits
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, classes: Column, threshold: float, scratch: Scratch) -> DataFrame:
+def _confirmed(
+    pairs: DataFrame, texts: DataFrame, place: Column, classes: Column, threshold: float, scratch: Scratch
+) -> DataFrame:
     """(at): the later lines of the pairs whose whole sets are similar. Sets come from the texts anew."""
-    at = F.struct(*_PLACE).alias("at")
-    needed = scratch(pairs.select("at").union(pairs.select("at_1")).distinct())
-    needed = needed.select(F.col("at.doc_id").alias("need_id"), F.col("at.line_no").alias("need_no"), F.col("at.row").alias("need_row"))
-    same = F.col("doc_id").eqNullSafe(F.col("need_id")) & (F.col("line_no") == F.col("need_no")) & (F.col("row") == F.col("need_row"))
-    maybe = F.get(F.lit(_bits(needed, "need_id", "need_no", "need_row")), F.shiftrightunsigned(_hashed(*_PLACE), 6).cast("int"))
-    bit = F.call_function("shiftrightunsigned", maybe, _hashed(*_PLACE).bitwiseAND(63).cast("int"))
+    needed = scratch(pairs.select("at").union(pairs.select(F.col("at_1").alias("at"))).distinct())
+    at = _hashed("at")
+    maybe = F.get(F.lit(_bits(needed, "at")), F.shiftrightunsigned(at, 6).cast("int"))
+    bit = F.call_function("shiftrightunsigned", maybe, at.bitwiseAND(63).cast("int"))
     full = scratch(
         _lines(texts)
+        .select(place.alias("at"), "line")
         .where(bit.bitwiseAND(1) == 1)
-        .join(needed, same, "leftsemi")
-        .select(at, _ranked(F.col("line"), classes).alias("words"))
+        .join(needed, "at", "leftsemi")
+        .select("at", _ranked(F.col("line"), classes).alias("words"))
         .dropDuplicates(["at"])
     )
     shared = F.size(F.array_intersect("words", "words_1"))
@@ -177,7 +198,7 @@ def removed_lines(
 
 
 def _removed(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    classes = F.lit(rarity(texts) << 58)
+    classes, at = F.lit(rarity(texts) << 58), _place(texts)
     words = _lines(texts).withColumn("words", _ranked(F.col("line"), classes)).where(F.size("words") > 0)
     n = F.size("words")
     keys = ["key_a", "key_b"]
@@ -188,7 +209,6 @@ def _removed(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
             F.slice("words", 1, _prefix(n, threshold)).alias("prefix"),
         )
     )
-    at = F.struct(*_PLACE)
     first = [F.first(c).alias(c) for c in ("n", "parity", "prefix")]
     sets = scratch(lines.groupBy(*keys).agg(F.min(at).alias("at"), *first))
     place = sets.select("at", "n", "parity", F.posexplode("prefix").alias("pos", "word"))
@@ -197,11 +217,12 @@ def _removed(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     hubs = scratch(place.groupBy("word").agg(hub, F.count("*").alias("sets")).where("sets > 1").drop("sets"))
     by_word = [F.col(f"hub.{c}").alias(f"{c}_1") for c in ("at", "n", "parity", "pos")]
     found = _candidates(place, hubs.select("word", *by_word), threshold, False, scratch)
-    found = scratch(_confirmed(found, texts, classes, threshold, scratch))
+    found = scratch(_confirmed(found, texts, at, classes, threshold, scratch))
     # what is left, with every earlier set
     left = sets.join(found, "at", "leftanti").select("at", "n", "parity", F.posexplode("prefix").alias("pos", "word"))
     earlier = place.select("word", *(F.col(c).alias(f"{c}_1") for c in ("at", "n", "parity", "pos")))
-    similar = found.union(_confirmed(_candidates(left, earlier, threshold, True, scratch), texts, classes, threshold, scratch))
+    late = _candidates(left, earlier, threshold, True, scratch)
+    similar = found.union(_confirmed(late, texts, at, classes, threshold, scratch))
     similar = similar.withColumn("similar", F.lit(True))
     # of each set: where it stands first, and whether that place goes too; salted, as one line may be most
     marked = scratch(sets.join(similar, "at", "left").select(*keys, "at", F.coalesce("similar", F.lit(False)).alias("similar")))

@@ -154,6 +154,16 @@ def test_a_document_without_words_left_goes(spark):
     assert found == {1: line, 3: "and more of its own that stays", 4: "\n\n", 5: None}
 
 
+def test_places_as_longs_and_as_structs_give_one_result(spark, monkeypatch):
+    docs = queries.table(spark, "/root/testdata/sf0.001", "documents")
+    report = lambda: sorted((r["doc_id"], tuple(r["removed"])) for r in lines.line_report(docs).collect())
+    texts = docs.select("doc_id", "text", F.lit(0).cast("long").alias("row"))
+    assert "struct" not in str(lines._place(texts)) and "struct" in str(lines._place(texts.withColumn("row", F.col("doc_id"))))
+    longs = report()
+    monkeypatch.setattr(lines, "_LINE_BITS", 1)
+    assert report() == longs and any(r for _, r in longs)
+
+
 def test_the_pipeline_runs_its_stages(spark):
     """run() equals its stages by hand, each decision holding for the rest."""
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
