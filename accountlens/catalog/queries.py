@@ -434,8 +434,11 @@ def pattern_counts(spark, sf_dir):
     """Every pattern of every length; its symbols are shown for the comparison only."""
     arrays = checkpointed(_symbols(spark, sf_dir))
     counts = patterns.pattern_counts(patterns.symbol_rows(arrays))
-    shown = F.expr("array_join(slice(cast(symbols AS array<string>), int(pos), l), '-')")
-    return counts.join(arrays, ACCOUNT).select(
+    # a series as one text, and where each symbol begins in it: a pattern is a part of that text
+    begins = F.expr("aggregate(symbols, array(1), (at, s) -> array_append(at, element_at(at, -1) + length(string(s)) + 1))")
+    texts = arrays.select(ACCOUNT, joined("symbols", "-").alias("whole"), begins.alias("begins"))
+    shown = F.expr("substring(whole, begins[int(pos) - 1], begins[int(pos) + l - 1] - begins[int(pos) - 1] - 1)")
+    return counts.join(texts, ACCOUNT).select(
         ACCOUNT, F.col("l").cast("long").alias("l"), shown.alias("pattern"), "occurrences"
     )
 
