@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -68,12 +69,19 @@ def test_order_decides_within_a_second_only(spark):
 
 
 def test_accounts_are_not_gathered(spark):
-    """Over posts, windows are by account and hour; only the table of hours meets by account."""
-    plan = gaps.post_gaps(frame(spark, sample(3)))._jdf.queryExecution().executedPlan().toString()
+    """No window over an account or an hour: posts are numbered by ranges and meet one by one."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = gaps.post_gaps(frame(spark, sample(3)))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # the one window is over a row per range partition, which is also all that is broadcast
     windows = [line for line in plan.splitlines() if "Window [" in line]
-    assert len(windows) == 2
-    assert all("_hour" in line.split("], [")[1] for line in windows if "_before" in line)
-    assert "Broadcast" not in plan
+    assert windows and all("user_id" not in line and "_rows" in line for line in windows)
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert dealt and all("_n#" in d or "_part" in d for d in dealt if "user_id" in d)
+    assert any("user_id" in d and "_n#" in d for d in dealt)
 
 
 def test_first_gaps_bounds_and_history(spark):
