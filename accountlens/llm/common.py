@@ -37,10 +37,12 @@ class Scratch:
     """Intermediate tables in the shared folder, deleted together on exit.
 
     They take less room than checkpoints. What leaves the block must not read them: checkpoint it.
+    With ``tidy`` the shuffle files behind a table go as soon as it is written: Spark's cleaner drops
+    them when the driver collects its garbage, which it seldom does by itself.
     """
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.path, self.tables = spark, new_path(spark, "scratch"), 0
+    def __init__(self, spark: SparkSession, tidy: bool = False) -> None:
+        self.spark, self.path, self.tables, self.tidy = spark, new_path(spark, "scratch"), 0, tidy
 
     def __enter__(self) -> Scratch:
         return self
@@ -49,6 +51,8 @@ class Scratch:
         self.tables += 1
         path = f"{self.path}/{self.tables}"
         df.write.parquet(path)
+        if self.tidy:
+            self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __exit__(self, *_) -> None:

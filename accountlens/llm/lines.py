@@ -193,7 +193,7 @@ def removed_lines(
     """
     row = text_key(docs, id_col, text_col) if row is None else row
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row.alias("row"))
-    with Scratch(docs.sparkSession) as scratch:
+    with Scratch(docs.sparkSession, tidy=True) as scratch:
         return checkpointed(_removed(texts, threshold, scratch))
 
 
