@@ -20,8 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accountlens.llm.common import REMEMBERED_WORDS, TEXT_SLICE, map_arrow, mixed
+from accountlens.llm.common import TEXT_SLICE, map_arrow, mixed
 
+#: Pieces that a worker remembers the ids of, from task to task; a full memory is emptied and filled anew.
+REMEMBERED_PIECES = 60_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Seeds tried at a time.
 _TRIED = 32
@@ -154,7 +156,7 @@ class Encoder:
         """Ids of distinct pieces, and of some seen before."""
         known = self.known
         new = pieces - known.keys()
-        if len(known) + len(new) > REMEMBERED_WORDS:
+        if len(known) + len(new) > REMEMBERED_PIECES:
             known.clear()
             new = pieces
         listed = list(new)
