@@ -20,10 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accountlens.llm.common import TEXT_SLICE, map_arrow, mixed
+from accountlens.llm.common import REMEMBERED_WORDS, TEXT_SLICE, map_arrow, mixed
 
-#: Pieces that a worker remembers the ids of, from task to task: so many of late, and as many before.
-REMEMBERED_PIECES = 60_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Seeds tried at a time.
 _TRIED = 32
@@ -117,7 +115,6 @@ class Encoder:
         self.pieces = regex.compile(pattern).findall
         self.rank = dict(zip(vocabulary.tokens, vocabulary.ids.tolist()))
         self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
 
     def merged(self, piece: bytes) -> tuple[int, ...]:
         """Ids of a piece: the pair of lowest rank, leftmost first, is merged until none is left."""
@@ -155,14 +152,12 @@ class Encoder:
 
     def table(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
         """Ids of distinct pieces, and of some seen before."""
-        if len(self.known) + len(pieces) > REMEMBERED_PIECES:
-            # what is used again moves on, the rest goes with the next turn
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        missing = pieces - known.keys()
-        for p in missing & older.keys():
-            known[p] = older[p]
-        listed = list(missing - older.keys())
+        known = self.known
+        new = pieces - known.keys()
+        if len(known) + len(new) > REMEMBERED_WORDS:
+            known.clear()
+            new = pieces
+        listed = list(new)
         raw = [p.encode() for p in listed]
         tokens = self.vocabulary.tokens
         found = self.vocabulary.hash.lookup(raw).tolist() if raw else []
