@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accountlens.operators.evaluation import split_bucket
+from accountlens.session import checkpointed
 
 # --- fixed values ---------------------------------------------------------------------
 NUM_TREES = 20
@@ -40,15 +41,16 @@ def cross_validated_forest(
 ) -> CrossValidatorModel:
     """Fit every candidate on every fold, several at a time; best by accuracy.
 
-    ``training`` should be a stored frame with the feature vector already in it: every
-    fold and candidate reads it again. ``keys`` name its rows: folds go by their hash, and rows
-    are dealt by it and sorted, so the same rows give the same model however they were
-    partitioned. Rows that share their keys share a fold. ``keep_folds`` keeps the models of each fold,
-    for :func:`out_of_fold`.
+    ``training`` should be a stored frame with the feature vector already in it. ``keys`` name its
+    rows: folds go by their hash, and rows are dealt by it and sorted, so the same rows give the same
+    model however they were partitioned. They are dealt once, into a checkpoint that keeps the partitions
+    and their order; every fold and candidate reads that. Rows that share their keys share a fold.
+    ``keep_folds`` keeps the models of each fold, for :func:`out_of_fold`.
     """
     partitions = -(-training.count() // partition_rows)
-    training = (
-        training.withColumn("fold", fold_of(keys, seed, folds))
+    training = checkpointed(
+        training.select(*dict.fromkeys([*keys, features, label]))
+        .withColumn("fold", fold_of(keys, seed, folds))
         .repartition(max(1, partitions), *keys)
         .sortWithinPartitions(*keys, label)
     )

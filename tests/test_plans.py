@@ -4,10 +4,12 @@ import re
 
 import pytest
 from conftest import timeline
+from pyspark.ml.functions import array_to_vector
 
 from accountlens.catalog.tables import events
 from accountlens.operators import entropy, gaps
 from accountlens.operators import posts as post_ops
+from accountlens.plans import forest
 from accountlens.plans.features import account_features, features_from_measures, post_measures
 from accountlens.sources.posts import ingest_posts, read_posts_table
 
@@ -59,3 +61,20 @@ def test_entropy_operators_reuse_the_account_shuffle(spark):
     symbols = entropy.gap_symbols(gaps.first_gaps(rows))
     out = entropy.conditional_entropy(entropy.shannon_entropy(entropy.pattern_counts(symbols)))
     assert plan_of(out).count("Exchange hashpartitioning") == 2  # both of the rank
+
+
+def test_training_rows_are_dealt_once(spark, monkeypatch):
+    """Folds and candidates read the dealt rows; they don't shuffle and sort them again."""
+    seen = []
+
+    def fit(self, rows):
+        seen.append((plan_of(rows), rows.rdd.glom().map(lambda part: [r["id"] for r in part]).collect()))
+
+    monkeypatch.setattr(forest.CrossValidator, "fit", fit)
+    rows = spark.range(100).selectExpr("id", "double(id % 2) AS label", "array(double(id)) AS v", "'x' AS other")
+    rows = rows.select("id", "label", "other", array_to_vector("v").alias("features"))
+    forest.cross_validated_forest(rows, "label", "p", "features", 7, ["id"], partition_rows=30)
+    [(plan, parts)] = seen
+    assert "Exchange" not in plan and "Sort" not in plan
+    dealt = rows.repartition(4, "id").sortWithinPartitions("id", "label")
+    assert parts == dealt.rdd.glom().map(lambda part: [r["id"] for r in part]).collect()
