@@ -42,8 +42,12 @@ def post_measures(
     spam label, 0.0 without a model) and the profile snapshot. A few dozen bytes per
     post: on a JSON corpus, write this once and build the features from the copy
     (``stage_path`` in :mod:`accountlens.plans.judge`) instead of parsing posts twice.
+    Posts that are such measures already stay as they are, so one copy serves training and scoring;
+    it must have been made with the same spam model.
     """
     carried = [LABEL] if labelled else []
+    if is_measured(posts):
+        return posts.select(ACCOUNT, *carried, *(c for c in posts.columns if c not in (ACCOUNT, LABEL)))
     view = post_ops.post_view(posts, *carried, snapshot().alias("perfil"))
     if spam_model is not None:
         view = spam_model.transform(view).withColumnRenamed("predicted_label", "avg_spam")
@@ -61,6 +65,11 @@ def post_measures(
     )
 
 
+def is_measured(posts: DataFrame) -> bool:
+    """Whether a frame is one of :func:`post_measures`, not of posts."""
+    return {ACCOUNT, "sec", "avg_spam", "perfil"} <= set(posts.columns)
+
+
 def _sums() -> post_ops.Columns:
     return {
         **post_ops.weekday_counts(),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -23,6 +24,7 @@ from accountlens.operators.evaluation import (
 from accountlens.plans.features import (
     account_features,
     features_from_measures,
+    is_measured,
     post_measures,
 )
 from accountlens.plans.forest import MAX_DEPTH, NUM_TREES, best_forest, cross_validated_forest
@@ -83,8 +85,8 @@ def train_judge(
 ) -> JudgeTraining:
     """Train from the posts of three account classes.
 
-    Posts are read once, into narrow measures; the feature frame made from those is stored
-    as well, and splitting, folds and evaluation read that copy. Accounts are split by a
+    Posts are read once, into narrow measures (or are such measures already, in a copy the caller
+    keeps); the feature frame made from those is stored as well, and splitting, folds and evaluation read that copy. Accounts are split by a
     hash of their id, so none is in both halves. Accounts under several labels are reported, as
     they blur the classes.
 
@@ -94,10 +96,11 @@ def train_judge(
     ``overwrite``, and the training set follows the model it belongs to.
     """
     posts = labelled_posts(humans, bots, cyborgs)
+    measures = post_measures(posts, spam_model, labelled=True)
     if model_path and not overwrite and path_exists(posts.sparkSession, model_path):
         raise ValueError(f"{model_path} is there already")
     with (
-        stored(post_measures(posts, spam_model, labelled=True), "judge-measures") as measures,
+        nullcontext(measures) if is_measured(posts) else stored(measures, "judge-measures") as measures,
         stored(features_from_measures(measures, labelled=True), "judge-training") as rows,
     ):
         test, training = split_train_test(rows, [ACCOUNT])
