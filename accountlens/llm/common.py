@@ -20,16 +20,28 @@ REMEMBERED_WORDS = 300_000
 TEXT_SLICE = 1_000_000
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, tidy: bool = False) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage cut.
 
     A lost executor then costs a read of those files; Spark deletes them when nothing
-    refers to the frame any more, if ``cleanCheckpoints`` is on.
+    refers to the frame any more, if ``cleanCheckpoints`` is on. With ``tidy`` that, and the removal
+    of shuffle files nothing refers to, happens now: see :func:`drop_unused`.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    written = df.checkpoint(eager=True)
+    if tidy:
+        drop_unused(df.sparkSession)
+    return written
+
+
+def drop_unused(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files and checkpoints that nothing refers to any more.
+
+    It does so when the driver collects its garbage, which it seldom does by itself.
+    """
+    spark.sparkContext._jvm.System.gc()
 
 
 
@@ -37,23 +49,29 @@ class Scratch:
     """Intermediate tables in the shared folder, deleted together on exit.
 
     They take less room than checkpoints. What leaves the block must not read them: checkpoint it.
-    With ``tidy`` the shuffle files behind a table go as soon as it is written: Spark's cleaner drops
-    them when the driver collects its garbage, which it seldom does by itself.
+    With ``tidy`` the shuffle files behind a table go as soon as it is written.
     """
 
     def __init__(self, spark: SparkSession, tidy: bool = False) -> None:
-        self.spark, self.path, self.tables, self.tidy = spark, new_path(spark, "scratch"), 0, tidy
+        self.spark, self.path, self.tidy = spark, new_path(spark, "scratch"), tidy
+        self.tables: list[DataFrame] = []
 
     def __enter__(self) -> Scratch:
         return self
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        self.tables += 1
-        path = f"{self.path}/{self.tables}"
+        path = f"{self.path}/{len(self.tables)}"
         df.write.parquet(path)
         if self.tidy:
-            self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(df.schema).parquet(path)
+            drop_unused(self.spark)
+        self.tables.append(self.spark.read.schema(df.schema).parquet(path))
+        return self.tables[-1]
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more before the block ends."""
+        for i, table in enumerate(self.tables):
+            if any(table is t for t in tables):
+                delete_path(self.spark, f"{self.path}/{i}")
 
     def __exit__(self, *_) -> None:
         delete_path(self.spark, self.path)

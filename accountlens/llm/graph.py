@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     null end and loops say nothing.
     """
     state = checkpointed(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
+        tidy=True,
     )
     while not _only_stars(state):
         both = state.union(state.select("v", "u")).toDF("u", "v")
@@ -44,7 +45,8 @@ def components(edges: DataFrame) -> DataFrame:
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(small.select("u", "m"))
             .where("u <> v")
-            .distinct()
+            .distinct(),
+            tidy=True,
         )
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         state.select("v", "v").distinct()

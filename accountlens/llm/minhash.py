@@ -168,7 +168,7 @@ def _near_labels(links: DataFrame) -> DataFrame:
     Enough to tell what has been joined so far; what it holds apart is only looked at once more.
     """
     both = links.union(links.select("b", "a")).toDF("u", "v")
-    once = checkpointed(both.groupBy("u").agg(F.least("u", F.min("v")).alias("least")))
+    once = checkpointed(both.groupBy("u").agg(F.least("u", F.min("v")).alias("least")), tidy=True)
     met = both.join(once.toDF("v", "next"), "v").groupBy("u").agg(F.min("next").alias("next"))
     return met.join(once, "u").select(F.col("u").alias("node"), F.least("least", "next").alias("component"))
 
@@ -197,41 +197,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``component_id`` is the least doc_id that links lead to, ``kept`` says that it is the own one.
     """
-    rows = checkpointed(sketches(docs, id_col, text_col))
+    rows = checkpointed(sketches(docs, id_col, text_col), tidy=True)
     known = rows.where("n_shingles > 0 and doc_id is not null")
     members = known.select("node", "n_shingles", "bands").dropDuplicates(["node"])
     members = members.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     crowded = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = checkpointed(members.join(crowded, "bucket", "leftsemi"))
+    members = checkpointed(members.join(crowded, "bucket", "leftsemi"), tidy=True)
     # the set of a node is made from the text of its first document
     first = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    needed = checkpointed(first.join(members.select("node").distinct(), "node", "leftsemi"))
+    needed = checkpointed(first.join(members.select("node").distinct(), "node", "leftsemi"), tidy=True)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = texts.join(needed.select("doc_id").distinct(), "doc_id", "leftsemi")
     sets = shingle_sets(texts).join(needed, ["doc_id", "node"], "leftsemi")
-    sets = checkpointed(sets.dropDuplicates(["node"]).select("node", "shingles"))
+    sets = checkpointed(sets.dropDuplicates(["node"]).select("node", "shingles"), tidy=True)
 
     links, tried, found = None, None, None
     for turn in range(TURNS):
         pairs = _stars(_apart(members, found), turn)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "leftanti")
-        pairs = checkpointed(pairs)
+        pairs = checkpointed(pairs, tidy=True)
         if pairs.isEmpty():
             break
-        more = checkpointed(confirmed(pairs, sets))
+        more = checkpointed(confirmed(pairs, sets), tidy=True)
         links, tried = (more, pairs) if links is None else (links.union(more), tried.union(pairs))
-        found = checkpointed(_near_labels(links))
+        found = checkpointed(_near_labels(links), tidy=True)
     if links is None:
         links = known.select(F.col("node").alias("a"), F.col("node").alias("b")).where(F.lit(False))
     # rows that repeat a doc_id with another set connect the two sets
     lead = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
     repeated = known.join(lead, "doc_id").select("a", F.col("node").alias("b"))
     found = components(links.union(repeated))
-    named = checkpointed(
-        known.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
-    )
-    least = checkpointed(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    named = known.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    named = checkpointed(named, tidy=True)
+    least = checkpointed(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), tidy=True)
     of = named.join(least, "component").select("doc_id", "component_id").distinct()
     return rows.join(of, "doc_id", "left").select(
         "doc_id",
