@@ -16,6 +16,8 @@ in the order of lines (an id of one row may have 0 in its place). Rows equal in
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,10 @@ _SALTS = 16
 _PLACE = ("doc_id", "line_no", "row")
 #: Bits of a line number in a place that is a long.
 _LINE_BITS = 24
+#: Words of a set that has 128 parity bits, at least.
+_LONG = 64
+#: Words of prefixes are joined in so many passes: only the rows of one are on disk at a time.
+_PASSES = 4
 
 
 def _words(text: Column) -> Column:
@@ -70,6 +76,19 @@ def _parity(words: Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(bit(w)))
 
 
+def _half_parity(words: Column) -> Column:
+    """The parity of half of the words, of long sets only: it splits the 64 bits into 128."""
+    half = F.filter(words, lambda w: w.bitwiseAND(64) != 0)
+    return F.when(F.size(words) >= _LONG, _parity(half)).otherwise(F.lit(0).cast("long"))
+
+
+def _differ() -> Column:
+    """Words in which two sets differ at least, by their parities; 64 bits are full at some hundred words."""
+    whole, half = (F.col(c).bitwiseXOR(F.col(f"{c}_1")) for c in ("parity", "half"))
+    both = F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half))
+    return F.when(F.least("n", "n_1") >= _LONG, both).otherwise(F.bit_count(whole))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "row", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
 
@@ -84,20 +103,32 @@ def _prefix(n: Column, threshold: float) -> Column:
     return (n - F.ceil(n * threshold - 1e-9) + 1).cast("int")
 
 
-def _candidates(sets: DataFrame, earlier: DataFrame, threshold: float, all_words: bool, scratch: Scratch) -> DataFrame:
-    """Pairs (at, at_1) that share words of their prefixes and may be similar, the second earlier.
+def _met(sets: DataFrame, earlier: DataFrame, threshold: float) -> DataFrame:
+    """(at, at_1, n, n_1, pos, pos_1): words of the prefixes that a set shares with an earlier, maybe similar one.
 
-    ``all_words`` says that a pair meets on every such word: these, and what follows the shorter
-    rest, must then be as many as similar sets share.
+    Similar sets pass on every word they share: what stands before and behind it leaves room for enough others.
     """
     least = _least_shared("n", "n_1", threshold)
-    differ = F.bit_count(F.col("parity").bitwiseXOR(F.col("parity_1")))
-    met = (
+    around = F.least("pos", "pos_1") + F.least(F.col("n") - F.col("pos"), F.col("n_1") - F.col("pos_1"))
+    return (
         sets.join(earlier, "word")
         .where("at_1 < at")
         .where(least <= F.least("n", "n_1"))
-        .where(differ <= F.col("n") + F.col("n_1") - 2 * least)
-        .groupBy("at", "at_1", "n", "n_1")
+        .where(least <= around)
+        .where(_differ() <= F.col("n") + F.col("n_1") - 2 * least)
+        .select("at", "at_1", "n", "n_1", "pos", "pos_1")
+    )
+
+
+def _candidates(met: DataFrame, threshold: float, all_words: bool, scratch: Scratch) -> DataFrame:
+    """Pairs (at, at_1) of what :func:`_met` found that may be similar, the second earlier.
+
+    ``all_words`` says that a pair meets on every such word: these, and what follows the shorter
+    rest, must then be as many as similar sets share.
+    """
+    least = _least_shared("n", "n_1", threshold)
+    met = (
+        met.groupBy("at", "at_1", "n", "n_1")
         .agg(F.count("*").alias("met"), F.min("pos").alias("pos"), F.min("pos_1").alias("pos_1"))
         .where(least <= F.least(F.col("n") - F.col("pos"), F.col("n_1") - F.col("pos_1")))
     )
@@ -107,6 +138,11 @@ def _candidates(sets: DataFrame, earlier: DataFrame, threshold: float, all_words
     return scratch(met.select("at", "at_1"))
 
 
+def _of_pass(words: DataFrame, k: int) -> DataFrame:
+    """The words of one of ``_PASSES`` passes."""
+    return words.where(F.pmod("word", F.lit(_PASSES)) == k)
+
+
 def _place(texts: DataFrame) -> Column:
     """Where a line stands, in the order of lines, as one value that can be compared and grouped by.
 
@@ -201,31 +237,39 @@ def _removed(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     classes, at = F.lit(rarity(texts) << 58), _place(texts)
     words = _lines(texts).withColumn("words", _ranked(F.col("line"), classes)).where(F.size("words") > 0)
     n = F.size("words")
-    keys = ["key_a", "key_b"]
-    lines = scratch(
+    keys, own = ["key_a", "key_b"], ["n", "parity", "half", "prefix"]
+    whole = scratch(
         words.select(
             *_PLACE, F.xxhash64("words").alias("key_a"), F.hash("words", n).alias("key_b"), n.alias("n"),
-            _parity(F.col("words")).alias("parity"),
+            _parity(F.col("words")).alias("parity"), _half_parity(F.col("words")).alias("half"),
             F.slice("words", 1, _prefix(n, threshold)).alias("prefix"),
         )
     )
-    first = [F.first(c).alias(c) for c in ("n", "parity", "prefix")]
-    sets = scratch(lines.groupBy(*keys).agg(F.min(at).alias("at"), *first))
-    place = sets.select("at", "n", "parity", F.posexplode("prefix").alias("pos", "word"))
+    first = [F.first(c).alias(c) for c in own]
+    sets = scratch(whole.groupBy(*keys).agg(F.min(at).alias("at"), F.count("*").alias("lines"), *first))
+    lines = scratch(whole.select(*_PLACE, *keys))
+    scratch.drop(whole)
+    known = ["at", "n", "parity", "half", "pos"]
+    place = sets.select(*known[:-1], F.posexplode("prefix").alias("pos", "word"))
     # first with the earliest set of each word: in a group of near copies that decides nearly all
-    hub = F.min(F.struct("at", "n", "parity", "pos")).alias("hub")
+    hub = F.min(F.struct(*known)).alias("hub")
     hubs = scratch(place.groupBy("word").agg(hub, F.count("*").alias("sets")).where("sets > 1").drop("sets"))
-    by_word = [F.col(f"hub.{c}").alias(f"{c}_1") for c in ("at", "n", "parity", "pos")]
-    found = _candidates(place, hubs.select("word", *by_word), threshold, False, scratch)
+    by_word = [F.col(f"hub.{c}").alias(f"{c}_1") for c in known]
+    found = _candidates(_met(place, hubs.select("word", *by_word), threshold), threshold, False, scratch)
+    scratch.drop(hubs)
     found = scratch(_confirmed(found, texts, at, classes, threshold, scratch))
     # what is left, with every earlier set
-    left = sets.join(found, "at", "leftanti").select("at", "n", "parity", F.posexplode("prefix").alias("pos", "word"))
-    earlier = place.select("word", *(F.col(c).alias(f"{c}_1") for c in ("at", "n", "parity", "pos")))
-    late = _candidates(left, earlier, threshold, True, scratch)
+    left = sets.join(found, "at", "leftanti").select(*known[:-1], F.posexplode("prefix").alias("pos", "word"))
+    earlier = place.select("word", *(F.col(c).alias(f"{c}_1") for c in known))
+    passes = [scratch(_met(_of_pass(left, k), _of_pass(earlier, k), threshold)) for k in range(_PASSES)]
+    late = _candidates(reduce(DataFrame.union, passes), threshold, True, scratch)
+    scratch.drop(*passes)
     similar = found.union(_confirmed(late, texts, at, classes, threshold, scratch))
     similar = similar.withColumn("similar", F.lit(True))
-    # of each set: where it stands first, and whether that place goes too; salted, as one line may be most
-    marked = scratch(sets.join(similar, "at", "left").select(*keys, "at", F.coalesce("similar", F.lit(False)).alias("similar")))
+    # of each set that loses lines: where it stands first, and whether that place goes too; salted, as one
+    # line may be most
+    marked = sets.join(similar, "at", "left").select(*keys, "at", "lines", F.coalesce("similar", F.lit(False)).alias("similar"))
+    marked = scratch(marked.where("similar or lines > 1").drop("lines"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
     salted = lines.select(*keys, *_PLACE, F.pmod(F.xxhash64(*_PLACE), F.lit(_SALTS)).cast("int").alias("salt"))
     gone = salted.join(marked.select("*", salts), [*keys, "salt"]).where(F.col("similar") | (F.col("at") < at))
