@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from accountlens.llm.common import REMEMBERED_WORDS, TEXT_SLICE, map_arrow, mixed
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Texts that a task holds with their ids at a time.
+ROWS = 1024
 #: Seeds tried at a time.
 _TRIED = 32
 #: Where a piece always ends: before a single space between two other characters.
@@ -246,6 +248,7 @@ def encode(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")),
         make,
         f"id {kind}, ids array<int>",
+        most_rows=ROWS,
     ).withColumnRenamed("id", id_col)
 
 

@@ -77,14 +77,19 @@ class Scratch:
         delete_path(self.spark, self.path)
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], ddl: str) -> DataFrame:
-    """Rows of ``df`` through ``make()(batch) -> columns``, one call of ``make`` per task."""
+def map_arrow(
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], ddl: str, most_rows: int | None = None
+) -> DataFrame:
+    """Rows of ``df`` through ``make()(batch) -> columns``, one call of ``make`` per task.
+
+    ``most_rows``: what a call gets and gives at a time, if a batch of Spark's and its results are too much.
+    """
     schema = _parse_datatype_string(ddl)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole, most_rows)):
             columns = work(batch)
             yield pa.RecordBatch.from_arrays(
                 [c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, arrow)],
@@ -94,6 +99,11 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]
     return df.mapInArrow(run, schema)
 
 
+def _parts(batch: pa.RecordBatch, most_rows: int | None) -> list[pa.RecordBatch]:
+    n = batch.num_rows
+    return [batch.slice(i, most_rows) for i in range(0, n, most_rows)] if most_rows and n > most_rows else [batch]
+
+
 def map_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], list], ddl: str) -> DataFrame:
     """``work(table) -> columns`` over tables of whole groups, in order of the (long) keys.
 

@@ -15,11 +15,12 @@ Rows that repeat are scored each; of repeated labels the greatest counts.
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ FEATURES = 768
 LEAST_DOCS = 3
 FOLDS = 4
 THRESHOLD = 0.5
+#: Texts whose feature matrix is held at a time.
+SLICE = 512
 
 
 def word_features(word: str) -> list[str]:
@@ -52,6 +55,11 @@ class Chain:
     categories: list[str]
     features: dict[str, int]
     weights: list[np.ndarray]
+    #: Features of the words of late; a worker lets them go with the broadcast chain.
+    known: dict = field(default_factory=dict, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
 
     def rows(self, texts: list[str], known: dict) -> tuple[np.ndarray, np.ndarray]:
         """Feature matrix of the texts, and which have words."""
@@ -89,14 +97,15 @@ def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> list[np.ndarray
     weights = []
     earlier = np.zeros((len(x), 0), np.float32)
     for k in range(y.shape[1]):
-        fed = np.concatenate([x, earlier], axis=1)
-        weights.append(fit_logistic(fed, y[:, k]))
+        weights.append(fit_logistic(x, y[:, k], more=earlier))
         if k + 1 == y.shape[1]:
             break
         held_out = np.zeros(len(x), np.float32)
         for f in np.unique(fold):
-            out = fold == f
-            held_out[out] = predict_logistic(fed[out], fit_logistic(fed[~out], y[~out, k]))
+            w = fit_logistic(x, y[:, k], more=earlier, rows=fold != f)
+            # a slice at a time: the matrix is the largest thing in the task
+            for at in np.array_split(np.flatnonzero(fold == f), 1 + len(x) // SLICE):
+                held_out[at] = predict_logistic(np.concatenate([x[at], earlier[at]], axis=1), w)
         earlier = np.concatenate([earlier, held_out[:, None]], axis=1)
     return weights
 
@@ -152,13 +161,39 @@ def train(
             kept.setdefault(r["feature"], len(kept))
     chain = Chain(categories, kept, [])
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id", kind="stable")
-        x, _ = chain.rows(group["text"].tolist(), {})
-        weights = fit_chain(x, group[categories].to_numpy(np.float32), group["fold"].to_numpy())
-        return pd.DataFrame({"number": range(len(weights)), "weights": [w.astype(float) for w in weights]})
+    held = spark.sparkContext.broadcast(chain)
+
+    def make_sparse():
+        model = held.value
+
+        def work(batch: pa.RecordBatch) -> list:
+            numbers, values = [], []
+            for start in range(0, batch.num_rows, SLICE):
+                x, _ = model.rows(batch.column(1).slice(start, SLICE).to_pylist(), model.known)
+                for row in x:
+                    numbers.append(np.flatnonzero(row))
+                    values.append(row[numbers[-1]])
+            return [batch.column(0), batch.column(2), numbers, values, *batch.columns[3:]]
+
+        return work
+
+    # texts become their few features in many tasks; the one that fits gets these alone
+    kind = rows.schema["id"].dataType.simpleString()
+    sparse = map_arrow(
+        rows.select("id", "text", F.col("fold").cast("long"), *(F.col(c).alias(f"y{k}") for k, c in enumerate(categories))),
+        make_sparse, f"id {kind}, fold long, numbers array<int>, values array<float>, {ddl}",
+    )
+
+    def fit(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        x = np.zeros((group.num_rows, len(kept)), np.float32)
+        at = np.repeat(np.arange(group.num_rows), pc.list_value_length(group["numbers"]).to_numpy())
+        x[at, pc.list_flatten(group["numbers"]).to_numpy()] = pc.list_flatten(group["values"]).to_numpy()
+        y = np.stack([group[f"y{k}"].to_numpy() for k in range(len(categories))], axis=1).astype(np.float32)
+        weights = fit_chain(x, y, group["fold"].to_numpy())
+        return pa.table({"number": pa.array(range(len(weights)), pa.int32()), "weights": pa.array([w.astype(float) for w in weights], pa.list_(pa.float64()))})
 
-    fitted = rows.groupBy(F.lit(0).alias("all")).applyInPandas(fit, "number int, weights array<double>").collect()
+    fitted = sparse.groupBy(F.lit(0).alias("all")).applyInArrow(fit, "number int, weights array<double>").collect()
     chain.weights = [np.array(r["weights"], np.float32) for r in sorted(fitted, key=lambda r: r["number"])]
     return chain
 
@@ -173,23 +208,9 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", into: str = "to
         model = held.value
         p = np.zeros((len(texts), len(model.categories)))
         if model.weights:
-            for start in range(0, len(texts), 512):
-                x, full = model.rows([t or "" for t in texts.iloc[start : start + 512]], _KNOWN.of(model))
+            for start in range(0, len(texts), SLICE):
+                x, full = model.rows([t or "" for t in texts.iloc[start : start + SLICE]], model.known)
                 p[start : start + len(x)] = model.predict(x) * full[:, None]
         return pd.DataFrame(p, columns=model.categories)
 
     return docs.withColumn(into, probabilities(F.col(text_col)))
-
-
-class _Known:
-    """Features of the words of late, for the model that a worker scores with."""
-
-    model, words = None, {}
-
-    def of(self, model: Chain) -> dict:
-        if self.model is not model:
-            self.model, self.words = model, {}
-        return self.words
-
-
-_KNOWN = _Known()
