@@ -5,7 +5,9 @@ earlier one, by (doc_id, number, text digest), has a Jaccard similarity of ``THR
 removed itself or not. Equal sets meet by their digest. Distinct sets are joined on the words of
 their prefixes: words are ordered by rarity in the corpus, so a prefix holds the rarest ones, and
 two similar sets must share a word of their prefixes. Length and position of the shared word, and 64 parity
-bits of each set, rule out most candidates before the full sets are compared.
+bits of each set, rule out most candidates before the full sets are compared. A set first meets those next to
+it among the sets of each word, and the earliest: in a group of near copies these decide nearly all. What that
+finds removed meets no more earlier sets.
 
 Words are known by 58 bits of their hash, rarity by the number of words in the same of ``BUCKETS``
 buckets, on a scale of powers of two: any order that is the same for all lines gives the same
@@ -19,7 +21,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
@@ -30,17 +32,26 @@ BUCKETS = 1 << 15
 _SALTS = 16
 #: What tells a line from all others, in the order of lines.
 _PLACE = ("doc_id", "line_no", "row")
+#: What stands between words.
+_SEPARATORS = " \t\n\x0b\f\r"
 #: Bits of a line number in a place that is a long.
 _LINE_BITS = 24
 #: Words of a set that has 128 parity bits, at least.
 _LONG = 64
 #: Words of prefixes are joined in so many passes: only the rows of one are on disk at a time.
-_PASSES = 4
+_PASSES = 2
+#: Sets before it, among those of a word, that a set meets first.
+_NEXT = 2
+
+
+def _constant(values: np.ndarray) -> Column:
+    """An array of longs as one constant; as a literal each of its numbers would be an expression, made one by one."""
+    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<bigint>")
 
 
 def _words(text: Column) -> Column:
     """Words of a text, with empty ones between; a split at a plain character needs no regular expression."""
-    for other in "\t\n\x0b\f\r":
+    for other in _SEPARATORS[1:]:
         text = F.replace(text, F.lit(other), F.lit(" "))
     return F.split(F.lower(text), " ")
 
@@ -103,25 +114,58 @@ def _prefix(n: Column, threshold: float) -> Column:
     return (n - F.ceil(n * threshold - 1e-9) + 1).cast("int")
 
 
-def _met(sets: DataFrame, earlier: DataFrame, threshold: float) -> DataFrame:
-    """(at, at_1, n, n_1, pos, pos_1): words of the prefixes that a set shares with an earlier, maybe similar one.
+def _may_be_similar(threshold: float) -> Column:
+    """Whether a set and an earlier one (``_1``) that share a word of their prefixes can be similar.
 
     Similar sets pass on every word they share: what stands before and behind it leaves room for enough others.
     """
     least = _least_shared("n", "n_1", threshold)
     around = F.least("pos", "pos_1") + F.least(F.col("n") - F.col("pos"), F.col("n_1") - F.col("pos_1"))
-    return (
-        sets.join(earlier, "word")
-        .where("at_1 < at")
-        .where(least <= F.least("n", "n_1"))
-        .where(least <= around)
-        .where(_differ() <= F.col("n") + F.col("n_1") - 2 * least)
-        .select("at", "at_1", "n", "n_1", "pos", "pos_1")
-    )
+    return (least <= F.least("n", "n_1")) & (least <= around) & (_differ() <= F.col("n") + F.col("n_1") - 2 * least)
+
+
+#: What is known of a set where a word of its prefix stands, and what is kept of two that met.
+_KNOWN = ("at", "n", "parity", "half", "pos")
+_MET = ("at", "at_1", "n", "n_1", "pos", "pos_1")
+
+
+def _met_near(place: DataFrame, threshold: float) -> DataFrame:
+    """Sets met by the earliest set of a prefix word, and by those next before them among the word's sets."""
+    by_word = Window.partitionBy("word").orderBy("at")
+    known = F.struct(*_KNOWN)
+    others = [F.first(known).over(by_word), *(F.lag(known, k).over(by_word) for k in range(1, _NEXT + 1))]
+    met = place.select(*_KNOWN, F.array(*others).alias("others")).select(*_KNOWN, F.explode("others").alias("other"))
+    met = met.select(*_KNOWN, *(F.col(f"other.{c}").alias(f"{c}_1") for c in _KNOWN))
+    return met.where("at_1 < at").where(_may_be_similar(threshold)).select(*_MET)
+
+
+def _kept(met: DataFrame, threshold: float) -> DataFrame:
+    """Of sets met by others with a word of their prefixes, those that may be similar to an earlier one.
+
+    A ``pos`` below 0 says that a set is removed already: it meets none, but later ones meet it. That is asked
+    for together with what holds for both. Alone, it would be asked before the sets are moved, and they and
+    the earlier ones, which may be one table, be moved apart.
+    """
+    met = met.where(F.when(F.col("pos") < 0, F.lit(False)).otherwise(F.col("at_1") < F.col("at")))
+    met = met.withColumn("pos_1", F.when(F.col("pos_1") < 0, -1 - F.col("pos_1")).otherwise(F.col("pos_1")))
+    return met.where(_may_be_similar(threshold)).select(*_MET)
+
+
+def _met(sets: DataFrame, earlier: DataFrame, threshold: float) -> DataFrame:
+    """Sets met by every earlier one of another table with a word of their prefixes."""
+    return _kept(sets.join(earlier, "word"), threshold)
+
+
+def _met_all(place: DataFrame, threshold: float) -> DataFrame:
+    """:func:`_met` among the sets of one table. Both sides are renamed alike, so Spark moves it once."""
+    columns = ("word", *_KNOWN)
+    later, earlier = (place.select(*(F.col(c).alias(f"{c}_{side}") for c in columns)) for side in (0, 1))
+    met = later.join(earlier, F.col("word_0") == F.col("word_1"))
+    return _kept(met.withColumnsRenamed({f"{c}_0": c for c in columns}), threshold)
 
 
 def _candidates(met: DataFrame, threshold: float, all_words: bool, scratch: Scratch) -> DataFrame:
-    """Pairs (at, at_1) of what :func:`_met` found that may be similar, the second earlier.
+    """Pairs (at, at_1) of sets that met and may be similar, the second earlier.
 
     ``all_words`` says that a pair meets on every such word: these, and what follows the shorter
     rest, must then be as many as similar sets share.
@@ -181,7 +225,7 @@ def _confirmed(
     """(at): the later lines of the pairs whose whole sets are similar. Sets come from the texts anew."""
     needed = scratch(pairs.select("at").union(pairs.select(F.col("at_1").alias("at"))).distinct())
     at = _hashed("at")
-    maybe = F.get(F.lit(_bits(needed, "at")), F.shiftrightunsigned(at, 6).cast("int"))
+    maybe = F.get(_constant(_bits(needed, "at")), F.shiftrightunsigned(at, 6).cast("int"))
     bit = F.call_function("shiftrightunsigned", maybe, at.bitwiseAND(63).cast("int"))
     full = scratch(
         _lines(texts)
@@ -215,7 +259,7 @@ def text_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     if not bits.any():
         return F.when(F.col(id_col).isNull(), digest).otherwise(alone)
     h = _hashed(id_col)
-    word = F.get(F.lit(bits), F.shiftrightunsigned(h, 6).cast("int"))
+    word = F.get(_constant(bits), F.shiftrightunsigned(h, 6).cast("int"))
     marked = F.call_function("shiftrightunsigned", word, h.bitwiseAND(63).cast("int")).bitwiseAND(one) == 1
     return F.when(F.col(id_col).isNull() | marked, digest).otherwise(alone)
 
@@ -234,8 +278,10 @@ def removed_lines(
 
 
 def _removed(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    classes, at = F.lit(rarity(texts) << 58), _place(texts)
-    words = _lines(texts).withColumn("words", _ranked(F.col("line"), classes)).where(F.size("words") > 0)
+    classes, at = _constant(rarity(texts) << 58), _place(texts)
+    # a condition on the words would have them made twice
+    worded = _lines(texts).where(F.btrim("line", F.lit(_SEPARATORS)) != "")
+    words = worded.withColumn("words", _ranked(F.col("line"), classes))
     n = F.size("words")
     keys, own = ["key_a", "key_b"], ["n", "parity", "half", "prefix"]
     whole = scratch(
@@ -249,26 +295,25 @@ def _removed(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     sets = scratch(whole.groupBy(*keys).agg(F.min(at).alias("at"), F.count("*").alias("lines"), *first))
     lines = scratch(whole.select(*_PLACE, *keys))
     scratch.drop(whole)
-    known = ["at", "n", "parity", "half", "pos"]
-    place = sets.select(*known[:-1], F.posexplode("prefix").alias("pos", "word"))
-    # first with the earliest set of each word: in a group of near copies that decides nearly all
-    hub = F.min(F.struct(*known)).alias("hub")
-    hubs = scratch(place.groupBy("word").agg(hub, F.count("*").alias("sets")).where("sets > 1").drop("sets"))
-    by_word = [F.col(f"hub.{c}").alias(f"{c}_1") for c in known]
-    found = _candidates(_met(place, hubs.select("word", *by_word), threshold), threshold, False, scratch)
-    scratch.drop(hubs)
+    own = F.posexplode("prefix").alias("pos", "word")
+    place = sets.select("at", "n", "parity", "half", own)
+    passes = [scratch(_met_near(_of_pass(place, k), threshold)) for k in range(_PASSES)]
+    found = _candidates(reduce(DataFrame.union, passes), threshold, False, scratch)
+    scratch.drop(*passes)
     found = scratch(_confirmed(found, texts, at, classes, threshold, scratch))
     # what is left, with every earlier set
-    left = sets.join(found, "at", "leftanti").select(*known[:-1], F.posexplode("prefix").alias("pos", "word"))
-    earlier = place.select("word", *(F.col(c).alias(f"{c}_1") for c in known))
-    passes = [scratch(_met(_of_pass(left, k), _of_pass(earlier, k), threshold)) for k in range(_PASSES)]
+    found = found.withColumn("similar", F.lit(True))
+    known = scratch(sets.join(found, "at", "left").withColumn("similar", F.coalesce("similar", F.lit(False))))
+    scratch.drop(sets)
+    place = known.select("at", "n", "parity", "half", "similar", own)
+    place = place.withColumn("pos", F.when(F.col("similar"), -1 - F.col("pos")).otherwise(F.col("pos")))
+    passes = [scratch(_met_all(_of_pass(place, k), threshold)) for k in range(_PASSES)]
     late = _candidates(reduce(DataFrame.union, passes), threshold, True, scratch)
     scratch.drop(*passes)
-    similar = found.union(_confirmed(late, texts, at, classes, threshold, scratch))
-    similar = similar.withColumn("similar", F.lit(True))
+    late = _confirmed(late, texts, at, classes, threshold, scratch).withColumn("late", F.lit(True))
     # of each set that loses lines: where it stands first, and whether that place goes too; salted, as one
     # line may be most
-    marked = sets.join(similar, "at", "left").select(*keys, "at", "lines", F.coalesce("similar", F.lit(False)).alias("similar"))
+    marked = known.join(late, "at", "left").select(*keys, "at", "lines", F.coalesce("late", "similar").alias("similar"))
     marked = scratch(marked.where("similar or lines > 1").drop("lines"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
     salted = lines.select(*keys, *_PLACE, F.pmod(F.xxhash64(*_PLACE), F.lit(_SALTS)).cast("int").alias("salt"))
