@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from accountlens.llm.common import WordHashes, checkpointed, map_arrow, map_groups, mixed, words_of
+from accountlens.llm.common import WordHashes, checkpointed, drop_unused, map_arrow, map_groups, mixed, words_of
 from accountlens.llm.graph import components
 
 SHINGLE = 5
@@ -325,7 +325,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links, tried = (more, pairs) if links is None else (links.union(more), tried.union(pairs))
         found = checkpointed(_near_labels(links) if turn < TURNS - 1 else components(links), tidy=True)
     pairs = _left_apart(_apart(members, found), sets).join(tried, ["a", "b"], "leftanti")
-    more = checkpointed(confirmed(checkpointed(pairs, tidy=True), sets), tidy=True)
+    pairs = checkpointed(pairs, tidy=True)
+    more = checkpointed(confirmed(pairs, sets), tidy=True)
     links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     # rows that repeat a doc_id with another set connect the two sets
     lead = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
@@ -335,6 +336,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = checkpointed(named, tidy=True)
     least = checkpointed(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), tidy=True)
     of = named.join(least, "component").select("doc_id", "component_id").distinct()
+    drop_unused(docs.sparkSession)
     return rows.join(of, "doc_id", "left").select(
         "doc_id",
         "n_shingles",
